@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm import decontaminate, hyperplanes, language, linechunks, minhash, pieces
+from stintline.llm import decontaminate, htmltext, hyperplanes, language, linechunks, minhash, pieces, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +41,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extract(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(_table(spark, sf_dir, "documents"), pieces.Pieces.load(MODEL), keep=["doc_id"])
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_line_chunk_dedup, op6_language_id, op9_sentencepiece)
+    f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_line_chunk_dedup, op6_language_id, op7_html_main_text, op9_sentencepiece, op10_url_filter)
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
