@@ -202,9 +202,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """The columns `keep` of `docs` with lang_pred and score, of whole texts.
 
     Null texts and those without letters get `und` and score 0. The score is the
-    share of the family times that of the language among its one-versus-one SVMs, 0 to 1.
+    share of the family times that of the language among its one-versus-one SVMs, 0 to 1. Input columns of the two new
+    names are replaced. Repeated rows each give a row; an empty table gives an empty one.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__some"), F.col(text_col).alias("__text"))
 
     def run(batches):

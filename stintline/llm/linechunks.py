@@ -93,8 +93,8 @@ def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES, least_chars: in
     of the smallest (doc_id, text digest, chunk number), null ids last; it keeps the chunk. Later places lose it if
     the bytes are equal. Chunks of one line or of fewer than `least_chars` characters stay. Adds n_lines (lines of the
     text before, null for null) and n_removed (lines that went). Null texts stay null and empty ones empty. Rows equal
-    in doc_id and text count as one document and all keep or lose the same chunks. Other columns pass through.
-    An empty table gives an empty one.
+    in doc_id and text count as one document and all keep or lose the same chunks. Other columns pass through;
+    input columns of the two new names are replaced. An empty table gives an empty one.
     """
     gone = repeated_chunks(docs, least_lines, least_chars).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
     joined = docs.withColumn("__key", _key()).join(gone, "__key", "left")
@@ -107,7 +107,7 @@ def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES, least_chars: in
     joined = joined.withColumn("__new", F.when(F.col("__gone").isNotNull(), let(cut(F.col("text")), rest)))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__new.text")).alias("text")
     return joined.select(
-        *[text if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
         F.coalesce("__new.n_removed", F.lit(0)).cast("long").alias("n_removed"),
     )

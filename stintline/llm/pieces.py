@@ -215,11 +215,11 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, frequ
     equal the path whose last piece is longest wins. A character outside the table is spelled in byte pieces at the
     lowest score less 10. One space is put before the text, as the models have it. round_trip tells that the ids
     decode to the very text. Null texts have null ids and null round_trip; empty ones no ids.
-    Words of more than LONG bytes are cut at character borders. Repeated rows each give a row. An empty table gives
-    an empty one.
+    Words of more than LONG bytes are cut at character borders. Repeated rows each give a row; input
+    columns of the new names are replaced. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "ids", "round_trip")]
     vocabulary = save(words(docs), "words")
     packed = save(lattice(vocabulary, pieces), "lattice")
     coded = packed if not frequent else vocabulary.select("hash", "n").join(packed, "hash")

@@ -206,9 +206,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """The columns `keep` of `docs` with score (0 to 1, higher: label 1 likelier), predicted and the passage that weighs most.
 
     Whole texts are read, passage by passage. Null and empty texts are one empty passage and are scored as such.
-    Repeated rows each give a row. An empty table gives an empty one.
+    Input columns of the new names are replaced. Repeated rows each give a row. An empty table gives an empty one.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "top_passage")]
     plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
 
     def run(batches):
