@@ -75,27 +75,28 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out), np.concatenate(rows)
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """Square roots of relative n-gram counts of each text: rows of unit length."""
-    data, offsets = next(((d, o) for _, _, d, o in parts(pa.array(texts, pa.string()), most=1 << 62)), (np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-    g, r = grams(data, offsets)
-    out = np.zeros((len(texts), TABLE), np.float32)
-    np.add.at(out, (r, g), 1)
-    return np.sqrt(out / np.maximum(out.sum(axis=1), 1)[:, None])
-
-
-def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 60, cost: float = 4.0) -> tuple[np.ndarray, float]:
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, square roots of their shares) of each text: sparse rows of unit length."""
+    out = []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        g, _ = grams(data, np.array([0, len(data)]))
+        at, count = np.unique(g, return_counts=True)
+        out.append((at.astype(np.int32), np.sqrt(count / max(count.sum(), 1))))
+    return out
+
+
+def linear_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 60, cost: float = 4.0) -> tuple[np.ndarray, float]:
     """L2-regularised squared-hinge SVM (y in -1, 1) by dual coordinate descent; a constant feature stands for the bias."""
     n = len(y)
-    w, b, alpha = np.zeros(x.shape[1], np.float64), 0.0, np.zeros(n)
+    w, b, alpha = np.zeros(TABLE), 0.0, np.zeros(n)
     weight = np.where(y > 0, n / (2 * max((y > 0).sum(), 1)), n / (2 * max((y < 0).sum(), 1)))
-    square = (x.astype(np.float64) ** 2).sum(axis=1) + 1 + 1 / (2 * cost * weight)
+    square = np.array([(v**2).sum() for _, v in x]) + 1 + 1 / (2 * cost * weight)
     rng = np.random.default_rng(5)
-    sparse = [(np.flatnonzero(r), r[np.flatnonzero(r)].astype(np.float64)) for r in x]
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(n):
-            at, value = sparse[i]
+            at, value = x[i]
             g = y[i] * (w[at] @ value + b) - 1 + alpha[i] / (2 * cost * weight[i])
             if alpha[i] == 0 and g >= 0:
                 continue
@@ -123,8 +124,8 @@ class Model:
         jobs = [(fam, pair) for pair in combinations(self.families, 2)]
         jobs += [(lang, pair) for f in self.families for pair in combinations([k for k in self.langs if family(k) == f], 2)]
         for label, (a, b) in jobs:
-            own = (label == a) | (label == b)
-            w, c = linear_svm(x[own], np.where(label[own] == a, 1.0, -1.0))
+            own = np.flatnonzero((label == a) | (label == b))
+            w, c = linear_svm([x[i] for i in own], np.where(label[own] == a, 1.0, -1.0))
             weights.append(w)
             biases.append(c)
             self.pairs.append((a, b))
@@ -206,23 +207,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     names are replaced. Repeated rows each give a row; an empty table gives an empty one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__some"), F.col(text_col).alias("__text"))
+    text = [] if text_col in keep else [text_col]
+    plain = docs.select(*[F.col(f"`{c}`") for c in [*keep, *text]], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__some"))
+    place = plain.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            langs, scores = [], []
-            for _, _, data, offsets in parts(text, 1_000_000):
-                lang, score = model.predict(data, offsets)
-                langs += lang
-                scores.append(score)
-            some = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
-            langs = [x if y else UNKNOWN for x, y in zip(langs, some, strict=True)]
-            scores = [np.concatenate(scores) * some] if scores else []
-            yield pa.record_batch(
-                [*batch.columns[:-2], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                names=[*batch.schema.names[:-2], "lang_pred", "score"],
-            )
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-2])
-    return plain.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+            for row, end, data, offsets in parts(batch.column(place), 1_000_000):
+                own = batch.slice(row, end - row)
+                some = own.column(own.num_columns - 1).to_numpy(zero_copy_only=False)
+                langs, score = model.predict(data, offsets)
+                langs = [x if y else UNKNOWN for x, y in zip(langs, some, strict=True)]
+                yield pa.record_batch([*own.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score * some, pa.float64())], names=[*own.schema.names[: len(keep)], "lang_pred", "score"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[: len(keep)])
+    return plain.mapInArrow(run, f"{kinds}lang_pred string, score double")
