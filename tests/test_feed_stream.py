@@ -52,3 +52,35 @@ def test_grid_restart_rules(spark):
     cells = spark.createDataFrame(rows, "heat_id long, frame_id long, message_ordinal long, change_ordinal long, row_ix long, col_ix long, value long, handle string")
     assert [(r.row_ix, r.value) for r in facts.grid_current(cells).collect()] == [(2, 6)]
     assert [(r.row_ix, r.value) for r in facts.grid_current(cells, at_frame=2).collect()] == [(1, 11)]
+
+
+def run_stateful(spark, tmp_path, rows, schema, job):
+    """A file at a time through a stateful job; gives all rows that it wrote."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for i, part in enumerate(rows):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q = job(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out")).collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_grid_stream_equals_batch_over_restarts(spark, tmp_path):
+    parts = [[(1, 1, 0, 0, 1, 1, 10, "r_i"), (1, 2, 0, 0, 1, 1, 11, "r_c")], [(1, 3, 0, 0, 2, 1, 5, "r_i"), (1, 4, 0, 1, 2, 1, 6, "r_c"), (1, 4, 0, 0, 2, 1, 7, "r_c"), (2, 1, 0, 0, 1, 1, 3, "r_c")]]
+    schema = "heat_id long, frame_id long, message_ordinal long, change_ordinal long, row_ix long, col_ix long, value long, handle string"
+    out = run_stateful(spark, tmp_path, parts, schema, live.grid)
+    newest = {}
+    for r in out:
+        key = (r.heat_id, r.row_ix, r.col_ix)
+        newest[key] = max(newest.get(key, ()), (r.frame_id, r.message_ordinal, r.change_ordinal, r.value))
+    batch = {(r.heat_id, r.row_ix, r.col_ix): r.value for r in facts.grid_current(spark.createDataFrame(sum(parts, []), schema)).collect()}
+    assert {k: newest[k][3] for k in batch} == batch
+
+
+def test_sparse_history_keeps_changes_per_bucket(spark, tmp_path):
+    s = 1_000_000
+    parts = [[(1, 0, 0, 5, False), (1, 1 * s, 1, 6, False), (1, 6 * s, 2, 5, False)], [(1, 7 * s, 3, 9, True), (1, 11 * s, 4, 9, False), (1, 12 * s, 5, 8, False)]]
+    out = run_stateful(spark, tmp_path, parts, "scope_key long, at_us long, seq long, value long, is_event boolean", live.sparse_history)
+    assert sorted((r.at_us, r.value) for r in out) == [(0, 5), (7 * s, 9), (12 * s, 8)]
