@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,9 +11,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer document is a part of its own.
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
+#: Rows of a batch that are copied at once.
+PART_ROWS = 1_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,6 +38,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not at some later collection of the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Remove a saved table that nothing lazy needs any more."""
     path = getattr(df, "saved_path", None)
@@ -43,6 +53,15 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Bytes up to which a counted table is sent to every task; larger ones are shuffled.
+SEND_BYTES = 32_000_000
+
+
+def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A saved table, marked for broadcast if its counted rows of at most about `row_bytes` fit SEND_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= SEND_BYTES else df
+
+
 # --- words -----------------------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -55,16 +74,20 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = np.ones(1, dtype=np.uint64)
+_UP = _DOWN = np.ones(1, dtype=np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(max(n, 256), _BASE, dtype=np.uint64)
-        out[0] = 1
-        _POWERS = np.multiply.accumulate(out)
-    return _POWERS
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64 and of its inverse."""
+    global _UP, _DOWN
+    if len(_UP) < n:
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(n, base, dtype=np.uint64)
+            out[0] = 1
+            both.append(np.multiply.accumulate(out))
+        _UP, _DOWN = both
+    return _UP, _DOWN
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +100,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Polynomial hash of each span of bytes, whatever its place: differences of running sums, spans in blocks of `most` bytes."""
+    out = np.zeros(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        low = start[k]
+        end = max(k + 1, int(np.searchsorted(start + size, low + most, "right")))
+        own = data[low : start[end - 1] + size[end - 1]].astype(np.uint64)
+        up, down = _powers(max(len(own), most) + 1)
+        own += np.uint64(1)
+        own *= up[: len(own)]
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own, out=total[1:])
+        a = start[k:end] - low
+        out[k:end] = mix((total[a + size[k:end]] - total[a]) * down[a] + size[k:end].astype(np.uint64))
+        k = end
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,12 +131,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def parts(column: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole rows of about `most` bytes."""
-    data, offsets = utf8(column)
-    row, n = 0, len(offsets) - 1
-    while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+    for low in range(0, len(column), PART_ROWS):
+        data, offsets = utf8(column.slice(low, PART_ROWS))
+        row, n = 0, len(offsets) - 1
+        while row < n:
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+            yield low + row, low + end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
 
 
 class Words:
@@ -109,15 +152,9 @@ class Words:
         edges = offsets[:-1][offsets[:-1] < len(data)]
         first[edges] |= inside[edges]
         self.start = np.flatnonzero(first)
-        letters = data[inside]
-        begin = np.flatnonzero(first[inside])
-        self.length = np.diff(np.append(begin, len(letters)))
-        if len(begin):
-            local = np.arange(len(letters)) - np.repeat(begin, self.length)
-            table = powers(int(self.length.max()) + 1)
-            self.hash = mix(np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * table[local], begin) + self.length.astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        # a word ends where the next byte is outside or begins another
+        self.length = np.flatnonzero(inside & np.append(~inside[1:] | first[1:], True)[: len(data)]) + 1 - self.start
+        self.hash = span_hashes(data, self.start, self.length)
         self.ptr = np.searchsorted(self.start, offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.ptr))
 

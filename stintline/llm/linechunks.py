@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import drop, save
+from stintline.llm.common import drop, save, sent_if_small
 
 #: A line ends a chunk if its rolling hash over this many lines, modulo this divisor, is 0.
 ROLL, DIVISOR = 2, 3
@@ -75,7 +75,7 @@ def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES, least_chars
 
     # bytes of the candidates only
     asked = save(some.groupBy("key").agg(F.collect_set(F.struct("pos", "digest", "first_key", "first_pos")).alias("asked")), "asked")
-    bodies = plain.join(asked, "key").select("key", let(cut(F.col("text")), lambda c: F.transform("asked", lambda a: F.struct(a.alias("a"), F.get(c, a.pos).body.alias("body")))).alias("found"))
+    bodies = plain.join(sent_if_small(asked, 200), "key").select("key", let(cut(F.col("text")), lambda c: F.transform("asked", lambda a: F.struct(a.alias("a"), F.get(c, a.pos).body.alias("body")))).alias("found"))
     bodies = bodies.select("key", F.explode("found").alias("f")).select("key", "f.a.*", "f.body")
     groups = bodies.groupBy("digest", "body").agg(F.bool_or((F.col("key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))).alias("has_first"))
     proven = save(groups.groupBy("digest").agg(F.count("*").alias("bodies"), F.bool_and("has_first").alias("whole")).where("bodies = 1 and whole").select("digest"), "proven")
@@ -97,7 +97,7 @@ def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES, least_chars: in
     input columns of the two new names are replaced. An empty table gives an empty one.
     """
     gone = repeated_chunks(docs, least_lines, least_chars).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    joined = docs.withColumn("__key", _key()).join(gone, "__key", "left")
+    joined = docs.withColumn("__key", _key()).join(sent_if_small(gone, 60), "__key", "left")
 
     def rest(c: Column) -> Column:
         kept = F.filter(c, lambda x, i: ~F.array_contains("__gone", i))
