@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import NOT_SPACE, Words, parts
+from stintline.llm.common import NOT_SPACE, Words, parts, save, sent_if_small
 from stintline.llm.language import held_out
 
 #: Words of a passage; the last one of a document may be shorter.
@@ -194,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model()
     bound = F.when(F.col("y") == 1, F.lit(min(1.0, sample / counts[1.0]))).otherwise(F.lit(min(1.0, sample / counts[0.0])))
     picked = named.where((F.col("h").cast("double") / float(2**63) + 1) / 2 <= bound).select(id_col, "y", "h")
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(picked, id_col).select("y", "text")
+    # about `sample` rows of each label, whatever the input
+    texts = docs.select(id_col, F.col(text_col).alias("text")).join(sent_if_small(save(picked, "picked"), 40), id_col).select("y", "text")
     rows = texts.mapInArrow(_featured, "y double, x binary").collect()
     rows.sort(key=lambda r: (r.y, bytes(r.x)))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
@@ -213,17 +214,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     def run(batches):
         for batch in batches:
-            scores, tops = [], []
-            for _, _, data, offsets in parts(batch.column(batch.num_columns - 1), 1_000_000):
+            for row, end, data, offsets in parts(batch.column(batch.num_columns - 1), 1_000_000):
                 x, ptr = passages(data, offsets)
                 f = model.forward(x, ptr)
-                scores.append(f["score"])
-                tops += [int(np.argmax(f["attention"][a:b])) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
-            s = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.record_batch(
-                [*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array(tops, pa.int32())],
-                names=[*batch.schema.names[:-1], "score", "predicted", "top_passage"],
-            )
+                tops = [int(np.argmax(f["attention"][a:b])) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+                own = batch.slice(row, end - row)
+                yield pa.record_batch(
+                    [*own.columns[:-1], pa.array(f["score"], pa.float64()), pa.array((f["score"] >= threshold).astype(np.int32)), pa.array(tops, pa.int32())],
+                    names=[*own.schema.names[:-1], "score", "predicted", "top_passage"],
+                )
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
     return plain.mapInArrow(run, f"{kinds}score double, predicted int, top_passage int")
