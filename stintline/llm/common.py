@@ -38,6 +38,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Texts are long: tasks get at most `rows` of them in an Arrow batch; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now, not at some later collection of the driver's garbage."""
     gc.collect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm.common import drop, mix, parts, powers, save
+from stintline.llm.common import PART_ROWS, bounded_batches, drop, parts, release, save, span_hashes
 
 SPACE = "\u2581"
 #: Stands for a space mark that the text itself holds; its bytes are encoded, so that decoding gives it back.
@@ -28,6 +28,11 @@ FREQUENT = 1_000_000
 #: Pieces of a model, at most: the bound on the broadcast piece table.
 MOST_PIECES = 1_000_000
 UNKNOWN_PENALTY = 10.0
+#: Words of a lattice task on average, and how many of them its aggregation may hold without sorting.
+WORDS_IN_TASK, WORDS_HELD = 8_192, 32_768
+#: Words that a task counts before it hands them on.
+WORDS_COUNTED = 800_000
+_HELD = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 @dataclass
@@ -96,28 +101,40 @@ def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(start):
         return text, start, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     size = np.diff(np.append(start, len(text)))
-    local = np.arange(len(text)) - np.repeat(start, size)
-    table = powers(int(size.max()) + 1)
-    h = mix(np.add.reduceat((text.astype(np.uint64) + np.uint64(1)) * table[local], start) + size.astype(np.uint64))
+    h = span_hashes(text, start, size)
     return text, start, h, np.searchsorted(start, offsets)
 
 
 def words(docs: DataFrame) -> DataFrame:
     """(hash, word, n): the distinct words of `text` and their counts; a word starts with its spaces."""
 
+    def merged(held: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        h = np.concatenate([x[0] for x in held])
+        own, first, back = np.unique(h, return_index=True, return_inverse=True)
+        return own, pa.concat_arrays([x[1] for x in held]).take(pa.array(first)), np.bincount(back, weights=np.concatenate([x[2] for x in held])).astype(np.int64)
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             for _, _, data, offsets in parts(batch.column(0)):
                 text, start, h, _ = segment(data, offsets)
                 if not len(start):
                     continue
-                _, first, count = np.unique(h, return_index=True, return_counts=True)
+                own, first, count = np.unique(h, return_index=True, return_counts=True)
                 end = np.append(start[1:], len(text))
                 a, size = start[first], end[first] - start[first]
                 cut = np.concatenate([[0], np.cumsum(size)])
                 flat = text[np.repeat(a - cut[:-1], size) + np.arange(cut[-1])]
-                column = pa.StringArray.from_buffers(len(a), pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
-                yield pa.record_batch([pa.array(h[first].view(np.int64)), column, pa.array(count.astype(np.int64))], names=["hash", "word", "n"])
+                word = pa.StringArray.from_buffers(len(a), pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
+                held.append((own, word, count))
+                n += len(own)
+                if n > WORDS_COUNTED:
+                    own, word, count = merged(held)
+                    yield pa.record_batch([pa.array(own.view(np.int64)), word, pa.array(count)], names=["hash", "word", "n"])
+                    held, n = [], 0
+        if held:
+            own, word, count = merged(held)
+            yield pa.record_batch([pa.array(own.view(np.int64)), word, pa.array(count)], names=["hash", "word", "n"])
 
     return docs.select(F.col("text")).where("text is not null").mapInArrow(run, "hash long, word string, n long").groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
@@ -137,17 +154,23 @@ def _best_path() -> Column:
 
 
 def lattice(vocabulary: DataFrame, pieces: Pieces) -> DataFrame:
-    """(hash, packed): ids of each word, three bytes each, by the best path through its lattice of pieces."""
+    """(hash, n, packed): ids of each word, three bytes each, by the best path through its lattice of pieces."""
     spark = vocabulary.sparkSession
-    marked = vocabulary.select("hash", F.translate(F.regexp_replace("word", SPACE, _OWN_MARK), " ", SPACE).alias("w"))
-    held = marked.repartition("hash").sortWithinPartitions("hash")
-    starts = held.select("hash", "w", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("f"))
-    spans = starts.select("hash", "w", "f", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("w") - F.col("f")))).alias("m"))
-    cut = spans.select("hash", "w", "f", (F.col("f") + F.col("m")).alias("t"), F.expr("substring(w, f + 1, m)").alias("piece"))
+    tasks = max(1, -(-vocabulary.count() // WORDS_IN_TASK))
+    marked = vocabulary.select("hash", "n", F.translate(F.regexp_replace("word", SPACE, _OWN_MARK), " ", SPACE).alias("w"))
+    # edges stay in the task of their word; it holds few enough words to group them in memory
+    held = marked.repartition(tasks, "hash")
+    starts = held.select("hash", "n", "w", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("f"))
+    # no substring is longer than the longest piece that begins with its first two characters
+    table = pieces.table(spark)
+    heads = table.groupBy(F.substring("piece", 1, 2).alias("head")).agg(F.max(F.length("piece")).alias("most"))
+    starts = starts.withColumn("head", F.expr("substring(w, f + 1, 2)")).join(F.broadcast(heads), "head", "left")
+    spans = starts.select("hash", "n", "w", "f", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("most", F.lit(1)), F.length("w") - F.col("f")))).alias("m"))
+    cut = spans.select("hash", "n", "w", "f", (F.col("f") + F.col("m")).alias("t"), F.expr("substring(w, f + 1, m)").alias("piece"))
     # the piece table is bounded by MOST_PIECES; single characters outside it get an edge of their own
-    known = cut.join(F.broadcast(pieces.table(spark)), "piece", "left").where("id is not null or t = f + 1")
+    known = cut.join(F.broadcast(table), "piece", "left").where("id is not null or t = f + 1")
     edge = F.struct("t", "f", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(float(pieces.unknown_score))).alias("s"))
-    best = known.groupBy("hash", "w").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("hash", "w", _best_path().alias("steps"))
+    best = known.groupBy("hash", "n", "w").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("hash", "n", "w", _best_path().alias("steps"))
     codes = ", ".join(map(str, pieces.byte_ids))
     spelled = f"""transform(sequence(0, length(x) div 2 - 1), k -> get(array({codes}), int(conv(substring(x, 2 * k + 1, 2), 16, 10))))"""
     ids = F.expr(
@@ -155,7 +178,7 @@ def lattice(vocabulary: DataFrame, pieces: Pieces) -> DataFrame:
           transform(array(hex(encode(replace(substring(w, s.f + 1, 1), '{_OWN_MARK}', '{SPACE}'), 'UTF-8'))), x -> {spelled})[0])))"""
     )
     packed = F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i.cast("long")), 6, "0")), ""))
-    return best.select("hash", packed.alias("packed"))
+    return best.select("hash", "n", packed.alias("packed"))
 
 
 def unpack(raw: bytes) -> np.ndarray:
@@ -177,8 +200,9 @@ class Table:
         """Number of each word, -1 where the table has none."""
         if not len(self.hashes):
             return np.full(len(h), -1)
-        at = np.searchsorted(self.hashes, h).clip(max=len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        own, back = np.unique(h, return_inverse=True)
+        at = np.searchsorted(self.hashes, own).clip(max=len(self.hashes) - 1)
+        return np.where(self.hashes[at] == own, at, -1)[back]
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the numbered words one after the other, and how many each has."""
@@ -187,17 +211,17 @@ class Table:
         return self.ids[np.repeat(self.ptr[at] - cut, size) + np.arange(size.sum())], size
 
 
-def _frequent(vocabulary: DataFrame, coded: DataFrame, most: int) -> Table:
-    """Words above the count that at most `most` words reach, from a histogram of counts."""
+def _frequent(coded: DataFrame, most: int) -> tuple[Table, int]:
+    """The table of frequent words and the least count of its words: words above the count that at most `most` words reach, from a histogram of counts."""
     seen, least = 0, None
-    for r in vocabulary.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
+    for r in coded.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
         if seen + r.k > most:
             break
         seen, least = seen + r.k, r.n
     if least is None:
-        return Table(np.zeros(0, np.uint64), [])
+        return Table(np.zeros(0, np.uint64), []), 1 << 62
     rows = coded.where(F.col("n") >= least).select("hash", "packed").toArrow()
-    return Table(rows["hash"].to_numpy().view(np.uint64), rows["packed"].to_pylist())
+    return Table(rows["hash"].to_numpy().view(np.uint64), rows["packed"].to_pylist()), least
 
 
 def _codes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +243,21 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, frequ
     columns of the new names are replaced. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "ids", "round_trip")]
     vocabulary = save(words(docs), "words")
-    packed = save(lattice(vocabulary, pieces), "lattice")
-    coded = packed if not frequent else vocabulary.select("hash", "n").join(packed, "hash")
-    table = spark.sparkContext.broadcast(_frequent(vocabulary, coded, frequent))
+    release(spark)
+    before = spark.conf.get(_HELD)
+    spark.conf.set(_HELD, str(WORDS_HELD))
+    try:
+        packed = save(lattice(vocabulary, pieces), "lattice")
+    finally:
+        spark.conf.set(_HELD, before)
     drop(vocabulary)
+    release(spark)
+    frequent_words, least = _frequent(packed, frequent)
+    table = spark.sparkContext.broadcast(frequent_words)
+    rare = packed.where(F.col("n") < least).select("hash", "packed")
 
     def missing(batches):
         for batch in batches:
@@ -247,8 +280,10 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, frequ
 
     text = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")
     asked = text.mapInArrow(missing, "key long, others array<long>").select("key", F.explode("others").alias("hash"))
-    found = asked.join(packed, "hash").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("hash", "packed"))).alias("__others"))
+    found = asked.join(rare, "hash").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("hash", "packed"))).alias("__others"))
     found = save(found.select(F.col("key").alias("__key"), F.col("__others.hash").alias("__hashes"), F.col("__others.packed").alias("__ids")), "others")
+    drop(packed)
+    release(spark)
     wide = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("text").alias("__key"), F.unhex(F.md5("text")).alias("__md5"), "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields[:-1])
     joined = wide.mapInArrow(known, f"{kinds}, __blob binary").join(found, "__key", "left").select(*[F.col(f"`{c}`") for c in keep], "__md5", "__blob", "__hashes", "__ids")
@@ -258,20 +293,21 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, frequ
         import hashlib
 
         for batch in batches:
-            k = batch.num_columns - 4
-            md5, blobs, hashes, others = (batch.column(i).to_pylist() for i in range(k, k + 4))
-            ids, good = [], []
-            for r in range(batch.num_rows):
-                if md5[r] is None:
-                    ids.append(None)
-                    good.append(None)
-                    continue
-                code = _unpress(blobs[r])
-                out = _fill(code, table.value, hashes[r], others[r])
-                ids.append(out)
-                back = b"".join([spell[i] for i in out.tolist()])[1:]
-                good.append(hashlib.md5(back).digest() == md5[r])
-            yield pa.record_batch([*batch.columns[:k], pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], names=[*batch.schema.names[:k], "ids", "round_trip"])
+            for low in range(0, batch.num_rows, PART_ROWS):
+                own = batch.slice(low, PART_ROWS)
+                k = own.num_columns - 4
+                md5, blobs, hashes, others = (own.column(i).to_pylist() for i in range(k, k + 4))
+                ids, good = [], []
+                for r in range(own.num_rows):
+                    if md5[r] is None:
+                        ids.append(None)
+                        good.append(None)
+                        continue
+                    out = _fill(_unpress(blobs[r]), table.value, hashes[r], others[r])
+                    ids.append(out)
+                    back = b"".join([spell[i] for i in out.tolist()])[1:]
+                    good.append(hashlib.md5(back).digest() == md5[r])
+                yield pa.record_batch([*own.columns[:k], pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], names=[*own.schema.names[:k], "ids", "round_trip"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields[:-3])
     return joined.mapInArrow(assemble, f"{kept}, ids array<int>, round_trip boolean" if kept else "ids array<int>, round_trip boolean")
