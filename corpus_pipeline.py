@@ -10,13 +10,13 @@ from stintline.llm.common import save
 from stintline.llm.queries import MODEL
 
 #: Documents whose language is less sure than this go, and so do those without letters.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learned languages; without a learned language it can only tell letters from none."""
     model = language.train(docs)
-    found = language.identify(docs.withColumn("__body", F.col("text")), model, text_col="__body", keep=docs.columns)
+    found = language.identify(docs, model)
     sure = (F.col("score") >= LEAST_SCORE) if model.langs else F.col("text").rlike(r"\p{L}")
     return found.where(sure & ((F.col("lang_pred") != language.UNKNOWN) if model.langs else F.lit(True))).select(*docs.columns)
 

@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintline.llm.common import PART_ROWS
 from stintline.llm.html_samples import SAMPLES
 
 #: Tags whose content is no text.
@@ -201,8 +202,10 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
         fields = ("text", "words", "links", "outside", "inside", "header", "heading", "listed", "ends")
         kind = pa.list_(pa.struct([pa.field(n, pa.string() if n == "text" else pa.float64()) for n in fields]))
         for batch in batches:
-            found = [[{n: b[n] for n in fields} for b in blocks(x)] for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(found, kind)], names=[*batch.schema.names[:-1], "__blocks"])
+            for low in range(0, batch.num_rows, PART_ROWS):
+                own = batch.slice(low, PART_ROWS)
+                found = [[{n: b[n] for n in fields} for b in blocks(x)] for x in own.column(own.num_columns - 1).to_pylist()]
+                yield pa.record_batch([*own.columns[:-1], pa.array(found, kind)], names=[*own.schema.names[:-1], "__blocks"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
     cut = plain.mapInArrow(run, f"{kinds}__blocks {BLOCK}")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import parts
+from stintline.llm.common import bounded_batches, parts
 
 #: Rows of each language that the training sample holds at most, and bytes of each that it reads.
 SAMPLE, SAMPLE_BYTES = 600, 4000
@@ -207,6 +207,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     names are replaced. Repeated rows each give a row; an empty table gives an empty one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    bounded_batches(docs.sparkSession)
     text = [] if text_col in keep else [text_col]
     plain = docs.select(*[F.col(f"`{c}`") for c in [*keep, *text]], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__some"))
     place = plain.columns.index(text_col)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import NOT_SPACE, Words, parts, save, sent_if_small
+from stintline.llm.common import NOT_SPACE, Words, bounded_batches, parts, save, sent_if_small
 from stintline.llm.language import held_out
 
 #: Words of a passage; the last one of a document may be shorter.
@@ -210,6 +210,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     Input columns of the new names are replaced. Repeated rows each give a row. An empty table gives an empty one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "top_passage")]
+    bounded_batches(docs.sparkSession)
     plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
 
     def run(batches):
