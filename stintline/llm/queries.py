@@ -8,13 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm import decontaminate, htmltext, hyperplanes, language, linechunks, minhash, pieces, quality, urltree
+from stintline.llm import decontaminate, htmltext, hyperplanes, language, linechunks, minhash, personal, pieces, quality, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_line_chunk_dedup, op6_language_id, op7_html_main_text, op8_quality, op9_sentencepiece, op10_url_filter)
+    f.__name__: f for f in (op1_pii_surrogates, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_line_chunk_dedup, op6_language_id, op7_html_main_text, op8_quality, op9_sentencepiece, op10_url_filter)
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
