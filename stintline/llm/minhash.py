@@ -18,8 +18,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Members of a block of a hot bucket.
 BLOCK = 128
-#: A link: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: A link: 100 * intersection >= percent * union. PERCENT is that of the pipeline's stage, OP2_PERCENT that of op2.
+PERCENT, OP2_PERCENT = 80, 85
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,7 +159,7 @@ def confirm(percent: int, least_agree: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = OP2_PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of `docs`, which may hold any other columns.
 
     Words are runs of bytes other than space and 09-0D, A-Z in lower case; the set of a document is its distinct

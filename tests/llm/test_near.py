@@ -104,3 +104,15 @@ def test_components(spark):
     want = closure({n for x in good for n in x}, good)
     assert got == want
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_pipeline_stage_takes_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]
+    docs = [(1, base), (2, [*base[:94], *(f"x{i}" for i in range(10))]), (3, [*base[:85], *(f"y{i}" for i in range(19))])]
+    rows = [(i, " ".join(w)) for i, w in docs]
+    a, b, c = (shingles(t) for _, t in rows)
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) and 100 * len(a & c) < 80 * len(a | c) and 100 * len(b & c) < 80 * len(b | c)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, df, "").collect()} == {1, 3}
