@@ -2,12 +2,13 @@
 
 Texts are cut before each run of spaces and around newlines, which no piece of the model crosses. Every distinct word
 is exploded into substrings of at most a piece's length, these meet the piece table in an equi-join, edges are grouped
-by word, and a SQL aggregate folds the best path. Documents then take their words' ids: the most frequent words from
+by word, and a SQL aggregate folds the best path; long words are folded without rows. Documents then take their words' ids: the most frequent words from
 a bounded table sent to the tasks, all others by a join.
 """
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +22,12 @@ from stintline.llm.common import PART_ROWS, bounded_batches, drop, parts, releas
 SPACE = "\u2581"
 #: Stands for a space mark that the text itself holds; its bytes are encoded, so that decoding gives it back.
 _OWN_MARK = "\ufdd0"
-#: A word of more bytes is cut into parts, each encoded by itself.
+#: A word of more bytes is folded over the piece table in one pass of its task, whole, since its lattice as rows would carry the word as often as it has edges.
 LONG = 512
 #: Words of the table that is sent to the tasks, at most (about 30 bytes each).
 FREQUENT = 1_000_000
+#: Ids of a word of that table, at most.
+SENT_IDS = 64
 #: Pieces of a model, at most: the bound on the broadcast piece table.
 MOST_PIECES = 1_000_000
 UNKNOWN_PENALTY = 10.0
@@ -32,6 +35,8 @@ UNKNOWN_PENALTY = 10.0
 WORDS_IN_TASK, WORDS_HELD = 8_192, 32_768
 #: Words that a task counts before it hands them on.
 WORDS_COUNTED = 800_000
+#: Bytes of a word that weigh as one word more in that count.
+WORD_BYTES = 40
 _HELD = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
@@ -88,16 +93,6 @@ def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = ((text == 32) & (before != 32)) | (text == 10) | (before == 10)
     first[offsets[:-1][some]] = True
     start = np.flatnonzero(first)
-    size = np.diff(np.append(start, len(text)))
-    for k in np.flatnonzero(size > LONG):
-        at = start[k] + LONG
-        while at < start[k] + size[k]:
-            while at < start[k] + size[k] and text[at] & 0xC0 == 0x80:
-                at += 1
-            if at < start[k] + size[k]:
-                first[at] = True
-            at += LONG
-    start = np.flatnonzero(first)
     if not len(start):
         return text, start, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     size = np.diff(np.append(start, len(text)))
@@ -127,7 +122,7 @@ def words(docs: DataFrame) -> DataFrame:
                 flat = text[np.repeat(a - cut[:-1], size) + np.arange(cut[-1])]
                 word = pa.StringArray.from_buffers(len(a), pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
                 held.append((own, word, count))
-                n += len(own)
+                n += len(own) + len(flat) // WORD_BYTES
                 if n > WORDS_COUNTED:
                     own, word, count = merged(held)
                     yield pa.record_batch([pa.array(own.view(np.int64)), word, pa.array(count)], names=["hash", "word", "n"])
@@ -153,9 +148,47 @@ def _best_path() -> Column:
     return F.expr(back)
 
 
+def folded(word: str, table: dict[str, tuple[int, float]], most: dict[str, int], pieces: Pieces) -> bytes:
+    """The packed ids of a word by the same path as `_best_path`, in memory that grows as the word."""
+    w = word.replace(SPACE, _OWN_MARK).replace(" ", SPACE)
+    n = len(w)
+    score, came, by = array("d", [-np.inf]) * (n + 1), array("q", [0]) * (n + 1), array("q", [-1]) * (n + 1)
+    score[0] = 0.0
+    for f in range(n):
+        own = score[f]
+        for t in range(f + 1, min(f + most.get(w[f : f + 2], 1), n) + 1):
+            hit = table.get(w[f:t]) or ((-1, pieces.unknown_score) if t == f + 1 else None)
+            if hit and own + hit[1] > score[t]:
+                score[t], came[t], by[t] = own + hit[1], f, hit[0]
+    ids, t = array("q"), n
+    while t:
+        if by[t] >= 0:
+            ids.append(by[t])
+        else:
+            ids.extend(pieces.byte_ids[b] for b in reversed(w[t - 1].replace(_OWN_MARK, SPACE).encode()))
+        t = came[t]
+    return np.frombuffer(ids, np.int64)[::-1].astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+
+
 def lattice(vocabulary: DataFrame, pieces: Pieces) -> DataFrame:
     """(hash, n, packed): ids of each word, three bytes each, by the best path through its lattice of pieces."""
     spark = vocabulary.sparkSession
+    # the piece table is bounded by MOST_PIECES
+    shared = spark.sparkContext.broadcast(pieces)
+
+    def fold(batches):
+        own = shared.value
+        table = {t: (i, s) for i, (t, s, ok) in enumerate(zip(own.texts, own.scores, own.usable, strict=True)) if ok}
+        most: dict[str, int] = {}
+        for t in table:
+            most[t[:2]] = max(most.get(t[:2], 1), len(t))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                raw = folded(batch.column(2)[row].as_py(), table, most, own)
+                yield pa.record_batch([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([raw], pa.binary())], names=["hash", "n", "packed"])
+
+    long = vocabulary.where(F.octet_length("word") > LONG).select("hash", "n", "word").mapInArrow(fold, "hash long, n long, packed binary")
+    vocabulary = vocabulary.where(F.octet_length("word") <= LONG)
     tasks = max(1, -(-vocabulary.count() // WORDS_IN_TASK))
     marked = vocabulary.select("hash", "n", F.translate(F.regexp_replace("word", SPACE, _OWN_MARK), " ", SPACE).alias("w"))
     # edges stay in the task of their word; it holds few enough words to group them in memory
@@ -178,7 +211,7 @@ def lattice(vocabulary: DataFrame, pieces: Pieces) -> DataFrame:
           transform(array(hex(encode(replace(substring(w, s.f + 1, 1), '{_OWN_MARK}', '{SPACE}'), 'UTF-8'))), x -> {spelled})[0])))"""
     )
     packed = F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i.cast("long")), 6, "0")), ""))
-    return best.select("hash", "n", packed.alias("packed"))
+    return best.select("hash", "n", packed.alias("packed")).union(long)
 
 
 def unpack(raw: bytes) -> np.ndarray:
@@ -211,9 +244,14 @@ class Table:
         return self.ids[np.repeat(self.ptr[at] - cut, size) + np.arange(size.sum())], size
 
 
+def _short() -> Column:
+    return F.octet_length("packed") <= 3 * SENT_IDS
+
+
 def _frequent(coded: DataFrame, most: int) -> tuple[Table, int]:
-    """The table of frequent words and the least count of its words: words above the count that at most `most` words reach, from a histogram of counts."""
+    """The table of frequent words of at most SENT_IDS ids and the least count of its words: words above the count that at most `most` words reach, from a histogram of counts."""
     seen, least = 0, None
+    coded = coded.where(_short())
     for r in coded.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
         if seen + r.k > most:
             break
@@ -239,7 +277,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, frequ
     equal the path whose last piece is longest wins. A character outside the table is spelled in byte pieces at the
     lowest score less 10. One space is put before the text, as the models have it. round_trip tells that the ids
     decode to the very text. Null texts have null ids and null round_trip; empty ones no ids.
-    Words of more than LONG bytes are cut at character borders. Repeated rows each give a row; input
+    Words are whole, however long. Repeated rows each give a row; input
     columns of the new names are replaced. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -257,7 +295,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, frequ
     release(spark)
     frequent_words, least = _frequent(packed, frequent)
     table = spark.sparkContext.broadcast(frequent_words)
-    rare = packed.where(F.col("n") < least).select("hash", "packed")
+    rare = packed.where((F.col("n") < least) | ~_short()).select("hash", "packed")
 
     def missing(batches):
         for batch in batches:

@@ -96,6 +96,15 @@ def test_own_space_marks_and_long_words_come_back(spark):
     assert {r.doc_id: r.text for r in pieces.decode(out, toy).collect()} == dict(enumerate(texts))
 
 
+@pytest.mark.parametrize("frequent", [0, 1000])
+def test_words_of_over_512_bytes_match_brute_force(spark, frequent):
+    toy = pieces.Pieces.of(Toy())
+    texts = ["ab" * 400, "aba" * 171 + "ab" * 90, "漢" * 169 + "aaba" * 60 + "é", " " * 700 + "ba", "x ab " + "ba" * 300, "a" * 511 + "ba"]
+    out = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), toy, frequent=frequent)
+    for r in out.collect():
+        assert r.round_trip and list(r.ids) == brute(texts[r.doc_id], Toy())
+
+
 @needs_model
 def test_no_path_of_the_library_scores_higher(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
