@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,11 @@ PART_ROWS = 1_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none (tests, local runs)."""
+    """The cluster's shared folder. One of our own stands in where a local master names none; a cluster without one is refused, since executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,11 +42,32 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Texts are long: tasks get at most `rows` of them in an Arrow batch; a smaller setting of the session stays."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is written inside; the session's setting comes back. Spark bounds a batch's bytes itself."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def lean(run: Callable) -> Callable:
+    """`run`, a function of mapInArrow, that gives its task's free memory back to the system at the end, since workers serve many stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
 
 
 def release(spark: SparkSession) -> None:
@@ -60,15 +85,35 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-#: Bytes up to which a counted table is sent to every task; larger ones are shuffled.
+#: Bytes up to which a table is sent to every task; larger ones are shuffled.
 SEND_BYTES = 32_000_000
 
 
 def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A saved table, marked for broadcast if its counted rows of at most about `row_bytes` fit SEND_BYTES."""
+    """A saved table of rows of fixed width, marked for broadcast if its counted rows of at most `row_bytes` fit SEND_BYTES."""
     return F.broadcast(df) if df.count() * row_bytes <= SEND_BYTES else df
 
 
+#: Bits of a filter of keys: 8 MB in rows of 4 KB, whatever the number of keys. A fuller one lets more rows through, never fewer.
+FILTER_BITS, _ROW_BITS = 1 << 26, 1 << 15
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """Bitmaps of the hashes of `key`, a table of at most FILTER_BITS bits by slot, for `may_hold`."""
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    slots = keys.select((slot / _ROW_BITS).cast("int").alias("__slot"), (slot % _ROW_BITS).alias("bit"))
+    return save(slots.groupBy("__slot").agg(F.bitmap_construct_agg("bit").alias("__bits")), "filter")
+
+
+def may_hold(df: DataFrame, key: str, bitmaps: DataFrame) -> DataFrame:
+    """`df` with the boolean __may: false only where the filter's keys surely don't hold the row's; no shuffle."""
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    named = df.withColumn("__slot", (slot / _ROW_BITS).cast("int")).withColumn("__bit", (slot % _ROW_BITS).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, __bit div 8 + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce((byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)"))) != 0, F.lit(False))
+    return named.join(F.broadcast(bitmaps), "__slot", "left").withColumn("__may", hit).drop("__slot", "__bit", "__bits")
+
+
 # --- words -----------------------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)
