@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import drop, save, sent_if_small
+from stintline.llm.common import drop, key_filter, may_hold, save
 
 #: A line ends a chunk if its rolling hash over this many lines, modulo this divisor, is 0.
 ROLL, DIVISOR = 2, 3
-#: Shorter chunks stay where they are, and so do single lines.
+#: A line of so many spaces or characters is a chunk by itself, so that a repeated passage on one line is met wherever it stands.
+LONG_SPACES, LONG_CHARS = 49, 300
+#: Shorter chunks stay where they are, and so do single lines that are not long.
 LEAST_CHARS, LEAST_LINES = 40, 2
 
 
@@ -25,21 +27,26 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
+def is_long(line: Column) -> Column:
+    return (F.length(line) >= LONG_CHARS) | (F.length(line) - F.length(F.replace(line, F.lit(" "))) >= LONG_SPACES)
+
+
 def cut(text: Column, roll: int = ROLL, divisor: int = DIVISOR) -> Column:
     """Chunks of a text in order, without gaps: array of (n_lines, body).
 
     The rolling hash of line i is the sum of h(i - k) * 31^k over k < roll, so a boundary depends on `roll` lines
-    only and comes back wherever the same lines stand. The last line always ends a chunk.
+    only and comes back wherever the same lines stand. Long lines end the chunk before them and are one themselves.
+    The last line always ends a chunk.
     """
 
-    def ends(h: Column) -> Column:
+    def ends(x: Column) -> Column:
         def is_end(i: Column) -> Column:
-            rolled = F.element_at(h, i)
+            rolled = F.element_at(x, i).h
             for k in range(1, roll):
-                rolled = rolled + F.when(i > k, F.element_at(h, F.greatest(i - k, F.lit(1))) * (31**k)).otherwise(0)
-            return (rolled % divisor == 0) | (i == F.size(h))
+                rolled = rolled + F.when(i > k, F.element_at(x, F.greatest(i - k, F.lit(1))).h * (31**k)).otherwise(0)
+            return (rolled % divisor == 0) | (i == F.size(x)) | F.element_at(x, i).alone | F.coalesce(F.get(x, i).alone, F.lit(False))
 
-        return F.filter(F.sequence(F.lit(1), F.size(h)), is_end)
+        return F.filter(F.sequence(F.lit(1), F.size(x)), is_end)
 
     def bodies(lines: Column, e: Column) -> Column:
         def body(to: Column, i: Column) -> Column:
@@ -48,11 +55,10 @@ def cut(text: Column, roll: int = ROLL, divisor: int = DIVISOR) -> Column:
 
         return F.transform(e, body)
 
-    return let(F.split(text, "\n"), lambda lines: let(ends_of(lines, ends), lambda e: bodies(lines, e)))
-
+    def named(line: Column) -> Column:
+        return F.struct(line_hash(line).alias("h"), is_long(line).alias("alone"))
 
-def ends_of(lines: Column, ends: Callable[[Column], Column]) -> Column:
-    return let(F.transform(lines, line_hash), ends)
+    return let(F.split(text, "\n"), lambda lines: let(let(F.transform(lines, named), ends), lambda e: bodies(lines, e)))
 
 
 def _key() -> Column:
@@ -67,37 +73,44 @@ def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES, least_chars
     """
     plain = docs.select("doc_id", "text").where("text is not null").select(_key().alias("key"), "doc_id", "text")
     all_cut = plain.select("key", "doc_id", F.posexplode(cut(F.col("text"))).alias("pos", "c"))
-    all_cut = all_cut.where((F.col("c.n_lines") >= least_lines) & (F.length("c.body") >= least_chars))
+    wanted = (F.col("c.n_lines") >= least_lines) | is_long(F.col("c.body"))
+    all_cut = all_cut.where(wanted & (F.length("c.body") >= least_chars))
     seen = save(all_cut.select("key", "doc_id", "pos", F.unhex(F.md5("c.body")).alias("digest")), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "pos")
     first = save(seen.distinct().groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
     some = save(seen.join(first.select("digest", F.col("first.key").alias("first_key"), F.col("first.pos").alias("first_pos")), "digest"), "candidates")
 
-    # bytes of the candidates only
+    # bytes of the candidates only; of the documents that hold none, few reach the shuffle
     asked = save(some.groupBy("key").agg(F.collect_set(F.struct("pos", "digest", "first_key", "first_pos")).alias("asked")), "asked")
-    bodies = plain.join(sent_if_small(asked, 200), "key").select("key", let(cut(F.col("text")), lambda c: F.transform("asked", lambda a: F.struct(a.alias("a"), F.get(c, a.pos).body.alias("body")))).alias("found"))
+    held = key_filter(asked, "key")
+    holders = may_hold(plain.select("key", "text"), "key", held).where("__may").select("key", "text").join(asked, "key")
+    bodies = holders.select("key", let(cut(F.col("text")), lambda c: F.transform("asked", lambda a: F.struct(a.alias("a"), F.get(c, a.pos).body.alias("body")))).alias("found"))
     bodies = bodies.select("key", F.explode("found").alias("f")).select("key", "f.a.*", "f.body")
     groups = bodies.groupBy("digest", "body").agg(F.bool_or((F.col("key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))).alias("has_first"))
     proven = save(groups.groupBy("digest").agg(F.count("*").alias("bodies"), F.bool_and("has_first").alias("whole")).where("bodies = 1 and whole").select("digest"), "proven")
     later = some.where("key <> first_key or pos <> first_pos").join(proven, "digest")
     gone = save(later.groupBy("key").agg(F.collect_set("pos").alias("gone")), "gone")
-    for x in (seen, first, some, asked, proven):
+    for x in (seen, first, some, asked, held, proven):
         drop(x)
     return gone
 
 
 def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """`docs` with every multi-line chunk removed that stands at an earlier place too, and two more columns.
-
-    Lines are split at newlines and chunks end where the rolling hash says so. The earliest place of a chunk is that
-    of the smallest (doc_id, text digest, chunk number), null ids last; it keeps the chunk. Later places lose it if
-    the bytes are equal. Chunks of one line or of fewer than `least_chars` characters stay. Adds n_lines (lines of the
-    text before, null for null) and n_removed (lines that went). Null texts stay null and empty ones empty. Rows equal
-    in doc_id and text count as one document and all keep or lose the same chunks. Other columns pass through;
-    input columns of the two new names are replaced. An empty table gives an empty one.
+    """`docs` with every chunk removed that stands at an earlier place too, and two more columns.
+
+    Lines are split at newlines; chunks end where the rolling hash says so, and before and after a long line (49 spaces
+    or 300 characters), which is a chunk by itself. The earliest place of a chunk is that of the smallest (doc_id, text
+    digest, chunk number), null ids last; it keeps the chunk. Later places lose it if the bytes are equal. Chunks of one
+    line that is not long, or of fewer than `least_chars` characters, stay. Adds n_lines (lines of the text before, null
+    for null) and n_removed (lines that went). Null texts stay null and empty ones empty; long texts are cut in whole.
+    Rows equal in doc_id and text count as one document and all keep or lose the same chunks. Other columns pass
+    through; input columns of the two new names are replaced. An empty table gives an empty one.
     """
     gone = repeated_chunks(docs, least_lines, least_chars).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    joined = docs.withColumn("__key", _key()).join(sent_if_small(gone, 60), "__key", "left")
+    # only documents that may lose something are shuffled
+    keyed = may_hold(docs.withColumn("__key", _key()), "__key", key_filter(gone, "__key"))
+    losing = keyed.where("__may").join(gone, "__key", "left").drop("__key", "__may")
+    joined = losing.unionByName(keyed.where("not __may").drop("__key", "__may").withColumn("__gone", F.lit(None).cast("array<int>")))
 
     def rest(c: Column) -> Column:
         kept = F.filter(c, lambda x, i: ~F.array_contains("__gone", i))

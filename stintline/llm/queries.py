@@ -130,14 +130,15 @@ WITH doc AS (SELECT row_number() OVER () AS rid, md5(concat_ws('|', coalesce(CAS
 line AS (
   SELECT rid, k, doc_id, i, l, ('0x' || substr(md5(l), 1, 8))::BIGINT AS h
   FROM (SELECT rid, k, doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rid, k, doc_id, string_split(text, chr(10)) AS ls FROM doc WHERE text IS NOT NULL))),
+alone AS (SELECT *, length(l) >= 300 OR length(l) - length(replace(l, ' ', '')) >= 49 AS is_long FROM line),
 flag AS (
-  SELECT *, (h + coalesce(lag(h) OVER w, 0) * 31) % 3 = 0 AS is_end FROM line WINDOW w AS (PARTITION BY rid ORDER BY i)),
+  SELECT *, (h + coalesce(lag(h) OVER w, 0) * 31) % 3 = 0 OR is_long OR coalesce(lead(is_long) OVER w, false) AS is_end FROM alone WINDOW w AS (PARTITION BY rid ORDER BY i)),
 piece AS (
   SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM flag),
 chunk AS (
-  SELECT rid, k, doc_id, pos, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS body FROM piece GROUP BY rid, k, doc_id, pos),
+  SELECT rid, k, doc_id, pos, count(*) AS n, bool_or(is_long) AS is_long, string_agg(l, chr(10) ORDER BY i) AS body FROM piece GROUP BY rid, k, doc_id, pos),
 ranked AS (
-  SELECT *, dense_rank() OVER (PARTITION BY body ORDER BY doc_id IS NULL, doc_id, k, pos) AS place FROM chunk WHERE n >= 2 AND length(body) >= 40),
+  SELECT *, dense_rank() OVER (PARTITION BY body ORDER BY doc_id IS NULL, doc_id, k, pos) AS place FROM chunk WHERE (n >= 2 OR is_long) AND length(body) >= 40),
 gone AS (SELECT rid, pos FROM ranked WHERE place > 1),
 rest AS (
   SELECT c.rid, coalesce(string_agg(CASE WHEN g.rid IS NULL THEN body END, chr(10) ORDER BY c.pos), '') AS text,

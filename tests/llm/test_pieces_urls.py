@@ -227,11 +227,11 @@ def test_pipeline_matches_its_stages_by_hand(spark, tmp_path):
     for i in sorted(kept):
         body = []
         lines = kept[i].split("\n")
-        from tests.llm.test_text import cut
+        from tests.llm.test_text import cut, is_long
 
         for c in cut("\n".join(lines)):
             joined = "\n".join(c)
-            if len(c) >= 2 and len(joined) >= linechunks.LEAST_CHARS:
+            if (len(c) >= 2 or is_long(joined)) and len(joined) >= linechunks.LEAST_CHARS:
                 if joined in seen:
                     continue
                 seen.add(joined)

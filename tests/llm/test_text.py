@@ -55,13 +55,17 @@ def test_proximity(spark):
     assert {r.doc_id: list(r.starts) for r in decontaminate.matches(d, b).collect()} == {1: [], 2: [], 3: [], 4: []}
 
 
+def is_long(line):
+    return len(line) >= 300 or line.count(" ") >= 49
+
+
 def cut(text):
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     out, held = [], []
     for i, line in enumerate(lines):
         held.append(line)
-        if (h[i] + (31 * h[i - 1] if i else 0)) % 3 == 0 or i == len(lines) - 1:
+        if (h[i] + (31 * h[i - 1] if i else 0)) % 3 == 0 or i == len(lines) - 1 or is_long(line) or is_long(lines[i + 1]):
             out.append(held)
             held = []
     return out
@@ -70,6 +74,8 @@ def cut(text):
 def test_line_chunks_match_brute_force(spark):
     block = [f"this is line number {i} of the shared part" for i in range(20)]
     docs = [(3, "\n".join(["intro", *block, "end"])), (1, "\n".join([*block[4:], "other end"])), (2, "\n".join(["p", "q", *block, *block])), (4, ""), (5, None), (6, "one line only"), (3, "\n".join(["intro", *block, "end"])), (None, "\n".join(block)), (7, "\n" * 50)]
+    passage = " ".join(f"p{i}" for i in range(51))
+    docs += [(20 + i, f"start {i} of its own\n{passage}\nend {i}") for i in range(30)] + [(60, "x" * 300), (61, "y\n" + "x" * 300), (62, "line\n" * 20_000 + passage)]
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in docs], "doc_id long, text string, gone string, n_lines int")
 
     def key(i, t):
@@ -79,7 +85,7 @@ def test_line_chunks_match_brute_force(spark):
     for i, t in set(docs):
         if t is not None:
             for pos, c in enumerate(cut(t)):
-                if len(c) >= 2 and len("\n".join(c)) >= 40:
+                if (len(c) >= 2 or is_long(c[0])) and len("\n".join(c)) >= 40:
                     places.setdefault("\n".join(c), []).append((i is None, i or 0, key(i, t), pos))
     want = []
     for i, t in docs:
@@ -99,6 +105,7 @@ def test_line_chunks_match_brute_force(spark):
     got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(r[3] for r in got) > 20
+    assert sum(passage in (r[1] or "") for r in got) == 1 and got[[r[0] for r in got].index(61)][1] == "y"
     assert linechunks.dedup_lines(df.limit(0)).collect() == []
 
 
