@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import bounded_batches, parts
+from stintline.llm.common import lean, parts
 
-#: Rows of each language that the training sample holds at most, and bytes of each that it reads.
-SAMPLE, SAMPLE_BYTES = 600, 4000
+#: Rows of each language that the training sample holds, about; whole texts of each.
+SAMPLE = 600
 #: Size of the table of hashed letter n-grams.
 TABLE = 1 << 15
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Rows that are counted at once.
-_ROWS = 64
+#: Rows, and bytes of text, that are counted at once.
+_ROWS, _BYTES = 64, 1 << 17
 UNKNOWN = "und"
 
 #: Language families of ISO 639-1 codes; a language outside them is a family of its own.
@@ -46,17 +46,18 @@ def family(lang: str) -> str:
     return _FAMILY.get(lang, lang)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 1- to 4-byte runs of letters with word borders, and the row of each; only letters count."""
-    n = len(data)
-    if not n:
+def grams(data: np.ndarray, offsets: np.ndarray, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed 1- to 4-byte runs of letters with word borders that begin at bytes low to high, and the row of each; only letters count."""
+    high = len(data) if high is None else min(high, len(data))
+    own = data[low : high + 3].copy()
+    n, most = len(own), high - low
+    if most <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = data.copy()
-    upper = (low >= 65) & (low <= 90)
-    low[upper] += 32
-    letter = _LETTERS[low]
-    code = np.where(letter, low, 32).astype(np.uint64)
-    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
+    upper = (own >= 65) & (own <= 90)
+    own[upper] += 32
+    letter = _LETTERS[own]
+    code = np.where(letter, own, 32).astype(np.uint64)
+    row = np.searchsorted(offsets, np.arange(low, low + n), "right") - 1
     out, rows, run = [], [], code.copy()
     for k in range(1, 5):
         size = n - k + 1
@@ -64,26 +65,38 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
             break
         if k > 1:
             run = run[:size] * np.uint64(256) + code[k - 1 :]
-        good = letter[:size] if k == 1 else (row[:size] == row[k - 1 :]) & (letter[:size] | letter[k - 1 :])
+        good = letter[:size].copy() if k == 1 else (row[:size] == row[k - 1 :]) & (letter[:size] | letter[k - 1 :])
         if k > 2:
             good &= letter[1 : size + 1]
         if k > 3:
             good &= letter[2 : size + 2]
+        good[most:] = False
         h = run[good]
         out.append((((h + np.uint64(k << 40)) * _SPREAD) >> np.uint64(49)).astype(np.int64))
         rows.append(row[:size][good])
     return np.concatenate(out), np.concatenate(rows)
 
 
-def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(n-grams, square roots of their shares) of each text: sparse rows of unit length."""
-    out = []
-    for text in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        g, _ = grams(data, np.array([0, len(data)]))
-        at, count = np.unique(g, return_counts=True)
-        out.append((at.astype(np.int32), np.sqrt(count / max(count.sum(), 1))))
-    return out
+def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each hashed n-gram stands in each row, whole rows, over slices of the bytes."""
+    m = len(offsets) - 1
+    out = np.zeros(m * TABLE, np.float32)
+    for low in range(0, len(data), _BYTES):
+        g, r = grams(data, offsets, low, low + _BYTES)
+        a, b = (int(r.min()), int(r.max()) + 1) if len(r) else (0, 0)
+        out[a * TABLE : b * TABLE] += np.bincount((r - a) * TABLE + g, minlength=(b - a) * TABLE)
+    return out.reshape(m, TABLE)
+
+
+def _features(batches):
+    """(lang, hashed n-grams, square roots of their shares) of each text: sparse rows of unit length."""
+    for batch in batches:
+        for row, end, data, offsets in parts(batch.column(1)):
+            for r in range(end - row):
+                own = counts(data[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))[0]
+                at = np.flatnonzero(own)
+                value = np.sqrt(own[at] / max(own.sum(), 1))
+                yield pa.record_batch([batch.column(0).slice(row + r, 1), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([value], pa.list_(pa.float32()))], names=["lang", "at", "value"])
 
 
 def linear_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 60, cost: float = 4.0) -> tuple[np.ndarray, float]:
@@ -113,14 +126,13 @@ def linear_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: in
 class Model:
     """Family SVMs (one versus one over families), and per family one-versus-one SVMs over its languages."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family(x) for x in self.langs})
         self.pairs: list[tuple[str, str]] = []
         weights, biases = [], []
         lang = np.array(langs)
         fam = np.array([family(x) for x in langs])
-        x = features(texts)
         jobs = [(fam, pair) for pair in combinations(self.families, 2)]
         jobs += [(lang, pair) for f in self.families for pair in combinations([k for k in self.langs if family(k) == f], 2)]
         for label, (a, b) in jobs:
@@ -139,10 +151,10 @@ class Model:
         for low in range(0, n, _ROWS):
             own = offsets[low : low + _ROWS + 1]
             m = len(own) - 1
-            g, r = grams(data[own[0] : own[-1]], own - own[0])
-            count = np.bincount(r * TABLE + g, minlength=m * TABLE).astype(np.float32).reshape(m, TABLE)
-            total[low : low + m] = count.sum(axis=1, dtype=np.float64)
-            x = np.sqrt(count / np.maximum(total[low : low + m], 1)[:, None].astype(np.float32))
+            x = counts(data[own[0] : own[-1]], own - own[0])
+            total[low : low + m] = x.sum(axis=1, dtype=np.float64)
+            x /= np.maximum(total[low : low + m], 1)[:, None].astype(np.float32)
+            np.sqrt(x, out=x)
             out[low : low + m] = x @ self.weights.T + self.biases
         return out, total > 0
 
@@ -177,26 +189,24 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on the `sample` rows of each language with the smallest hash of (id, text), rows held out left aside.
+    """Fit on about `sample` rows of each language, those with the smallest hash of the id, rows held out left aside.
 
-    The sample is bounded by `sample` rows a language and SAMPLE_BYTES characters a row; languages are the distinct non-null labels.
+    Languages are the distinct non-null labels; the sampled texts count in whole. A language of fewer rows gives them
+    all. Repeated rows may be drawn more than once; rows of one id are drawn together.
     """
-    known = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, F.lit(3)).alias("h")).where("lang is not null and text is not null and lang <> 'und'")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    pick = None
-    for r in sorted(counts, key=lambda r: r.lang):
-        bound = float(2**63) * (2 * min(1.0, 2.0 * sample / r.n) - 1)
-        one = known.where((F.col("lang") == r.lang) & (F.col("h").cast("double") <= bound))
-        pick = one if pick is None else pick.unionByName(one)
-    if pick is None:
+    known = docs.where(~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.lit(3)).alias("h"))
+    known = known.where("lang is not null and text is not null and lang <> 'und'")
+    shares = {r.lang: min(1.0, sample / r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not shares:
         return Model([], [])
-    rows = pick.select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "h").collect()
-    texts, langs = [], []
-    for r in counts:
-        for x in sorted((x for x in rows if x.lang == r.lang), key=lambda x: (x.h, x.text))[:sample]:
-            texts.append(x.text)
-            langs.append(x.lang)
-    return Model(texts, langs)
+    # one scan for all languages
+    bound = F.create_map(*[x for lang, share in sorted(shares.items()) for x in (F.lit(lang), F.lit(float(2**63) * (2 * share - 1)))])
+    picked = known.where(F.col("h").cast("double") <= F.element_at(bound, F.col("lang"))).select("lang", "text")
+    rows = picked.mapInArrow(lean(_features), "lang string, at array<int>, value array<float>").toArrow().combine_chunks()
+    langs = rows["lang"].to_pylist()
+    pairs = [(at.values.to_numpy(), value.values.to_numpy()) for at, value in zip(rows["at"], rows["value"], strict=True)]
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], pairs[i][0].tobytes(), pairs[i][1].tobytes()))
+    return Model([pairs[i] for i in order], [langs[i] for i in order])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -207,7 +217,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     names are replaced. Repeated rows each give a row; an empty table gives an empty one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    bounded_batches(docs.sparkSession)
     text = [] if text_col in keep else [text_col]
     plain = docs.select(*[F.col(f"`{c}`") for c in [*keep, *text]], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__some"))
     place = plain.columns.index(text_col)
@@ -222,4 +231,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                 yield pa.record_batch([*own.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score * some, pa.float64())], names=[*own.schema.names[: len(keep)], "lang_pred", "score"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[: len(keep)])
-    return plain.mapInArrow(run, f"{kinds}lang_pred string, score double")
+    return plain.mapInArrow(lean(run), f"{kinds}lang_pred string, score double")
