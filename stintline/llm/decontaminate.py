@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import ALNUM, Words, parts, save
+from stintline.llm.common import ALNUM, Words, lean, parts, save
 
 WINDOW = 10
 #: Phrases that one pass over the index carries; more take further passes.
@@ -33,11 +33,11 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(row, end - row), pa.array(lists, pa.list_(pa.int64()))], names=["item_id", "words"])
 
     plain = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "item_id string, words array<long>").where("size(words) > 0")
+    return plain.mapInArrow(lean(run), "item_id string, words array<long>").where("size(words) > 0")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: np.ndarray | None = None) -> DataFrame:
-    """Write and read again the index of `docs`; with `terms` (sorted 64-bit hashes) only of their postings.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write and read again the index of `docs`: the postings of all of their words.
 
     A shard spans about 2 MB of text and at least one whole document. Positions count the words of a shard, with one
     unused position after each document, so that no phrase runs across documents.
@@ -50,10 +50,6 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 w = Words(data, offsets, ALNUM)
                 position = np.arange(len(w.hash)) + w.row
                 h = w.hash
-                if terms is not None:
-                    at = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
-                    known = terms[at] == h if len(terms) else np.zeros(len(h), bool)
-                    h, position = h[known], position[known]
                 order = np.argsort(h, kind="stable")
                 h, position = h[order], position[order]
                 begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -63,7 +59,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["shard", "doc_ids", "doc_starts", "n_words", "terms", "term_starts", "positions"],
                 )
 
-    return save(plain.mapInArrow(run, INDEX), "index")
+    return save(plain.mapInArrow(lean(run), INDEX), "index")
 
 
 class Phrases:
@@ -125,17 +121,16 @@ class Shard:
         return phrase[good], start[good]
 
     def near(self, p: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position) where a span of at most len + slop words that begins there holds each word of the phrase, in any order."""
+        """(phrase, position) where a span of at most len + slop words that begins there holds each word of the phrase, as often as the phrase does, in any order."""
         found = [], []
         for k in range(len(p.item)):
-            words = np.unique(p.words[k, : p.size[k]])
+            words, times = np.unique(p.words[k, : p.size[k]], return_counts=True)
             a, b = self.of(words)
-            if (a == b).any():
+            if (b - a < times).any():
                 continue
-            lists = [self.positions[x:y] for x, y in zip(a, b, strict=True)]
-            lists.sort(key=len)
+            lists = sorted(((self.positions[x:y], n) for x, y, n in zip(a, b, times, strict=True)), key=lambda x: len(x[0]))
             length = p.size[k] + slop
-            start = np.unique(lists[0][:, None] - np.arange(length)[None, :])
+            start = np.unique(lists[0][0][:, None] - np.arange(length)[None, :])
             start = start[start >= 0]
             doc = np.searchsorted(self.doc_starts, start, "right") - 1
             start, doc = start[doc >= 0], doc[doc >= 0]
@@ -144,9 +139,9 @@ class Shard:
             end = np.minimum(start + length, self.doc_starts[doc] + self.n_words[doc])
             good = np.ones(len(start), bool)
             begins = np.zeros(len(start), bool)
-            for x in lists:
+            for x, n in lists:
                 low = np.searchsorted(x, start)
-                good &= low < np.searchsorted(x, end)
+                good &= low + n <= np.searchsorted(x, end)
                 begins |= x[low.clip(max=len(x) - 1)] == start
             start = start[good & begins]
             found[0].append(np.full(len(start), k))
@@ -207,16 +202,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     reads the stored index, so a benchmark of any size works. There is one pass at least. Passes meet by document.
     """
     held = save(item_words(items, item_col, item_text), "items")
-    terms = held.select(F.explode("words").alias("term")).distinct()
-    # the index keeps the postings of every term where the benchmark's own terms are too many to send
-    few = terms.count() <= 4 * PASS_PHRASES
-    index = build_index(docs, id_col, text_col, np.sort(np.array([r.term for r in terms.collect()], np.int64).view(np.uint64)) if few else None)
+    index = build_index(docs, id_col, text_col)
     out, passes = None, 0
-    for batch in _passes(held, window):
-        found = [(i, w) for i, (_, words) in enumerate(batch) for w in {x.tobytes(): x for x in windows(words, window)}.values()]
-        counted = index.select("terms", "term_starts").mapInArrow(_count(Phrases(found).terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    for names, found in _passes(held, window):
+        counted = index.select("terms", "term_starts").mapInArrow(lean(_count(Phrases(found).terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         phrases = Phrases(found, {int(np.array([r.term], np.int64).view(np.uint64)[0]): r.n for r in counted.collect()})
-        one = index.mapInArrow(_lookup(phrases, [name for name, _ in batch], slop), "shard string, doc int, doc_id long, n_words long, items array<string>, starts array<long>, sizes array<long>")
+        one = index.mapInArrow(lean(_lookup(phrases, names, slop)), "shard string, doc int, doc_id long, n_words long, items array<string>, starts array<long>, sizes array<long>")
         out, passes = one if out is None else out.unionByName(one), passes + 1
     if passes > 1:
         whole = [F.flatten(F.collect_list(c)).alias(c) for c in ("items", "starts", "sizes")]
@@ -225,17 +216,18 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _passes(items: DataFrame, window: int):
-    """Items in passes of bounded size, as they stream to the driver; one empty pass for no items."""
-    batch, held, any_pass = [], 0, False
+    """(item names, distinct windows of each) in passes of bounded size, as items stream to the driver; one empty pass for none."""
+    names, found, any_pass = [], [], False
     for row in items.toLocalIterator():
-        n = max(1, len(row.words) - window + 1)
-        if batch and held + n > PASS_PHRASES:
-            yield batch
-            batch, held, any_pass = [], 0, True
-        batch.append((row.item_id, np.array(row.words, np.int64).view(np.uint64)))
-        held += n
-    if batch or not any_pass:
-        yield batch
+        names.append(row.item_id)
+        words = np.array(row.words, np.int64).view(np.uint64)
+        for w in {x.tobytes(): x for x in windows(words, window)}.values():
+            if len(found) >= PASS_PHRASES:
+                yield names, found
+                names, found, any_pass = [row.item_id], [], True
+            found.append((len(names) - 1, w))
+    if found or not any_pass:
+        yield names, found
 
 
 def _merge(batches):
@@ -257,9 +249,11 @@ def contamination(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     Words are runs of digits, letters and non-ASCII bytes, A-Z in lower case. A window is `window` consecutive words
     of an item, or all words of a shorter one; a document word inside any occurrence of a window is hit. Null and
     empty texts have no words; null items and those without words match nothing; items of equal text all count.
-    Rows that repeat a document each give a row. Null ids are kept as they are. Item ids are compared as strings.
+    Rows that repeat a document each give a row. Null ids are kept as they are. Item ids are compared as strings; ties
+    have no effect. Long texts are indexed whole, one to a shard. Further columns, whatever their names, play no part.
+    Without documents the result is empty; without items nothing is hit.
     """
-    merged = matches(docs, items, **how).select("doc_id", "n_words", "starts", "sizes", "items").mapInArrow(_merge, "doc_id long, n_words long, n_hit long, items array<string>")
+    merged = matches(docs, items, **how).select("doc_id", "n_words", "starts", "sizes", "items").mapInArrow(lean(_merge), "doc_id long, n_words long, n_hit long, items array<string>")
     listed = F.array_join(F.array_sort("items"), ",")
     return merged.select(
         "doc_id",
