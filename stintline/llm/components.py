@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u long, v long) -> (node, component): the smallest node that each node of an edge reaches.
 
     Self links, repeated links and null ends have no effect; an empty table gives an empty one. The number of
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     start = edges.where("u is not null and v is not null and u <> v")
     now = save(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         large = save(_star(now, True), "cc-large")
         small = save(_star(large, False), "cc-small")
         drop(now)
@@ -39,7 +39,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintline.llm.blocks import block_pairs, bucket_sizes
-from stintline.llm.common import NOT_SPACE, Words, drop, forest, groups, mix, parts, save, sorted_by_group
+from stintline.llm.common import NOT_SPACE, Words, drop, forest, groups, key_filter, lean, may_hold, mix, parts, save, sorted_by_group
 from stintline.llm.components import connected_components
 
 SHINGLE = 5
@@ -170,17 +170,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have no shingles and link with nothing. Rows with a null id link with nothing: their
     component is null and they are kept. Rows that repeat an id are one document, linked by each of its texts. Ties
-    go to the smallest id. An empty table gives an empty result.
+    go to the smallest id. Long texts count in whole. An empty table gives an empty result.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = save(plain.mapInArrow(_sign, "doc_id long, digest binary, n_shingles long, bands array<long>, sketch binary"), "minhash")
+    signed = save(plain.mapInArrow(lean(_sign), "doc_id long, digest binary, n_shingles long, bands array<long>, sketch binary"), "minhash")
     some = signed.where("doc_id is not null and digest is not null")
     classes = save(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
 
     members = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     sizes = bucket_sizes(members, ["band", "key"], "rep")
     needed = save(members.join(sizes, ["band", "key"]).select("rep").distinct(), "needed")
-    full = plain.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_sets, "doc_id long, digest binary, hashes binary")
+    # few texts but the needed ones reach the shuffle
+    bitmaps = key_filter(needed, "rep")
+    asked = may_hold(plain, "doc_id", bitmaps).where("__may").select("doc_id", "text")
+    full = asked.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(lean(_sets), "doc_id long, digest binary, hashes binary")
     sets = save(full, "sets")
     meant = classes.join(sets.select("digest", "hashes", F.col("doc_id").alias("rep")), ["digest", "rep"]).select("rep", "digest", "sketch", "hashes").dropDuplicates(["rep", "digest"])
 
@@ -188,10 +191,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     minima = BANDS * ROWS
     least = math.floor(minima * probability - 5 * math.sqrt(minima * probability * (1 - probability)))
     pairs = block_pairs(members, sizes, ["band", "key"], "rep", block).join(meant.drop("digest"), "rep")
-    near = sorted_by_group(pairs, ["band", "key", "block_a", "block_b"]).mapInArrow(confirm(percent, least), "u long, v long")
+    near = sorted_by_group(pairs, ["band", "key", "block_a", "block_b"]).mapInArrow(lean(confirm(percent, least)), "u long, v long")
     copies = some.join(classes.where("copies > 1").select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     components = save(connected_components(near.union(copies)), "components")
-    drop(sets)
+    for x in (sets, sizes, needed, bitmaps, classes):
+        drop(x)
     out = signed.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select(
         F.col("doc_id").alias(id_col) if id_col != "doc_id" else "doc_id",

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import bounded_batches, parts, save
+from stintline.llm.common import drop, lean, parts, save
 
 #: The key of the surrogates; set it for real data, since the default is public.
 KEY = os.environ.get("PII_SURROGATE_KEY", "public key for tests")
@@ -388,7 +388,7 @@ def pairs(docs: DataFrame, key: str = KEY) -> DataFrame:
                 rows = sorted(seen)
                 yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "value", "surrogate"])
 
-    return docs.select("text").where("text is not null").mapInArrow(run, "kind string, value string, surrogate string").distinct()
+    return docs.select("text").where("text is not null").mapInArrow(lean(run), "kind string, value string, surrogate string").distinct()
 
 
 def clashes(of: DataFrame) -> DataFrame:
@@ -406,9 +406,10 @@ def replace(docs: DataFrame, key: str = KEY, check: bool = True) -> DataFrame:
     their script and case, given names of their gender, digits digits, check digits as right as they were. Null texts stay null.
     Repeated rows each give a row. `check` proves over all documents that no two values share a surrogate.
     """
-    bounded_batches(docs.sparkSession)
     if check:
-        bad = clashes(save(pairs(docs, key), "surrogates")).limit(3).collect()
+        found_pairs = save(pairs(docs, key), "surrogates")
+        bad = clashes(found_pairs).limit(3).collect()
+        drop(found_pairs)
         if bad:
             raise ValueError(f"surrogates are not distinct, such as those of kind {sorted({r.kind for r in bad})}")
     plain = docs.drop("n_replaced")
@@ -431,4 +432,4 @@ def replace(docs: DataFrame, key: str = KEY, check: bool = True) -> DataFrame:
                 yield pa.record_batch([*columns, pa.array(count, pa.int64())], names=[*batch.schema.names, "n_replaced"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(run, f"{kinds}, n_replaced long")
+    return plain.mapInArrow(lean(run), f"{kinds}, n_replaced long")

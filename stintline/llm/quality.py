@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import NOT_SPACE, Words, bounded_batches, parts, save, sent_if_small
+from stintline.llm.common import NOT_SPACE, Words, drop, lean, parts, save, sent_if_small
 from stintline.llm.language import held_out
 
 #: Words of a passage; the last one of a document may be shorter.
@@ -194,9 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model()
     bound = F.when(F.col("y") == 1, F.lit(min(1.0, sample / counts[1.0]))).otherwise(F.lit(min(1.0, sample / counts[0.0])))
     picked = named.where((F.col("h").cast("double") / float(2**63) + 1) / 2 <= bound).select(id_col, "y", "h")
+    picked = save(picked, "picked")
     # about `sample` rows of each label, whatever the input
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(sent_if_small(save(picked, "picked"), 40), id_col).select("y", "text")
-    rows = texts.mapInArrow(_featured, "y double, x binary").collect()
+    texts = docs.select(id_col, F.col(text_col).alias("text")).join(sent_if_small(picked, 40), id_col).select("y", "text")
+    rows = texts.mapInArrow(lean(_featured), "y double, x binary").collect()
+    drop(picked)
     rows.sort(key=lambda r: (r.y, bytes(r.x)))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
     ptr = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
@@ -210,7 +212,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     Input columns of the new names are replaced. Repeated rows each give a row. An empty table gives an empty one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "top_passage")]
-    bounded_batches(docs.sparkSession)
     plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
 
     def run(batches):
@@ -226,4 +227,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 )
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
-    return plain.mapInArrow(run, f"{kinds}score double, predicted int, top_passage int")
+    return plain.mapInArrow(lean(run), f"{kinds}score double, predicted int, top_passage int")
