@@ -10,7 +10,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 #: {us} is the instant of `ts` in microseconds, {str} the string type.
 VIEWS = {
-    "fx_lap": """SELECT user_id AS participant_id, user_id % 5 AS class_key, event_id, event_type,
+    "fx_heat": """SELECT DISTINCT user_id % 3 AS heat_id FROM events""",
+    "fx_lap": """SELECT user_id % 3 AS heat_id, user_id AS participant_id, user_id % 5 AS class_key, event_id, event_type,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lap_number,
   lag({us}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS started_at_us,
   {us} AS completed_at_us,
@@ -19,7 +20,7 @@ VIEWS = {
   CASE WHEN event_id % 29 = 0 THEN NULL ELSE 28000 + (event_id * 53) % 9000 END AS sector_2_ms,
   90000 + CAST(round(value * 100) AS BIGINT) * 10 - 30000 - (event_id * 37) % 9000 - 28000 - (event_id * 53) % 9000 AS sector_3_ms
 FROM events""",
-    "fx_pit": """SELECT participant_id, class_key,
+    "fx_pit": """SELECT heat_id, participant_id, class_key,
   row_number() OVER (PARTITION BY participant_id ORDER BY lap_number) AS stop_number,
   completed_at_us AS entered_at_us,
   CASE WHEN event_id % 20 = 0 THEN NULL ELSE completed_at_us + 20000000 + (event_id % 1000) * 40000 END AS exited_at_us,
@@ -28,12 +29,12 @@ FROM events""",
   event_id % 20 <> 0 AS completed
 FROM fx_lap WHERE event_type = 'error' AND event_id % 4 = 0""",
     "fx_day": """SELECT DISTINCT CAST({us} - {us} % 86400000000 AS BIGINT) AS day_us, CAST(({us} - {us} % 86400000000) / 86400000000 AS BIGINT) AS d FROM events""",
-    "fx_caution": """SELECT CASE WHEN d % 6 = 4 THEN 'FULL_COURSE_YELLOW' ELSE 'SAFETY_CAR' END AS flag,
-  day_us + 72000000000 AS started_at_us, day_us + 75600000000 AS ended_at_us FROM fx_day WHERE d % 2 = 0""",
-    "fx_flag": """SELECT flag, started_at_us, ended_at_us FROM fx_caution
-UNION ALL SELECT 'GREEN', ended_at_us, lead(started_at_us) OVER (ORDER BY started_at_us) FROM fx_caution
-UNION ALL SELECT 'GREEN', (SELECT min(day_us) FROM fx_day), (SELECT min(started_at_us) FROM fx_caution)""",
-    "fx_feedgap": """SELECT day_us + 10800000000 AS started_at_us, day_us + 12600000000 AS ended_at_us, 'reconnect' AS reason FROM fx_day WHERE d % 7 = 3""",
+    "fx_caution": """SELECT heat_id, CASE WHEN (d + heat_id) % 6 = 4 THEN 'FULL_COURSE_YELLOW' ELSE 'SAFETY_CAR' END AS flag,
+  day_us + 72000000000 AS started_at_us, day_us + 75600000000 AS ended_at_us FROM fx_day CROSS JOIN fx_heat WHERE (d + heat_id) % 2 = 0""",
+    "fx_flag": """SELECT heat_id, flag, started_at_us, ended_at_us FROM fx_caution
+UNION ALL SELECT heat_id, 'GREEN', ended_at_us, lead(started_at_us) OVER (PARTITION BY heat_id ORDER BY started_at_us) FROM fx_caution
+UNION ALL SELECT heat_id, 'GREEN', (SELECT min(day_us) FROM fx_day), min(started_at_us) FROM fx_caution GROUP BY heat_id""",
+    "fx_feedgap": """SELECT heat_id, day_us + 10800000000 AS started_at_us, day_us + 12600000000 AS ended_at_us, 'reconnect' AS reason FROM fx_day CROSS JOIN fx_heat WHERE (d + heat_id) % 7 = 3""",
     "fx_state": """SELECT participant_id, event_id, lap_number, completed_at_us AS observed_at_us,
   CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'IN_PIT'
        WHEN lag(event_type) OVER (PARTITION BY participant_id ORDER BY lap_number) = 'error'
@@ -98,10 +99,14 @@ class Fixture:
     """The canonical tables of one data folder: `fx.lap`, `fx.pit`, ... and the driver's own tables by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.schemas = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table of the folder; its schema is looked up once, while each use is a relation of its own."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

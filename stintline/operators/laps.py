@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintline.operators.windows import array_mad, array_median, as_of, interval_pairs, nearest_rank, with_overlap
+from stintline.operators.windows import array_mad, array_median, as_of, nearest_rank, overlap_sums
 
 KEY = ["participant_id", "lap_number"]
 
@@ -16,26 +16,42 @@ def is_clean_lap(duration: Column, flags: Column, in_lap: Column, out_lap: Colum
     return F.coalesce((duration > 0) & (F.size(flags) > 0) & F.forall(flags, lambda f: f.eqNullSafe(F.lit("GREEN"))), F.lit(False)) & known[0] & known[1] & known[2] & known[3]
 
 
-def flag_cover(lap: DataFrame, flag: DataFrame, key: list[str] = KEY, by: list[str] | None = None) -> DataFrame:
-    """Adds non_green (a flag other than GREEN overlaps the lap) and green_us (how much of it GREEN covers)."""
-    left = lap.withColumn("l_start", F.col("started_at_us")).withColumn("l_end", F.col("completed_at_us"))
-    right = flag.select(*(by or []), "flag", F.col("started_at_us").alias("r_start"), F.col("ended_at_us").alias("r_end"))
-    cover = interval_pairs(left.select(*key, *(by or []), "l_start", "l_end"), right, by or [])
-    cover = cover.groupBy(*key).agg(F.bool_or(F.col("flag") != "GREEN").alias("non_green"), F.sum(F.when(F.col("flag") == "GREEN", F.col("cut_us"))).alias("green_us"))
-    return lap.join(cover, key, "left").withColumn("non_green", F.coalesce("non_green", F.lit(False))).withColumn("green_us", F.coalesce("green_us", F.lit(0)))
+def _of_each(lap: DataFrame, spans: DataFrame) -> DataFrame:
+    """Periods (heat_id, kind, r_start, r_end) of a heat as those of each of its participants, so that no heat is one task."""
+    return lap.select("heat_id", "participant_id").distinct().join(spans, "heat_id").select("heat_id", "participant_id", "kind", "r_start", "r_end")
+
+
+def _covered(lap: DataFrame, periods: DataFrame, kinds: list[str]) -> DataFrame:
+    rows = lap.withColumn("l_start", F.col("started_at_us")).withColumn("l_end", F.col("completed_at_us"))
+    return overlap_sums(rows, periods, ["heat_id", "participant_id"], kinds).drop("l_start", "l_end")
+
+
+def _flags(flag: DataFrame) -> DataFrame:
+    kind = F.when(F.col("flag") == "GREEN", F.lit("green")).otherwise(F.lit("other"))
+    return flag.select("heat_id", kind.alias("kind"), F.col("started_at_us").alias("r_start"), F.col("ended_at_us").alias("r_end"))
+
+
+def flag_cover(lap: DataFrame, flag: DataFrame) -> DataFrame:
+    """Adds non_green (a flag of the heat other than GREEN overlaps the lap) and green_us (how much of it GREEN covers)."""
+    rows = _covered(lap, _of_each(lap, _flags(flag)), ["green", "other"])
+    return rows.withColumn("non_green", F.col("other_n") > 0).drop("green_n", "other_n", "other_us")
 
 
 def clean_laps(lap: DataFrame, flag: DataFrame, pit: DataFrame, gap: DataFrame, state: DataFrame) -> DataFrame:
     """Laps with crosses_pit, has_feed_gap, is_in_lap, is_out_lap, non_green, green_us and is_clean.
 
-    A lap without a start (the first of a capture) is never clean; GREEN has to cover all of it.
+    Flags and feed gaps are those of the lap's own heat, stops those of its heat and participant. A lap without a start
+    (the first of a capture) is never clean; GREEN has to cover all of it.
     """
-    rows = flag_cover(lap, flag).withColumn("l_start", F.col("started_at_us")).withColumn("l_end", F.col("completed_at_us"))
-    stops = pit.where("completed and exited_at_us is not null").select("participant_id", F.col("entered_at_us").alias("r_start"), F.col("exited_at_us").alias("r_end"))
-    rows = with_overlap(rows, stops, KEY, "crosses_pit", ["participant_id"])
-    rows = with_overlap(rows, gap.select(F.col("started_at_us").alias("r_start"), F.col("ended_at_us").alias("r_end")), KEY, "has_feed_gap")
+    gaps = gap.select("heat_id", F.lit("gap").alias("kind"), F.col("started_at_us").alias("r_start"), F.col("ended_at_us").alias("r_end"))
+    stops = pit.where("completed and exited_at_us is not null")
+    stops = stops.select("heat_id", "participant_id", F.lit("pit").alias("kind"), F.col("entered_at_us").alias("r_start"), F.col("exited_at_us").alias("r_end"))
+    periods = _of_each(lap, _flags(flag).unionByName(gaps)).unionByName(stops)
+    rows = _covered(lap, periods, ["green", "other", "pit", "gap"])
+    rows = rows.withColumns({"non_green": F.col("other_n") > 0, "crosses_pit": F.col("pit_n") > 0, "has_feed_gap": F.col("gap_n") > 0})
+    rows = rows.drop("green_n", "other_n", "other_us", "pit_n", "pit_us", "gap_n", "gap_us")
     seen = state.select("participant_id", F.col("observed_at_us").alias("completed_at_us"), "state_kind")
-    rows = as_of(rows.drop("l_start", "l_end"), seen, ["participant_id"], "completed_at_us", ["state_kind"])
+    rows = as_of(rows, seen, ["participant_id"], "completed_at_us", ["state_kind"])
     rows = rows.withColumn("is_in_lap", F.col("state_kind") == "IN_PIT").withColumn("is_out_lap", F.col("state_kind") == "OUT_LAP")
     whole = (F.col("green_us") == F.col("completed_at_us") - F.col("started_at_us")) & ~F.col("non_green")
     clean = (F.col("duration_ms") > 0) & whole & ~F.col("crosses_pit") & ~F.col("has_feed_gap") & ~F.col("is_in_lap") & ~F.col("is_out_lap")
@@ -99,13 +115,17 @@ def pace_rank(latest: DataFrame) -> DataFrame:
 
 
 def theil_sen(points: DataFrame, by: list[str], x: str, y: str, latest: int = 60) -> DataFrame:
-    """E5: median of pairwise slopes over the last 60 points of a key; shown with 6 different ages at least."""
+    """E5: median of pairwise slopes over the last 60 points of a key; shown with 6 different ages at least; and the range of x."""
     w = Window.partitionBy(*by).orderBy(F.desc(x), F.desc(y))
-    last = points.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= latest).select(*by, F.col(x).alias("x"), F.col(y).cast("double").alias("y"), "__n")
-    other = last.select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("__n").alias("__m"))
-    slopes = last.join(other, by).where("__n > __m and x <> x2").groupBy(*by).agg(F.percentile((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x")), F.lit(0.5)).alias("slope"))
-    ages = last.groupBy(*by).agg(F.count_distinct("x").alias("ages"))
-    return ages.join(slopes, by, "left").select(*by, F.when(F.col("ages") >= 6, F.col("slope")).alias("slope"))
+    last = points.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= latest).select(*by, F.struct(F.col(x).alias("x"), F.col(y).cast("double").alias("y")).alias("p"))
+    held = last.groupBy(*by).agg(F.collect_list("p").alias("ps"), F.count_distinct("p.x").alias("ages"), (F.max("p.x") - F.min("p.x")).alias("x_span"))  # `latest` points at most
+
+    def slopes(p: Column, i: Column) -> Column:
+        later = F.filter(F.slice("ps", i + 2, latest), lambda q: q.x != p.x)
+        return F.transform(later, lambda q: (q.y - p.y) / (q.x - p.x))
+
+    slope = array_median(F.flatten(F.transform("ps", slopes)))
+    return held.select(*by, F.when(F.col("ages") >= 6, slope).alias("slope"), "x_span")
 
 
 def sector_bests(lap: DataFrame, sectors: tuple[str, ...] = ("sector_1", "sector_2", "sector_3")) -> tuple[DataFrame, DataFrame]:

@@ -36,19 +36,50 @@ def with_overlap(left: DataFrame, right: DataFrame, key: list[str], name: str, b
     return left.join(hits.withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list[str]) -> DataFrame:
+    """`left` with, for each kind, {kind}_n (periods that overlap [l_start, l_end)) and {kind}_us (their time in it).
+
+    `periods` holds by, kind, r_start and r_end (null: open). Running sums over the few points where periods begin or
+    end are looked up at both ends of each interval: one sort, no pairs. Rows with a null or empty interval get 0.
+    """
+    good = periods.where("r_start is not null and (r_end is null or r_end > r_start)")
+    ends = good.where("r_end is not null").select(*by, "kind", F.col("r_end").alias("__t"), F.lit(0).alias("b"), F.lit(1).alias("e"))
+    points = good.select(*by, "kind", F.col("r_start").alias("__t"), F.lit(1).alias("b"), F.lit(0).alias("e")).unionByName(ends)
+    points = points.groupBy(*by, "__t").agg(*[F.sum(F.when(F.col("kind") == k, F.col(x)).otherwise(0)).alias(f"{x}_{k}") for k in kinds for x in "be"])
+    order = Window.partitionBy(*by).orderBy("__t")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    points = points.select(*by, "__t", F.lag("__t").over(order).alias("__before"), *[F.sum(f"{x}_{k}").over(so_far).alias(f"{x}_{k}") for k in kinds for x in "be"])
+    points = points.select("*", *[F.lag(F.col(f"b_{k}") - F.col(f"e_{k}")).over(order).alias(f"o_{k}") for k in kinds])
+    points = points.select("*", *[F.sum(F.coalesce(F.col(f"o_{k}") * (F.col("__t") - F.col("__before")), F.lit(0))).over(so_far).alias(f"t_{k}") for k in kinds])
+    values = ["__point", *[f"{x}_{k}" for k in kinds for x in "bet"]]
+    points = points.withColumn("__point", F.col("__t"))
+    out = left
+    for side, at, inclusive in (("low", "l_start", True), ("high", "l_end", False)):
+        seen = points.select(*by, F.col("__t").alias(at), *[F.col(v).alias(f"__{side}_{v}") for v in values])
+        out = as_of(out, seen, by, at, [f"__{side}_{v}" for v in values], inclusive)
+    real = F.col("l_start").isNotNull() & (F.col("l_end") > F.col("l_start"))
+
+    def at_end(side: str, k: str, at: str) -> Column:
+        held = F.col(f"__{side}_t_{k}") + (F.col(f"__{side}_b_{k}") - F.col(f"__{side}_e_{k}")) * (F.col(at) - F.col(f"__{side}___point"))
+        return F.coalesce(held, F.lit(0))
+
+    new = {}
+    for k in kinds:
+        n = F.coalesce(f"__high_b_{k}", F.lit(0)) - F.coalesce(f"__low_e_{k}", F.lit(0))
+        new[f"{k}_n"] = F.when(real, n).otherwise(0).cast("long")
+        new[f"{k}_us"] = F.when(real, at_end("high", k, "l_end") - at_end("low", k, "l_start")).otherwise(0).cast("long")
+    return out.select(*left.columns, *[x.alias(name) for name, x in new.items()])
+
+
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], inclusive: bool = True) -> DataFrame:
     """`left` with the `values` of the latest right row at or before `at`: a union and one sorted window, no range join."""
-    side = F.lit(0 if inclusive else 1)
     bundle = F.struct(*values)
-    rows = left.withColumn("__side", F.lit(1 if inclusive else 0)).withColumn("__found", F.lit(None).cast(right.select(bundle.alias("x")).schema["x"].dataType))
-    other = right.select(*by, at, side.alias("__side"), bundle.alias("__found"))
-    for name in left.columns:
-        if name not in other.columns:
-            other = other.withColumn(name, F.lit(None).cast(left.schema[name].dataType))
-    other = other.withColumn("__right", F.lit(True))
-    rows = rows.withColumn("__right", F.lit(False))
+    kind = right.select(bundle.alias("x")).schema["x"].dataType
+    rows = left.withColumns({"__side": F.lit(1 if inclusive else 0), "__found": F.lit(None).cast(kind), "__right": F.lit(False)})
+    other = right.select(*by, at, F.lit(0 if inclusive else 1).alias("__side"), bundle.alias("__found"), F.lit(True).alias("__right"))
     order = Window.partitionBy(*by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.unionByName(other).withColumn("__found", F.last("__found", ignorenulls=True).over(order)).where("not __right")
+    both = rows.unionByName(other, allowMissingColumns=True)
+    out = both.withColumn("__found", F.last("__found", ignorenulls=True).over(order)).where("not __right")
     return out.select(*left.columns, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 

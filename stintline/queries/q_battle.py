@@ -188,12 +188,17 @@ def d19(fx):
 
 @query(
     "d20_flag_reconcile",
-    "h AS (SELECT flag, started_at_us + 30000000 AS h_us FROM fx_flag WHERE started_at_us % 7 <> 0), p AS (SELECT f.flag, f.started_at_us, h.h_us, row_number() OVER (PARTITION BY f.flag, f.started_at_us ORDER BY abs(h.h_us - f.started_at_us), h.h_us) AS r FROM fx_flag f JOIN h ON h.flag = f.flag AND abs(h.h_us - f.started_at_us) <= 120000000) SELECT flag, started_at_us, h_us FROM p WHERE r = 1",
+    "h AS (SELECT heat_id, flag, started_at_us + 30000000 AS h_us FROM fx_flag WHERE started_at_us % 7 <> 0), p AS (SELECT f.heat_id, f.flag, f.started_at_us, h.h_us, row_number() OVER (PARTITION BY f.heat_id, f.flag, f.started_at_us ORDER BY abs(h.h_us - f.started_at_us), h.h_us) AS r FROM fx_flag f JOIN h ON h.heat_id = f.heat_id AND h.flag = f.flag AND abs(h.h_us - f.started_at_us) <= 120000000) SELECT heat_id, flag, started_at_us, h_us FROM p WHERE r = 1",
 )
 def d20(fx):
-    h = fx.flag.where("started_at_us % 7 <> 0").select("flag", (c("started_at_us") + 30_000_000).alias("h_us"))
-    p = fx.flag.select("flag", "started_at_us").join(h, "flag").where("abs(h_us - started_at_us) <= 120000000")
-    return p.groupBy("flag", "started_at_us").agg(F.min_by("h_us", F.struct(F.abs(c("h_us") - c("started_at_us")), "h_us")).alias("h_us"))
+    # both sides are dealt by time, the history also to the neighbouring bin, so that a flag of a heat is not one task
+    width = 240_000_000
+    h = fx.flag.where("started_at_us % 7 <> 0").select("heat_id", "flag", (c("started_at_us") + 30_000_000).alias("h_us"))
+    near = F.array_distinct(F.array(*[F.call_function("div", c("h_us") + shift, F.lit(width).cast("bigint")) for shift in (-120_000_000, 120_000_000)]))
+    h = h.withColumn("bin", F.explode(near))
+    live = fx.flag.select("heat_id", "flag", "started_at_us", F.call_function("div", c("started_at_us"), F.lit(width).cast("bigint")).alias("bin"))
+    p = live.join(h, ["heat_id", "flag", "bin"]).where("abs(h_us - started_at_us) <= 120000000")
+    return p.groupBy("heat_id", "flag", "started_at_us").agg(F.min_by("h_us", F.struct(F.abs(c("h_us") - c("started_at_us")), "h_us")).alias("h_us"))
 
 
 @query(
@@ -322,11 +327,8 @@ slopes AS (SELECT a.participant_id, a.stint_number, median((b.y - a.y) / (b.x -
 SELECT participant_id, stint_number, CASE WHEN ages >= 6 THEN slope END AS trend_ms_per_lap, CASE WHEN ages >= 6 THEN slope * (hi - lo) END AS cumulative_ms FROM (SELECT participant_id, stint_number, count(DISTINCT x) AS ages, min(x) AS lo, max(x) AS hi FROM l60 GROUP BY 1, 2) LEFT JOIN slopes USING (participant_id, stint_number)""",
 )
 def m_stint_trend(fx):
-    rows = stint_laps(fx).where("is_clean")
-    slope = L.theil_sen(rows, ["participant_id", "stint_number"], "tyre_age", "duration_ms")
-    back = F.row_number().over(Window.partitionBy("participant_id", "stint_number").orderBy(F.desc("tyre_age"), F.desc("duration_ms")))
-    ages = rows.withColumn("n", back).where("n <= 60").groupBy("participant_id", "stint_number").agg(F.min("tyre_age").alias("lo"), F.max("tyre_age").alias("hi"))
-    return slope.join(ages, ["participant_id", "stint_number"]).select("participant_id", "stint_number", c("slope").alias("trend_ms_per_lap"), (c("slope") * (c("hi") - c("lo"))).alias("cumulative_ms"))
+    slope = L.theil_sen(stint_laps(fx).where("is_clean"), ["participant_id", "stint_number"], "tyre_age", "duration_ms")
+    return slope.select("participant_id", "stint_number", c("slope").alias("trend_ms_per_lap"), (c("slope") * c("x_span")).alias("cumulative_ms"))
 
 
 @query(

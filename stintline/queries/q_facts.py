@@ -385,14 +385,14 @@ def s16(fx):
 
 @query(
     "s17_reconcile_flags",
-    "h AS (SELECT flag, started_at_us + 30000000 AS at_us FROM fx_flag WHERE started_at_us % 7 <> 0), r AS (SELECT f.flag, coalesce(min(h.at_us), f.started_at_us) AS at_us, min(h.at_us) IS NOT NULL AS calibrated FROM fx_flag f LEFT JOIN h ON h.flag = f.flag AND abs(h.at_us - f.started_at_us) <= 120000000 GROUP BY f.flag, f.started_at_us) SELECT flag, at_us AS started_at_us, lead(at_us) OVER (ORDER BY at_us) AS ended_at_us, calibrated FROM r",
+    "h AS (SELECT heat_id, flag, started_at_us + 30000000 AS at_us FROM fx_flag WHERE started_at_us % 7 <> 0), r AS (SELECT f.heat_id, f.flag, coalesce(min(h.at_us), f.started_at_us) AS at_us, min(h.at_us) IS NOT NULL AS calibrated FROM fx_flag f LEFT JOIN h ON h.heat_id = f.heat_id AND h.flag = f.flag AND abs(h.at_us - f.started_at_us) <= 120000000 GROUP BY f.heat_id, f.flag, f.started_at_us) SELECT heat_id, flag, at_us AS started_at_us, lead(at_us) OVER (PARTITION BY heat_id ORDER BY at_us) AS ended_at_us, calibrated FROM r",
 )
 def s17(fx):
     from stintline.operators.flags import reconcile_flags
 
-    live = fx.flag.select(F.lit(0).alias("heat_id"), "flag", "started_at_us")
-    history = fx.flag.where("started_at_us % 7 <> 0").select(F.lit(0).alias("heat_id"), "flag", (c("started_at_us") + 30_000_000).alias("started_at_us"))
-    return reconcile_flags(live, history).select("flag", "started_at_us", "ended_at_us", "calibrated")
+    live = fx.flag.select("heat_id", "flag", "started_at_us")
+    history = fx.flag.where("started_at_us % 7 <> 0").select("heat_id", "flag", (c("started_at_us") + 30_000_000).alias("started_at_us"))
+    return reconcile_flags(live, history).select("heat_id", "flag", "started_at_us", "ended_at_us", "calibrated")
 
 
 @query("s18_interval_facts", "SELECT heat_id, row_key, position, CASE WHEN row_key % 500 = 0 THEN 'SNAPSHOT_BASELINE' ELSE 'DELTA' END AS observation_kind, lag(row_key) OVER (PARTITION BY heat_id ORDER BY position) AS target_id FROM fx_gaptext")

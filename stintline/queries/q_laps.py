@@ -14,15 +14,15 @@ c = F.col
 COVER = """cover AS (
   SELECT participant_id, lap_number, bool_or(flag <> 'GREEN') AS non_green,
     CAST(sum(CASE WHEN flag = 'GREEN' THEN least(l.completed_at_us, coalesce(f.ended_at_us, 9000000000000000)) - greatest(l.started_at_us, f.started_at_us) END) AS BIGINT) AS green_us
-  FROM fx_lap l JOIN fx_flag f ON f.started_at_us < l.completed_at_us AND coalesce(f.ended_at_us, 9000000000000000) > l.started_at_us GROUP BY 1, 2)"""
+  FROM fx_lap l JOIN fx_flag f ON f.heat_id = l.heat_id AND f.started_at_us < l.completed_at_us AND coalesce(f.ended_at_us, 9000000000000000) > l.started_at_us GROUP BY 1, 2)"""
 CLEAN = (
     COVER
     + """,
 lapx AS (
   SELECT l.*, coalesce(v.non_green, false) AS non_green, coalesce(v.green_us, 0) AS green_us, s.state_kind,
     s.state_kind = 'IN_PIT' AS is_in_lap, s.state_kind = 'OUT_LAP' AS is_out_lap,
-    EXISTS (SELECT 1 FROM fx_pit p WHERE p.participant_id = l.participant_id AND p.completed AND p.entered_at_us < l.completed_at_us AND p.exited_at_us > l.started_at_us) AS crosses_pit,
-    EXISTS (SELECT 1 FROM fx_feedgap g WHERE g.started_at_us < l.completed_at_us AND g.ended_at_us > l.started_at_us) AS has_feed_gap
+    EXISTS (SELECT 1 FROM fx_pit p WHERE p.heat_id = l.heat_id AND p.participant_id = l.participant_id AND p.completed AND p.entered_at_us < l.completed_at_us AND p.exited_at_us > l.started_at_us) AS crosses_pit,
+    EXISTS (SELECT 1 FROM fx_feedgap g WHERE g.heat_id = l.heat_id AND g.started_at_us < l.completed_at_us AND g.ended_at_us > l.started_at_us) AS has_feed_gap
   FROM fx_lap l LEFT JOIN cover v USING (participant_id, lap_number) LEFT JOIN fx_state s USING (participant_id, lap_number)),
 clean AS (
   SELECT *, coalesce(duration_ms > 0 AND green_us = completed_at_us - started_at_us AND NOT non_green AND NOT crosses_pit AND NOT has_feed_gap AND NOT is_in_lap AND NOT is_out_lap, false) AS is_clean FROM lapx)"""
@@ -181,13 +181,14 @@ def d3(fx):
 
 @query(
     "d4_flag_as_of",
-    "SELECT participant_id, lap_number, (SELECT arg_max(flag, f.started_at_us) FROM fx_flag f WHERE f.started_at_us <= l.completed_at_us AND coalesce(f.ended_at_us, 9000000000000000) > l.completed_at_us) AS flag FROM fx_lap l",
+    "SELECT participant_id, lap_number, (SELECT arg_max(flag, f.started_at_us) FROM fx_flag f WHERE f.heat_id = l.heat_id AND f.started_at_us <= l.completed_at_us AND coalesce(f.ended_at_us, 9000000000000000) > l.completed_at_us) AS flag FROM fx_lap l",
 )
 def d4(fx):
-    at = fx.lap.select("participant_id", "lap_number", c("completed_at_us").alias("l_start"), (c("completed_at_us") + 1).alias("l_end"))
-    hit = W.interval_pairs(at, fx.flag.select("flag", c("started_at_us").alias("r_start"), c("ended_at_us").alias("r_end")), [])
-    hit = hit.groupBy("participant_id", "lap_number").agg(F.max_by("flag", "r_start").alias("flag"))
-    return at.select("participant_id", "lap_number").join(hit, ["participant_id", "lap_number"], "left")
+    lap = fx.lap.select("heat_id", "participant_id", "lap_number", "completed_at_us")
+    seen = lap.select("heat_id", "participant_id").distinct().join(fx.flag, "heat_id").withColumnRenamed("started_at_us", "completed_at_us")
+    hit = W.as_of(lap, seen, ["heat_id", "participant_id"], "completed_at_us", ["flag", "ended_at_us"])
+    open_now = F.coalesce(c("ended_at_us") > c("completed_at_us"), F.lit(True))
+    return hit.select("participant_id", "lap_number", F.when(open_now, c("flag")).alias("flag"))
 
 
 @query(
@@ -234,7 +235,7 @@ s AS (SELECT a.participant_id, median((b.y - a.y) / (b.x - a.x)) AS slope FROM l
 SELECT participant_id, CASE WHEN ages >= 6 THEN slope END AS slope FROM (SELECT participant_id, count(DISTINCT x) AS ages FROM last GROUP BY 1) LEFT JOIN s USING (participant_id)""",
 )
 def e5(fx):
-    return L.theil_sen(fx.lap, ["participant_id"], "lap_number", "duration_ms")
+    return L.theil_sen(fx.lap, ["participant_id"], "lap_number", "duration_ms").drop("x_span")
 
 
 @query("e6_best_lap", "SELECT participant_id, class_key, best_ms, min(best_ms) OVER (PARTITION BY class_key) AS class_best_ms FROM (SELECT participant_id, class_key, coalesce(arg_max(CASE WHEN event_id % 5 = 0 THEN duration_ms END, lap_number), min(duration_ms)) AS best_ms FROM fx_lap GROUP BY 1, 2)")

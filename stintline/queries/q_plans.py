@@ -81,10 +81,10 @@ def r3(fx):
     return S.bucket_downsample(rows, ["participant_id"], "completed_at_us", 5).select("participant_id", c("completed_at_us").alias("at_us"), "duration_ms")
 
 
-@query("r4_dashboard_flags", f"SELECT flag, greatest(started_at_us, {MIDDLE}) AS started_at_us, least(coalesce(ended_at_us, {END}), {END}) AS ended_at_us, started_at_us < {MIDDLE} AS carried_into_range FROM fx_flag WHERE started_at_us < {END} AND (ended_at_us IS NULL OR ended_at_us > {MIDDLE})")
+@query("r4_dashboard_flags", f"SELECT heat_id, flag, greatest(started_at_us, {MIDDLE}) AS started_at_us, least(coalesce(ended_at_us, {END}), {END}) AS ended_at_us, started_at_us < {MIDDLE} AS carried_into_range FROM fx_flag WHERE started_at_us < {END} AND (ended_at_us IS NULL OR ended_at_us > {MIDDLE})")
 def r4(fx):
     high = fx.lap.agg(F.max("completed_at_us")).first()[0]
-    return S.clip(fx.flag.select("flag", "started_at_us", "ended_at_us"), "started_at_us", "ended_at_us", F.lit(_middle(fx)), F.lit(high))
+    return S.clip(fx.flag.select("heat_id", "flag", "started_at_us", "ended_at_us"), "started_at_us", "ended_at_us", F.lit(_middle(fx)), F.lit(high))
 
 
 @query("r5_laps", CLEAN + " SELECT participant_id, lap_number, duration_ms, is_clean, CASE WHEN non_green THEN 'NEUTRAL' WHEN green_us > 0 THEN 'GREEN' END AS flag, sector_1_ms + coalesce(sector_2_ms, 0) AS first_two_ms FROM clean")
@@ -268,25 +268,25 @@ def p12(fx):
 @query(
     "al_alerts",
     SLOW + """, best AS (SELECT participant_id, completed_at_us, best, lag(best) OVER (PARTITION BY participant_id ORDER BY lap_number) AS b FROM (SELECT *, min(duration_ms) OVER (PARTITION BY participant_id ORDER BY lap_number) AS best FROM fx_lap)),
-st AS (SELECT *, lag(state_kind) OVER (PARTITION BY participant_id ORDER BY lap_number) AS b FROM fx_state), fl AS (SELECT *, lag(flag) OVER (ORDER BY started_at_us) AS b FROM fx_flag),
+st AS (SELECT *, lag(state_kind) OVER (PARTITION BY participant_id ORDER BY lap_number) AS b FROM fx_state), fl AS (SELECT *, lag(flag) OVER (PARTITION BY heat_id ORDER BY started_at_us) AS b FROM fx_flag),
 md AS (SELECT class_key, list(pit_lane_ms) AS l FROM fx_pit WHERE pit_lane_ms IS NOT NULL GROUP BY 1 HAVING count(*) >= 3), mx AS (SELECT class_key, list_median(l) + 3 * list_median(list_transform(l, lambda v: CAST(floor(abs(v - list_median(l))) AS DOUBLE))) AS lim FROM md)
 SELECT 'new_best_lap' AS key, 'INFO' AS severity, participant_id AS scope_key, completed_at_us AS at_us, CAST(b - best AS DOUBLE) AS numeric_consequence FROM best WHERE b IS NOT NULL AND best <> b
 UNION ALL SELECT 'competitor_pit_transition', 'WARNING', participant_id, observed_at_us, NULL FROM st WHERE b IS NOT NULL AND state_kind <> b AND state_kind IN ('IN_PIT', 'OUT_LAP')
-UNION ALL SELECT 'flag_changed', 'WARNING', 0, started_at_us, NULL FROM fl WHERE b IS NOT NULL AND flag <> b
+UNION ALL SELECT 'flag_changed', 'WARNING', heat_id, started_at_us, NULL FROM fl WHERE b IS NOT NULL AND flag <> b
 UNION ALL SELECT 'stint_pace_deteriorated', 'WARNING', s.participant_id, c.completed_at_us, s.duration_ms - s.threshold_ms FROM slow s JOIN fx_lap c ON c.participant_id = s.participant_id AND c.lap_number = s.lap_number
 UNION ALL SELECT 'pit_completed_new_stint', 'INFO', participant_id, exited_at_us, CAST(pit_lane_ms AS DOUBLE) FROM fx_pit WHERE completed
 UNION ALL SELECT 'ours_pit_too_long', 'CRITICAL', p.participant_id, p.exited_at_us, p.pit_lane_ms - lim FROM fx_pit p JOIN mx USING (class_key) WHERE p.pit_lane_ms > lim""",
 )
 def al_alerts(fx):
-    from stintline.operators.windows import array_mad, array_median
-
     w = Window.partitionBy("participant_id").orderBy("lap_number")
     none = F.lit(None)
     best = fx.lap.withColumn("best", F.min("duration_ms").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.lag("best").over(w))
     state = fx.state.withColumn("b", F.lag("state_kind").over(w))
-    flag = S.change_segments(fx.flag.withColumn("heat_id", F.lit(0).cast("long")), ["heat_id"], ["started_at_us"], c("flag"), "started_at_us").where("segment > 1")
+    flag = S.change_segments(fx.flag, ["heat_id"], ["started_at_us"], c("flag"), "started_at_us").where("segment > 1")
     slow = L.slow_laps(clean_laps(fx))
-    limit = fx.pit.where("pit_lane_ms is not null").groupBy("class_key").agg(F.collect_list("pit_lane_ms").alias("xs")).where("size(xs) >= 3").select("class_key", (array_median(c("xs")) + 3 * array_mad(c("xs"), True)).alias("lim"))
+    half = F.lit(0.5)
+    middle = fx.pit.where("pit_lane_ms is not null").groupBy("class_key").agg(F.percentile("pit_lane_ms", half).alias("middle"), F.count("*").alias("n")).where("n >= 3")
+    limit = fx.pit.where("pit_lane_ms is not null").join(middle, "class_key").groupBy("class_key", "middle").agg((c("middle") + 3 * F.percentile(F.floor(F.abs(c("pit_lane_ms") - c("middle"))), half)).alias("lim")).select("class_key", "lim")
     parts = [
         A.alert(best, "new_best_lap", "INFO", c("b").isNotNull() & (c("best") != c("b")), "completed_at_us", c("b") - c("best")),
         A.alert(state, "competitor_pit_transition", "WARNING", c("b").isNotNull() & (c("state_kind") != c("b")) & c("state_kind").isin("IN_PIT", "OUT_LAP"), "observed_at_us", none),
@@ -326,15 +326,14 @@ def m_sectors(fx):
     return rows.groupBy("participant_id").agg(F.min_by("sector", F.struct((-c("loss")).alias("a"), "sector")).alias("largest_sector_loss"), F.max("loss").alias("loss_ms"))
 
 
-@query("m_flag_phase", f"SELECT participant_id, lap_number, greatest(0, completed_at_us - started_at_us) / 1000000.0::DOUBLE AS elapsed_s, (SELECT (l.completed_at_us - max(f.started_at_us)) / 1000000.0::DOUBLE FROM fx_flag f WHERE f.started_at_us <= l.completed_at_us) AS phase_s FROM fx_lap l WHERE started_at_us IS NOT NULL AND completed_at_us >= (SELECT min(started_at_us) FROM fx_flag)")
+@query("m_flag_phase", "SELECT participant_id, lap_number, greatest(0, completed_at_us - started_at_us) / 1000000.0::DOUBLE AS elapsed_s, (SELECT (l.completed_at_us - max(f.started_at_us)) / 1000000.0::DOUBLE FROM fx_flag f WHERE f.heat_id = l.heat_id AND f.started_at_us <= l.completed_at_us) AS phase_s FROM fx_lap l WHERE started_at_us IS NOT NULL AND completed_at_us >= (SELECT min(f.started_at_us) FROM fx_flag f WHERE f.heat_id = l.heat_id)")
 def m_flag_phase(fx):
-    from stintline.operators.windows import interval_pairs
+    from stintline.operators.windows import as_of
 
-    at = fx.lap.where("started_at_us is not null").select("participant_id", "lap_number", "started_at_us", c("completed_at_us").alias("l_start"), (c("completed_at_us") + 1).alias("l_end"))
-    starts = fx.flag.select("started_at_us").orderBy("started_at_us")
-    periods = starts.select(c("started_at_us").alias("r_start"), F.lead("started_at_us").over(Window.orderBy("started_at_us")).alias("r_end"))  # a heat's few flag changes
-    hit = interval_pairs(at, periods, [])
-    return hit.select("participant_id", "lap_number", (F.greatest(F.lit(0), c("l_start") - c("started_at_us")) / 1_000_000.0).alias("elapsed_s"), ((c("l_start") - c("r_start")) / 1_000_000.0).alias("phase_s"))
+    lap = fx.lap.where("started_at_us is not null").select("heat_id", "participant_id", "lap_number", "started_at_us", "completed_at_us")
+    since = lap.select("heat_id", "participant_id").distinct().join(fx.flag.select("heat_id", c("started_at_us").alias("since_us")), "heat_id").withColumn("completed_at_us", c("since_us"))
+    hit = as_of(lap, since, ["heat_id", "participant_id"], "completed_at_us", ["since_us"]).where("since_us is not null")
+    return hit.select("participant_id", "lap_number", (F.greatest(F.lit(0), c("completed_at_us") - c("started_at_us")) / 1_000_000.0).alias("elapsed_s"), ((c("completed_at_us") - c("since_us")) / 1_000_000.0).alias("phase_s"))
 
 
 @query("m_position_change", "SELECT heat_id, row_key, lag(position) OVER w - position AS position_change FROM (SELECT heat_id, row_key % 50 AS row_key, position, row_key AS k FROM fx_gaptext) WINDOW w AS (PARTITION BY heat_id, row_key ORDER BY k)")

@@ -124,3 +124,27 @@ def test_row_order_does_not_matter(spark):
 def test_empty_tables(spark):
     assert laps.rolling_pace(clean(spark).limit(0)).collect() == []
     assert battle.gap_trend(gaps(spark).limit(0), 30).collect() == []
+
+
+def test_flags_and_gaps_count_in_their_own_heat_only(spark):
+    lap = spark.createDataFrame([(1, 7, 1, 100, 200, 100), (2, 8, 1, 100, 200, 100), (1, 7, 2, 200, 300, 100), (1, 7, 3, None, 350, 100)], "heat_id long, participant_id long, lap_number long, started_at_us long, completed_at_us long, duration_ms long")
+    flag = spark.createDataFrame([(1, "GREEN", 0, 250), (1, "GREEN", 250, None), (2, "GREEN", 0, 120), (2, "RED", 120, 130), (2, "GREEN", 130, None)], "heat_id long, flag string, started_at_us long, ended_at_us long")
+    pit = spark.createDataFrame([(2, 7, True, 100, 200)], "heat_id long, participant_id long, completed boolean, entered_at_us long, exited_at_us long")
+    gap = spark.createDataFrame([(2, 150, 160), (1, 300, 310)], "heat_id long, started_at_us long, ended_at_us long")
+    state = spark.createDataFrame([(7, 0, "ON_TRACK"), (8, 0, "ON_TRACK")], "participant_id long, observed_at_us long, state_kind string")
+    rows = {(r.heat_id, r.lap_number): r for r in laps.clean_laps(lap, flag, pit, gap, state).collect()}
+    assert rows[1, 1].is_clean and rows[1, 2].is_clean and rows[1, 2].green_us == 100 and not rows[1, 1].crosses_pit
+    assert not rows[2, 1].is_clean and rows[2, 1].non_green and rows[2, 1].has_feed_gap and rows[2, 1].green_us == 90
+    assert not rows[1, 3].is_clean and rows[1, 3].green_us == 0
+
+
+def test_overlap_sums_match_pairs(spark):
+    left = [(k, i, a, a + n) for i, (k, a, n) in enumerate([(1, 0, 10), (1, 5, 1), (1, 9, 0), (2, 3, 50), (1, None, 3), (3, 1, 5), (1, 12, 30)]) for n in [n if a is not None else 0] if a is not None] + [(1, 99, None, 7)]
+    periods = [(1, "x", 0, 4), (1, "x", 2, 8), (1, "y", 8, 8), (1, "y", 6, None), (2, "x", 53, 60), (2, "y", 3, 4), (1, "x", 10, 12)]
+    df = spark.createDataFrame(left, "k long, id long, l_start long, l_end long")
+    got = windows.overlap_sums(df, spark.createDataFrame(periods, "k long, kind string, r_start long, r_end long"), ["k"], ["x", "y"]).collect()
+    for r in got:
+        for kind in "xy":
+            cut = [min(e if e is not None else 10**9, r.l_end) - max(s, r.l_start) for k, x, s, e in periods if r.l_start is not None and (k, x) == (r.k, kind) and (e is None or e > s)]
+            cut = [c for c in cut if c > 0]
+            assert (r[f"{kind}_n"], r[f"{kind}_us"]) == (len(cut), sum(cut)), r
