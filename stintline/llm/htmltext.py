@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm.common import PART_ROWS
+from stintline.llm.common import PART_ROWS, lean
 from stintline.llm.html_samples import SAMPLES
 
 #: Tags whose content is no text.
@@ -34,7 +34,13 @@ _AROUND = re.compile(
 _HEADER = re.compile(r"(?:^|[-_\s])(?:head(?:er)?|masthead)(?:$|[-_\s\d])", re.I)
 _WITHIN = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|main|post|story|text)(?:$|[-_\s\d])", re.I)
 _OUTSIDE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_COMMENT = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+_NAME = r"<(/?)([A-Za-z][^\s/>]*)"
+_TOKEN = re.compile(_COMMENT + "|" + _NAME + r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S)
+#: The same for the rest of a page once a quote stays open to its end: any > ends a tag.
+_LOOSE = re.compile(_COMMENT + "|" + _NAME + r"([^>]*)>|[^<]+|<", re.S)
+_BEGINS = re.compile(r"</?[A-Za-z]")
+_CLOSES = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIPPED}
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|data-main)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACES = re.compile(r"\s+")
 
@@ -56,6 +62,7 @@ def blocks(page: str | None) -> list[dict]:
     text: list[str] = []
     linked, link = 0, 0
     page, at = page or "", 0
+    last_end, token_of, unclosed = page.rfind(">"), _TOKEN, set()
 
     def flush() -> None:
         nonlocal linked
@@ -82,7 +89,15 @@ def blocks(page: str | None) -> list[dict]:
         linked = 0
 
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        if at > last_end:  # no tag can end any more
+            text.append(html.unescape(page[at:]))
+            if link:
+                linked += len(page[at:].split())
+            break
+        m = token_of.match(page, at)
+        if token_of is _TOKEN and m.group(0) == "<" and _BEGINS.match(page, at):
+            token_of = _LOOSE
+            m = token_of.match(page, at)
         at = m.end()
         token, tag = m.group(0), (m.group(2) or "").lower()
         if not tag:
@@ -107,8 +122,13 @@ def blocks(page: str | None) -> list[dict]:
                 link = max(0, link - 1)
             continue
         if tag in _SKIPPED and not m.group(3).rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = None if tag in unclosed else _CLOSES[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            else:  # nothing but the tag goes if it is never closed
+                unclosed.add(tag)
             continue
         if tag == "br":
             text.append(" ")
@@ -208,7 +228,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 yield pa.record_batch([*own.columns[:-1], pa.array(found, kind)], names=[*own.schema.names[:-1], "__blocks"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
-    cut = plain.mapInArrow(run, f"{kinds}__blocks {BLOCK}")
+    cut = plain.mapInArrow(lean(run), f"{kinds}__blocks {BLOCK}")
     nothing = F.lit(None).cast(BLOCK.removeprefix("array<").removesuffix(">"))
 
     def stays(b: Column, i: Column) -> Column:

@@ -61,7 +61,7 @@ def template_of(path: Column) -> Column:
 
     parts = F.transform(F.split(path, "/"), kind)
     head = F.slice(parts, 1, LEVELS)
-    rest = F.array_join(F.slice(parts, LEVELS + 1, 1_000_000), "/")
+    rest = F.array_join(F.slice(parts, LEVELS + 1, F.size(parts)), "/")
     return F.when(F.size(parts) > LEVELS, F.concat(F.slice(head, 1, LEVELS - 1), F.array(F.concat_ws("/", F.element_at(parts, LEVELS), rest)))).otherwise(head)
 
 

@@ -171,6 +171,19 @@ def test_main_text(spark):
     assert htmltext.extract(df.limit(0)).collect() == []
 
 
+def test_hostile_pages_take_linear_time_and_lose_nothing(spark):
+    import time
+
+    text = "the article text goes on and on for quite a while so that it counts as one"
+    assert htmltext.blocks(f"<p>before<select><option>a<p>{text}")[-1]["text"] == text
+    began = time.time()
+    for page in ("<a " * 300_000, '<a "' * 200_000 + ">", "<svg>" * 200_000 + text, "<!-- " * 200_000, "<" * 1_000_000):
+        htmltext.blocks(page)
+    assert time.time() - began < 60
+    assert htmltext.blocks('<p title="a>b">x y</p>')[0]["text"] == "x y"
+    assert htmltext.blocks('<p>one <b class="open>two</b> three</p>')[0]["text"].startswith("one")
+
+
 def test_main_text_of_given_pages(spark):
     import html
 
