@@ -141,7 +141,7 @@ def parse_gap(text: Column) -> Column:
 def parse_state(text: Column) -> Column:
     """struct(kind, timer, literal) of a STATE cell: E<time> is on track, S<literal> a status."""
     t = F.trim(text)
-    head, rest = F.upper(F.substring(t, 1, 1)), F.trim(F.substring(t, 2, 1_000))
+    head, rest = F.upper(F.substring(t, 1, 1)), F.trim(F.substring(t, 2, F.length(t)))
     timer = F.when(head == "E", event_or_null(rest))
     literal = F.when(head == "E", F.lit(None)).when(head == "S", rest).otherwise(t)
     kind = F.when((head == "E") & timer.isNotNull(), "ON_TRACK").otherwise(F.coalesce(lookup(STATE_BY_LITERAL, token(literal)), F.lit("UNKNOWN")))
@@ -163,19 +163,19 @@ def canonical_flag(x: Column) -> Column:
 def parse_driver_stint(text: Column) -> Column:
     """struct(kind, value): S start instant, P point in time, L duration."""
     t = F.trim(text)
-    value = parse_ts_time(F.substring(t, 2, 1_000))
+    value = parse_ts_time(F.substring(t, 2, F.length(t)))
     kind = lookup({"S": "START_TS", "P": "POINT_TS", "L": "DURATION"}, F.upper(F.substring(t, 1, 1)))
     return F.struct(F.coalesce(F.when(value.isNotNull(), kind), F.lit("UNKNOWN")).alias("kind"), F.when(kind.isNotNull(), value).alias("value"))
 
 
 def pit_duration_ms(text: Column) -> Column:
     """Milliseconds of L<us>."""
-    return F.when(F.upper(F.substring(F.trim(text), 1, 1)) == "L", div(parse_ts_time(F.substring(F.trim(text), 2, 1_000)), 1000))
+    return F.when(F.upper(F.substring(F.trim(text), 1, 1)) == "L", div(parse_ts_time(F.substring(F.trim(text), 2, F.length(text))), 1000))
 
 
 def pit_entry_ts(text: Column) -> Column:
     """The provider instant of S<ts>."""
-    return F.when(F.upper(F.substring(F.trim(text), 1, 1)) == "S", event_ts(F.substring(F.trim(text), 2, 1_000)))
+    return F.when(F.upper(F.substring(F.trim(text), 1, 1)) == "S", event_ts(F.substring(F.trim(text), 2, F.length(text))))
 
 
 def canonical_header(name: Column, parameter: Column, caption: Column) -> Column:

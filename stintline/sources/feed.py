@@ -27,7 +27,7 @@ def decode_envelope(frame: DataFrame) -> DataFrame:
     """A2: {"M": [[handle, args...]]} to one row per message; a single argument stands by itself."""
     parts = F.from_json(F.get_json_object("raw", "$.M"), "array<array<string>>")
     rows = frame.select(*[c for c in frame.columns if c != "raw"], F.posexplode(parts).alias("message_ordinal", "m"))
-    args = F.slice("m", 2, 1_000)
+    args = F.slice("m", 2, F.size("m"))
     return rows.select("*", F.get("m", F.lit(0)).alias("handle"), F.when(F.size(args) == 1, F.get(args, F.lit(0))).otherwise(F.to_json(args)).alias("payload")).drop("m")
 
 
