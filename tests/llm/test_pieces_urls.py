@@ -249,3 +249,20 @@ def test_pipeline_matches_its_stages_by_hand(spark, tmp_path):
     shown = SimpleNamespace(ids={i: list(r.ids) for i, r in got.items()})
     assert all(b"".join(table.bytes_of[x] for x in shown.ids[i])[1:].decode() == texts[i] for i in clean)
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in got.values())
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    passage = " ".join(f"bench{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"the house of the old man number {i} and the river " * 3, "en", "mine", 7, "k", "lang") for i in range(6)]
+    rows += [(None, "the river and the house are here again", None, "mine", 7, "k", "x"), (8, None, "en", "mine", 7, "k", "x"), (9, "", "en", "mine", 7, "k", "x"), (10, passage, "en", "mine", 7, "k", "x"), (8, None, "en", "mine", 7, "k", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, n_removed long, __key string, own_3 string")
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == docs.columns
+        assert all((r["lang_pred"], r["n_removed"], r["__key"]) == ("mine", 7, "k") and r["own_3"] in ("lang", "x") for r in got)
+        counts.append(len(got))
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert counts == [8, 11, 11, 10]
