@@ -32,11 +32,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside; the one before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it again."""
+    """Cut the lineage: write a table in the shared folder and read it again. Its shuffle files go once it is written."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path  # type: ignore[attr-defined]
     return out
@@ -47,12 +62,8 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most `rows` rows for what is written inside; the session's setting comes back. Spark bounds a batch's bytes itself."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, str(rows))
-    try:
+    with setting(spark, key, before if 0 < int(before) <= rows else str(rows)):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def lean(run: Callable) -> Callable:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm.common import PART_ROWS, batches_of, drop, lean, parts, release, save, span_hashes
+from stintline.llm.common import PART_ROWS, batches_of, drop, lean, parts, release, save, setting, span_hashes
 
 SPACE = "\u2581"
 #: Stands for a space mark that the text itself holds; its bytes are encoded, so that decoding gives it back.
@@ -318,12 +318,8 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] | None = None, frequ
     with batches_of(spark, TEXTS_IN_BATCH):
         vocabulary = save(words(docs, beside), "words")
     release(spark)
-    before = spark.conf.get(_HELD)
-    spark.conf.set(_HELD, str(WORDS_HELD))
-    try:
+    with setting(spark, _HELD, str(WORDS_HELD)):
         packed = save(lattice(vocabulary, pieces), "lattice")
-    finally:
-        spark.conf.set(_HELD, before)
     drop(vocabulary)
     release(spark)
     frequent_words, least = _frequent(packed, frequent)
