@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stintline.functions import scalars as X
+from stintline.operators import battle as B
 from stintline.operators import facts as S
 from stintline.operators import laps as L
 from stintline.operators import pits as P
 from stintline.plans import archive as A
 from stintline.plans import health as H
-from stintline.queries.q_battle import STINTS
+from stintline.queries.q_battle import DAY, RUNS, STINTS, trend_sql
 from stintline.queries.q_facts import _BOARD
 from stintline.queries.q_laps import CLEAN, PACE, SLOW, clean_laps, pace
 from stintline.queries.registry import query
@@ -270,12 +271,12 @@ def p12(fx):
     SLOW + """, best AS (SELECT participant_id, completed_at_us, best, lag(best) OVER (PARTITION BY participant_id ORDER BY lap_number) AS b FROM (SELECT *, min(duration_ms) OVER (PARTITION BY participant_id ORDER BY lap_number) AS best FROM fx_lap)),
 st AS (SELECT *, lag(state_kind) OVER (PARTITION BY participant_id ORDER BY lap_number) AS b FROM fx_state), fl AS (SELECT *, lag(flag) OVER (PARTITION BY heat_id ORDER BY started_at_us) AS b FROM fx_flag),
 md AS (SELECT class_key, list(pit_lane_ms) AS l FROM fx_pit WHERE pit_lane_ms IS NOT NULL GROUP BY 1 HAVING count(*) >= 3), mx AS (SELECT class_key, list_median(l) + 3 * list_median(list_transform(l, lambda v: CAST(floor(abs(v - list_median(l))) AS DOUBLE))) AS lim FROM md)
-SELECT 'new_best_lap' AS key, 'INFO' AS severity, participant_id AS scope_key, completed_at_us AS at_us, CAST(b - best AS DOUBLE) AS numeric_consequence FROM best WHERE b IS NOT NULL AND best <> b
-UNION ALL SELECT 'competitor_pit_transition', 'WARNING', participant_id, observed_at_us, NULL FROM st WHERE b IS NOT NULL AND state_kind <> b AND state_kind IN ('IN_PIT', 'OUT_LAP')
-UNION ALL SELECT 'flag_changed', 'WARNING', heat_id, started_at_us, NULL FROM fl WHERE b IS NOT NULL AND flag <> b
-UNION ALL SELECT 'stint_pace_deteriorated', 'WARNING', s.participant_id, c.completed_at_us, s.duration_ms - s.threshold_ms FROM slow s JOIN fx_lap c ON c.participant_id = s.participant_id AND c.lap_number = s.lap_number
-UNION ALL SELECT 'pit_completed_new_stint', 'INFO', participant_id, exited_at_us, CAST(pit_lane_ms AS DOUBLE) FROM fx_pit WHERE completed
-UNION ALL SELECT 'ours_pit_too_long', 'CRITICAL', p.participant_id, p.exited_at_us, p.pit_lane_ms - lim FROM fx_pit p JOIN mx USING (class_key) WHERE p.pit_lane_ms > lim""",
+SELECT 'new_best_lap' AS key, 'information' AS severity, participant_id AS scope_key, completed_at_us AS at_us, CAST(b - best AS DOUBLE) AS numeric_consequence FROM best WHERE b IS NOT NULL AND best <> b
+UNION ALL SELECT 'competitor_pit_transition', 'action', participant_id, observed_at_us, NULL FROM st WHERE b IS NOT NULL AND state_kind <> b AND state_kind IN ('IN_PIT', 'OUT_LAP')
+UNION ALL SELECT 'flag_changed', 'action', heat_id, started_at_us, NULL FROM fl WHERE b IS NOT NULL AND flag <> b
+UNION ALL SELECT 'stint_pace_deteriorated', 'action', s.participant_id, c.completed_at_us, s.duration_ms - s.threshold_ms FROM slow s JOIN fx_lap c ON c.participant_id = s.participant_id AND c.lap_number = s.lap_number
+UNION ALL SELECT 'pit_completed_new_stint', 'information', participant_id, exited_at_us, CAST(pit_lane_ms AS DOUBLE) FROM fx_pit WHERE completed
+UNION ALL SELECT 'ours_pit_too_long', 'critical', p.participant_id, p.exited_at_us, p.pit_lane_ms - lim FROM fx_pit p JOIN mx USING (class_key) WHERE p.pit_lane_ms > lim""",
 )
 def al_alerts(fx):
     w = Window.partitionBy("participant_id").orderBy("lap_number")
@@ -288,12 +289,12 @@ def al_alerts(fx):
     middle = fx.pit.where("pit_lane_ms is not null").groupBy("class_key").agg(F.percentile("pit_lane_ms", half).alias("middle"), F.count("*").alias("n")).where("n >= 3")
     limit = fx.pit.where("pit_lane_ms is not null").join(middle, "class_key").groupBy("class_key", "middle").agg((c("middle") + 3 * F.percentile(F.floor(F.abs(c("pit_lane_ms") - c("middle"))), half)).alias("lim")).select("class_key", "lim")
     parts = [
-        A.alert(best, "new_best_lap", "INFO", c("b").isNotNull() & (c("best") != c("b")), "completed_at_us", c("b") - c("best")),
-        A.alert(state, "competitor_pit_transition", "WARNING", c("b").isNotNull() & (c("state_kind") != c("b")) & c("state_kind").isin("IN_PIT", "OUT_LAP"), "observed_at_us", none),
-        A.alert(flag, "flag_changed", "WARNING", F.lit(True), "started_at_us", none, "heat_id"),
-        A.alert(slow, "stint_pace_deteriorated", "WARNING", F.lit(True), "completed_at_us", c("duration_ms") - c("threshold_ms")),
-        A.alert(fx.pit, "pit_completed_new_stint", "INFO", c("completed"), "exited_at_us", c("pit_lane_ms")),
-        A.alert(fx.pit.join(limit, "class_key"), "ours_pit_too_long", "CRITICAL", c("pit_lane_ms") > c("lim"), "exited_at_us", c("pit_lane_ms") - c("lim")),
+        A.alert(best, "new_best_lap", "information", c("b").isNotNull() & (c("best") != c("b")), "completed_at_us", c("b") - c("best")),
+        A.alert(state, "competitor_pit_transition", "action", c("b").isNotNull() & (c("state_kind") != c("b")) & c("state_kind").isin("IN_PIT", "OUT_LAP"), "observed_at_us", none),
+        A.alert(flag, "flag_changed", "action", F.lit(True), "started_at_us", none, "heat_id"),
+        A.alert(slow, "stint_pace_deteriorated", "action", F.lit(True), "completed_at_us", c("duration_ms") - c("threshold_ms")),
+        A.alert(fx.pit, "pit_completed_new_stint", "information", c("completed"), "exited_at_us", c("pit_lane_ms")),
+        A.alert(fx.pit.join(limit, "class_key"), "ours_pit_too_long", "critical", c("pit_lane_ms") > c("lim"), "exited_at_us", c("pit_lane_ms") - c("lim")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -301,6 +302,35 @@ def al_alerts(fx):
     return out
 
 
+@query(
+    "al_race_alerts",
+    RUNS + ",\n" + ",\n".join(trend_sql(f"t{d}", d * DAY) for d in (1, 2, 7)) + """,
+u AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t7),
+v AS (SELECT *, CASE WHEN direction = 'CLOSING' AND closure_ms_per_lap > 0 THEN closure_ms_per_lap WHEN direction = 'BEING_CAUGHT' AND closure_ms_per_lap < 0 THEN -closure_ms_per_lap END AS rate FROM u),
+cr AS (SELECT focal_id, observed_at_us, gap_ms / max(rate) AS min_laps FROM v GROUP BY focal_id, relation, observed_at_us, seq, gap_ms HAVING count(rate) >= 2),
+p AS (SELECT participant_id, min(class_key) AS class_key, max(entered_at_us) AS at_us, count(*) FILTER (WHERE completed) AS n, participant_id % 60 + 2 AS r, CASE participant_id % 3 WHEN 0 THEN 14400 WHEN 1 THEN 43200 ELSE 7200 END AS d FROM fx_pit GROUP BY 1),
+q AS (SELECT *, r - n AS k, d - participant_id % 11 * 10.0::DOUBLE AS e, (participant_id % 11) * 10.0::DOUBLE AS t FROM p WHERE d <> 7200 AND r BETWEEN 2 AND 8),
+md AS (SELECT class_key, median(pit_lane_ms) AS m FROM fx_pit WHERE completed AND pit_lane_ms IS NOT NULL GROUP BY 1)
+SELECT 'catch_or_threat_crossing' AS key, 'action' AS severity, focal_id AS scope_key, observed_at_us AS at_us, min_laps AS numeric_consequence FROM cr WHERE min_laps <= 5
+UNION ALL SELECT 'even_schedule_deviation', 'action', participant_id, at_us, e - (n + 1) * (d / (r + 1)) FROM q WHERE k > 0 AND abs(e - (n + 1) * (d / (r + 1))) >= 900
+UNION ALL SELECT 'mandatory_pits_infeasible', 'critical', participant_id, at_us, k * m / 1000.0::DOUBLE - t FROM q JOIN md USING (class_key) WHERE k > 0 AND t < k * m / 1000.0::DOUBLE""",
+)
+def al_race_alerts(fx):
+    d = F.when(c("participant_id") % 3 == 0, 14_400).when(c("participant_id") % 3 == 1, 43_200).otherwise(7_200)
+    stops = fx.pit.groupBy("participant_id").agg(F.min("class_key").alias("class_key"), F.max("entered_at_us").alias("at_us"), F.count_if("completed").alias("n"))
+    plan = stops.withColumn("o", P.obligations(c("n"), d, c("participant_id") % 60 + 2, d - c("participant_id") % 11 * 10.0)).select("participant_id", "class_key", "at_us", "o.*")
+    middle = fx.pit.where("completed and pit_lane_ms is not null").groupBy("class_key").agg(F.percentile("pit_lane_ms", F.lit(0.5)).alias("m"))
+    needed_s = c("remaining_pits") * c("m") / 1000.0
+    off = c("stint_schedule_deviation_s")
+    catch = B.catch_range([B.gap_trend(fx.gap_sample, n * DAY) for n in (1, 2, 7)], F.lit(100_000.0))
+    parts = [
+        A.alert(catch, "catch_or_threat_crossing", "action", c("min_laps") <= 5, "observed_at_us", c("min_laps"), "focal_id"),
+        A.alert(plan, "even_schedule_deviation", "action", F.abs(off) >= 900, "at_us", off),
+        A.alert(plan.join(middle, "class_key"), "mandatory_pits_infeasible", "critical", (c("remaining_pits") > 0) & (c("remaining_time_s") < needed_s), "at_us", needed_s - c("remaining_time_s")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "m_tactical_scoreboard",
     PACE + """, m AS (SELECT participant_id, max(lap_number) AS laps, arg_max(duration_ms, lap_number) AS last_lap_ms, min(duration_ms) AS best_lap_ms FROM fx_lap GROUP BY 1)

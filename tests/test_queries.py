@@ -29,7 +29,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n[0] in "abcdefghmrs"][::4] + ["al_alerts", "f2_rolling_pace", "s12_clean_laps", "e7_class_pace"])
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n[0] in "abcdefghmrs"][::4] + ["al_alerts", "al_race_alerts", "f2_rolling_pace", "s12_clean_laps", "e7_class_pace"])
 def test_query_matches_sql(spark, sql, name):
     got = QUERIES[name](spark, SF).toArrow()
     if name in ORACLE_SQL:
