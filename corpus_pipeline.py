@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintline.llm import decontaminate, language, linechunks, minhash, pieces
-from stintline.llm.common import save
+from stintline.llm.common import batches_of, save
 from stintline.llm.queries import MODEL
 
 #: Documents whose language is less sure than this go, and so do those without letters.
@@ -102,5 +102,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+        with batches_of(spark, pieces.TEXTS_IN_BATCH):
+            docs = save(stage(spark, docs, sf_dir), name)
     return docs
