@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintline.llm.common import ALNUM, Words, lean, parts, save
@@ -230,17 +230,16 @@ def _passes(items: DataFrame, window: int):
         yield names, found
 
 
-def _merge(batches):
-    for batch in batches:
-        starts, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        hit = []
-        for a, n in zip(starts, sizes, strict=True):
-            total, reach = 0, 0
-            for x, m in sorted(zip(a, n, strict=True)):
-                total += max(0, x + m - max(x, reach))
-                reach = max(reach, x + m)
-            hit.append(total)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), batch.column(4)], names=["doc_id", "n_words", "n_hit", "items"])
+def _n_hit(starts: str, sizes: str) -> Column:
+    """Words inside any of the phrases: the length of the union of their spans."""
+    spans = F.array_sort(F.arrays_zip(starts, sizes))
+    none = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
+
+    def further(own: Column, x: Column) -> Column:
+        end = x[starts] + x[sizes]
+        return F.struct((own.total + F.greatest(F.lit(0).cast("long"), end - F.greatest(x[starts], own.reach))).alias("total"), F.greatest(own.reach, end).alias("reach"))
+
+    return F.aggregate(spans, none, further, lambda own: own.total)
 
 
 def contamination(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
@@ -253,7 +252,7 @@ def contamination(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     have no effect. Long texts are indexed whole, one to a shard. Further columns, whatever their names, play no part.
     Without documents the result is empty; without items nothing is hit.
     """
-    merged = matches(docs, items, **how).select("doc_id", "n_words", "starts", "sizes", "items").mapInArrow(lean(_merge), "doc_id long, n_words long, n_hit long, items array<string>")
+    merged = matches(docs, items, **how).select("doc_id", "n_words", _n_hit("starts", "sizes").alias("n_hit"), "items")
     listed = F.array_join(F.array_sort("items"), ",")
     return merged.select(
         "doc_id",
