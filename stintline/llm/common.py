@@ -66,17 +66,24 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
 
 
+#: Bytes from which an array is given back to the system as soon as it is freed, and the allocator's number of that setting.
+FREED_AT_ONCE, _M_MMAP_THRESHOLD = 1 << 20, -3
+
+
 def lean(run: Callable) -> Callable:
-    """`run`, a function of mapInArrow, that gives its task's free memory back to the system at the end, since workers serve many stages."""
+    """`run`, a function of mapInArrow, that gives memory back to the system: large arrays when freed, the rest at its task's end, since workers serve many stages."""
 
     def whole(batches):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(_M_MMAP_THRESHOLD, FREED_AT_ONCE)
+            pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
 
     return whole
 
@@ -163,7 +170,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int = 1 << 18) -> np.ndarray:
     """Polynomial hash of each span of bytes, whatever its place: differences of running sums, spans in blocks of `most` bytes."""
     out = np.zeros(len(start), np.uint64)
     k = 0
