@@ -67,7 +67,7 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 #: Bytes from which an array is given back to the system as soon as it is freed, and the allocator's number of that setting.
-FREED_AT_ONCE, _M_MMAP_THRESHOLD = 1 << 20, -3
+FREED_AT_ONCE, _M_MMAP_THRESHOLD = 8 << 20, -3
 
 
 def lean(run: Callable) -> Callable:
