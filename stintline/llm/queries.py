@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm import decontaminate, htmltext, hyperplanes, language, linechunks, minhash, personal, pieces, quality, urltree
+from stintline.llm import decontaminate, divergence, htmltext, hyperplanes, language, linechunks, minhash, personal, pieces, quality, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_line_chunk_dedup, op6_language_id, op7_html_main_text, op8_quality, op9_sentencepiece, op10_url_filter)
+    f.__name__: f for f in (op1_pii_surrogates, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_line_chunk_dedup, op6_language_id, op7_html_main_text, op8_quality, op9_sentencepiece, op10_url_filter, op12_source_divergence)
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,5 +149,31 @@ rest AS (
     CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(CASE WHEN g.rid IS NOT NULL THEN n END), 0) AS BIGINT) AS n_removed
   FROM chunk c LEFT JOIN gone g ON g.rid = c.rid AND g.pos = c.pos GROUP BY c.rid)
 SELECT doc_id, rest.text, n_lines, coalesce(n_removed, 0) AS n_removed FROM doc LEFT JOIN rest USING (rid)
+""",
+    "op12_source_divergence": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    unnest(list_append(regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), '')) AS term FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+kept AS (SELECT lang, term FROM doc WHERE term <> '' GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM doc JOIN kept USING (lang, term) GROUP BY lang, source, term),
+total AS (SELECT lang, term, sum(c) AS c FROM cnt GROUP BY lang, term),
+gn AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY lang, source),
+ln AS (SELECT lang, sum(c) AS n FROM cnt GROUP BY lang),
+p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (coalesce(n, 0) + 2 * v) AS BIGINT) AS p
+  FROM grp JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN cnt USING (lang, source, term)),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (c + 2)) // (n + 2 * v) AS BIGINT) AS q FROM total JOIN ln USING (lang) JOIN v USING (lang)),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+best AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM best))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }
