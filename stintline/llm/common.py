@@ -46,12 +46,12 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it again. Its shuffle files go once it is written."""
+def save(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder, in subfolders of the columns `by`, and read it again. Its shuffle files go once it is written."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path  # type: ignore[attr-defined]
     return out

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm import decontaminate, divergence, htmltext, hyperplanes, language, linechunks, minhash, personal, pieces, quality, urltree
+from stintline.llm import decontaminate, divergence, htmltext, hyperplanes, language, linechunks, minhash, personal, pieces, quality, ranked, secretledger, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +65,20 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretledger.scan(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_line_chunk_dedup, op6_language_id, op7_html_main_text, op8_quality, op9_sentencepiece, op10_url_filter, op12_source_divergence)
+    f.__name__: f for f in (op1_pii_surrogates, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_line_chunk_dedup, op6_language_id, op7_html_main_text, op8_quality, op9_sentencepiece, op10_url_filter, op11_secret_ledger, op12_source_divergence, op13_ranked_search)
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -81,6 +89,15 @@ reach(node, root) AS (
 component AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
 """
 
+def _spans_sql(kind: str, place: int, pattern: str, group: int = 0, least: int = 1) -> str:
+    """Spans of a pattern: the pieces between its matches give their places."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT rid, '{kind}' AS kind, {place} AS place, list_sum(list_transform(gap[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[:i - 1], lambda x: length(x))), 0) AS start, length(hit[i]) AS n
+  FROM (SELECT rid, string_split_regex(text, '{p}') AS gap, regexp_extract_all(text, '{p}') AS hit, regexp_extract_all(text, '{p}', {group}) AS own, unnest(range(1, len(regexp_extract_all(text, '{p}')) + 1)) AS i FROM doc)
+  WHERE length(own[i]) >= {least}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": rf"""
 WITH RECURSIVE word AS (
@@ -149,6 +166,17 @@ rest AS (
     CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(CASE WHEN g.rid IS NOT NULL THEN n END), 0) AS BIGINT) AS n_removed
   FROM chunk c LEFT JOIN gone g ON g.rid = c.rid AND g.pos = c.pos GROUP BY c.rid)
 SELECT doc_id, rest.text, n_lines, coalesce(n_removed, 0) AS n_removed FROM doc LEFT JOIN rest USING (rid)
+""",
+    "op11_secret_ledger": f"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+span AS ({" UNION ALL ".join(_spans_sql(r.kind, i, r.pattern, r.group, r.least) for i, r in enumerate(secretledger.RULES))}),
+named AS (SELECT rid, kind, place, start, concat(kind, ':', CAST(start AS BIGINT), ':', CAST(start + n AS BIGINT)) AS name FROM span),
+own AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(name, ',' ORDER BY start, place) FILTER (place < 3) AS base, string_agg(name, ',' ORDER BY start, place) AS spans FROM named GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN own USING (rid)
 """,
     "op12_source_divergence": rf"""
 WITH doc AS (
@@ -175,5 +203,20 @@ best AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p -
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM best))
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""",
+    "op13_ranked_search": rf"""
+WITH word AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+size AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM word WHERE len(w) > 0),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM word) GROUP BY rid, doc_id, n, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, size GROUP BY term, n_docs),
+item AS (
+  SELECT DISTINCT qid, item_id, term FROM (
+    SELECT row_number() OVER () AS qid, item_id, unnest(regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+found AS (
+  SELECT qid, item_id, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM item JOIN df USING (term) JOIN tf USING (term), size GROUP BY qid, item_id, rid, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, rid) AS INT) AS rank FROM found WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """,
 }
