@@ -210,22 +210,27 @@ def parts(column: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[int, int,
             row = end
 
 
+def word_places(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(is each byte in a word, first byte of each word, its length, words before each row); no word runs across rows."""
+    inside = is_word[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    first[edges] |= inside[edges]
+    start = np.flatnonzero(first)
+    # a word ends where the next byte is outside or begins another
+    length = np.flatnonzero(inside & np.append(~inside[1:] | first[1:], True)[: len(data)]) + 1 - start
+    return inside, start, length, np.searchsorted(start, offsets)
+
+
 class Words:
     """Words of a part: 64-bit hash, row, first byte and length of each, in order; rows' words are ptr[r]:ptr[r + 1]."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True):
         if lower:
             data = LOWER[data]
-        inside = is_word[data]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        edges = offsets[:-1][offsets[:-1] < len(data)]
-        first[edges] |= inside[edges]
-        self.start = np.flatnonzero(first)
-        # a word ends where the next byte is outside or begins another
-        self.length = np.flatnonzero(inside & np.append(~inside[1:] | first[1:], True)[: len(data)]) + 1 - self.start
+        _, self.start, self.length, self.ptr = word_places(data, offsets, is_word)
         self.hash = span_hashes(data, self.start, self.length)
-        self.ptr = np.searchsorted(self.start, offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.ptr))
 
 

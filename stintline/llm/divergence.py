@@ -8,8 +8,6 @@ a term, and counts how often a source holds a term how many times, which settles
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintline.llm.common import drop, lean, save
+from stintline.llm.common import LOWER, drop, lean, parts, save, word_places
 
-#: A term, in UTF-8 bytes of which A-Z are lower case: letters and all that is not ASCII.
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Bytes of terms `[^\x00-\x40\x5B-\x60\x7B-\x7F]+`, after A-Z are lower case: letters and all that is not ASCII.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 #: Documents of a language that hold a term, at least, for the term to be kept.
 LEAST_DOCS = 10
 #: Terms shown for each group.
@@ -29,89 +28,141 @@ MOST_TERMS = 10
 #: Shares are parts of this number.
 WHOLE = 1_000_000_000
 #: (term, source) cells that a task holds before it spills its stripes.
-SPILL_CELLS = 200_000
-#: Cells of a slice of merged stripes, and the bytes of a document that are split into terms at once.
-SLICE_CELLS, PIECE = 20_000, 1_000_000
+SPILL_CELLS = 1_000_000
+#: Cells of a slice of merged stripes.
+SLICE_CELLS = 20_000
 #: Ways into which the pairs of a language's sources are dealt.
 SALTS = 16
 
 _STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
-_STRIPES = pa.schema([("lang", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _EMITTED = "lang string, kind string, source string, item string, count long, value long"
 
 
-def terms_of(text: bytes) -> Counter:
-    """Occurrences of each term; a long text is split piece by piece, never within a term."""
-    text = text.lower()
-    found: Counter = Counter()
-    at = 0
-    while at < len(text):
-        end = at + PIECE
-        while end < len(text) and TERM.match(text, end):
-            end = TERM.match(text, end).end()
-        found.update(TERM.findall(text, at, end))
-        at = end
-    return found
-
-
-def _rows(stripes: Iterator[tuple[str, bytes, int, dict[str, int]]], most: int = 5_000) -> Iterator[pa.RecordBatch]:
-    block: list[tuple] = []
-    for lang, term, df, own in stripes:
-        block.append((lang, term.decode(), df, list(own), list(own.values())))
-        if len(block) == most:
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*block, strict=True), _STRIPES, strict=True)], schema=_STRIPES)
-            block = []
-    if block:
-        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*block, strict=True), _STRIPES, strict=True)], schema=_STRIPES)
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of each of the values by key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *[np.add.reduceat(v[order], first) if len(keys) else v for v in values]
+
+
+def term_cells(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, group, occurrences, documents) of whole texts, row r being a document of group[r]."""
+    data = LOWER[data]
+    inside, _, length, ptr = word_places(data, offsets, LETTERS)
+    ends = np.append(0, np.cumsum(length)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]).dictionary_encode()
+    code, n_codes = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+    row = np.repeat(np.arange(len(group)), np.diff(ptr))
+    own, n = _sums(row * n_codes + code, np.ones(len(code), np.int64))
+    cell, n, docs = _sums(group[own // n_codes] * n_codes + own % n_codes, n, np.ones(len(own), np.int64))
+    return words.dictionary.take(pa.array(cell % n_codes)), cell // n_codes, n, docs
+
+
+class _Held:
+    """The stripes of a task as cells (term, group, occurrences, documents)."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.cells: list[tuple] = []
+        self.size = 0
+
+    def add(self, langs: list[str], sources: list[str], data: np.ndarray, offsets: np.ndarray) -> None:
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources, strict=True)], np.int64)
+        self.cells.append(term_cells(data, offsets, group))
+        self.size += len(self.cells[-1][1])
+
+    def fold(self) -> None:
+        """Cells of one term and group become one."""
+        terms = pa.chunked_array([t for t, *_ in self.cells], pa.large_string()).combine_chunks().dictionary_encode()
+        group, n, docs = (np.concatenate([c[i] for c in self.cells]) for i in (1, 2, 3))
+        cell, n, docs = _sums(terms.indices.to_numpy().astype(np.int64) * len(self.groups) + group, n, docs)
+        self.cells = [(terms.dictionary.take(pa.array(cell // len(self.groups))), cell % len(self.groups), n, docs)]
+        self.size = len(cell)
+
+    def stripes(self) -> Iterator[pa.RecordBatch]:
+        """One stripe a term and language, and for each group an empty one, so that one without terms is known too."""
+        names = list(self.groups)
+        langs = pa.array([lang for lang, _ in names], pa.string()).dictionary_encode()
+        lang_of, sources = langs.indices.to_numpy().astype(np.int64), pa.array([s for _, s in names], pa.string())
+        empty = np.arange(len(names))
+        self.cells.append((pa.array([""] * len(names), pa.large_string()), empty, empty * 0, empty * 0))
+        self.fold()
+        terms, group, n, docs = self.cells[0]
+        terms = terms.dictionary_encode()
+        key = lang_of[group] * len(terms.dictionary) + terms.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, n, group, docs = key[order], n[order], group[order], docs[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        bounds = np.append(first, len(key))
+        out = [
+            langs.dictionary.take(pa.array(key[first] // len(terms.dictionary))),
+            terms.dictionary.take(pa.array(key[first] % len(terms.dictionary))).cast(pa.string()),
+            pa.array(np.add.reduceat(docs, first)),
+            pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), sources.take(pa.array(group))),
+            pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(n)),
+        ]
+        yield from pa.Table.from_arrays(out, names=["lang", "term", "df", "sources", "counts"]).to_batches(10_000)
 
 
 def _fold(spill_cells: int):
     def run(batches):
-        held: dict[str, dict[bytes, list]] = {}
-        cells = 0
+        held = _Held()
         for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = held.setdefault(lang, {})
-                # the empty term stands for the group itself, so that one without terms is known too
-                own.setdefault(b"", [0, {}])[1].setdefault(source, 0)
-                for term, n in terms_of(text.as_py().encode()).items():
-                    stripe = own.get(term)
-                    if stripe is None:
-                        own[term] = [1, {source: n}]
-                        cells += 1
-                    else:
-                        stripe[0] += 1
-                        if source in stripe[1]:
-                            stripe[1][source] += n
-                        else:
-                            stripe[1][source] = n
-                            cells += 1
-                if cells >= spill_cells:
-                    yield from _rows((lang, t, *s) for lang, all_ in held.items() for t, s in all_.items())
-                    held, cells = {}, 0
-        yield from _rows((lang, t, *s) for lang, all_ in held.items() for t, s in all_.items())
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row, end, data, offsets in parts(batch.column(2)):
+                held.add(langs[row:end], sources[row:end], data, offsets)
+                if held.size >= 2 * spill_cells:
+                    held.fold()
+                    if held.size >= spill_cells:
+                        yield from held.stripes()
+                        held = _Held()
+        if held.groups:
+            yield from held.stripes()
 
     return lean(run)
 
 
+def _merged(rows: pa.Table) -> pa.Table:
+    """Sorted stripes, those of one term and language made one."""
+    lang, term = rows["lang"].combine_chunks(), rows["term"].combine_chunks()
+    new = np.ones(len(term), bool)
+    new[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    lists, counts = rows["sources"].combine_chunks(), rows["counts"].combine_chunks().flatten().to_numpy()
+    names = lists.flatten().dictionary_encode()
+    run = np.repeat(np.cumsum(new) - 1, pc.list_value_length(lists).to_numpy())
+    key, counts = _sums(run * len(names.dictionary) + names.indices.to_numpy(), counts)
+    bounds = pa.array(np.searchsorted(key // len(names.dictionary), np.arange(len(first) + 1)), pa.int32())
+    at = pa.array(first)
+    out = [
+        lang.take(at),
+        term.take(at),
+        pa.array(np.add.reduceat(rows["df"].to_numpy(), first)),
+        pa.ListArray.from_arrays(bounds, names.dictionary.take(pa.array(key % len(names.dictionary)))),
+        pa.ListArray.from_arrays(bounds, pa.array(counts)),
+    ]
+    return pa.Table.from_arrays(out, names=rows.column_names)
+
+
 def _merge(least_docs: int):
     """Stripes sorted by language and term to one a term; terms in too few documents go."""
 
-    def merged(batches):
-        key, df, own = None, 0, {}
+    def kept(rows: pa.Table) -> list[pa.RecordBatch]:
+        return rows.filter(pc.or_(pc.greater_equal(rows["df"], least_docs), pc.equal(rows["term"], ""))).to_batches()
+
+    def run(batches):
+        last = None  # the stripe that the next batch may go on with
         for batch in batches:
-            for lang, term, n, sources, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (lang, term) != key:
-                    if key is not None and (df >= least_docs or key[1] == ""):
-                        yield key[0], key[1].encode(), df, own
-                    key, df, own = (lang, term), 0, {}
-                df += n
-                for s, c in zip(sources, counts, strict=True):
-                    own[s] = own.get(s, 0) + c
-        if key is not None and (df >= least_docs or key[1] == ""):
-            yield key[0], key[1].encode(), df, own
-
-    return lean(lambda batches: _rows(merged(batches)))
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                rows = _merged(rows if last is None else pa.concat_tables([last, rows]))
+                yield from kept(rows.slice(0, len(rows) - 1))
+                last = rows.slice(len(rows) - 1)
+        if last is not None:
+            yield from kept(last)
+
+    return lean(run)
 
 
 def stripes(docs: DataFrame, least_docs: int = LEAST_DOCS, spill_cells: int = SPILL_CELLS) -> DataFrame:

@@ -102,7 +102,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame
     tiers = save(tiers.withColumn("weight", weight).where("weight > 0 and x > 0"), "tiers")
     n_tiers = tiers.agg(F.coalesce(F.max("tier") + 1, F.lit(0)).alias("n")).first().n
     rest = [F.coalesce(F.max(F.when(F.col("tier") > r, F.col("x"))), F.lit(0)) * F.first("weight") for r in range(n_tiers)]
-    lists = save(tiers.groupBy("term").agg(F.first("weight").alias("weight"), (F.array(*rest) if rest else F.array().cast("array<bigint>")).alias("rest")), "lists")
+    lists = save(tiers.groupBy("term").agg(F.first("weight").alias("weight"), F.array(*rest).cast("array<bigint>").alias("rest")), "lists")
     index = long.withColumn("band", band).join(sent_if_small(tiers.select("term", "band", "tier"), 40), ["term", "band"]).select("term", "rid", "doc_id", "x", "tier")
     index = save(index, "impact-index", by=["tier"])
     drop(held)
@@ -126,6 +126,8 @@ def search(docs: DataFrame, items: DataFrame, most: int = MOST) -> DataFrame:
     asked = save(items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text").cast("string").alias("text")), "asked")
     wanted = save(asked_terms(asked), "wanted")
     index, lists, n_tiers = build_index(docs, wanted.select("term"))
+    if not n_tiers:
+        return asked.limit(0).select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score"))
     needs = save(wanted.join(lists, "term"), "needs")
     drop(wanted)
     needs_sent = sent_if_small(needs, 32 + 8 * n_tiers)
