@@ -53,6 +53,22 @@ UNION ALL SELECT heat_id, 'GREEN', (SELECT min(day_us) FROM fx_day), min(started
     "fx_cell": """SELECT l_partkey % 4 AS heat_id, l_orderkey AS frame_id, l_linenumber AS message_ordinal, l_suppkey AS row_ix,
   l_linenumber AS col_ix, CAST(l_quantity AS BIGINT) AS value, CASE WHEN l_orderkey % 500 = 0 THEN 'r_i' ELSE 'r_c' END AS handle,
   l_partkey AS change_ordinal FROM lineitem""",
+    # a grid feed: braces stand as < and > until they are put in place, since both engines' texts are formatted
+    "fx_gridpart": """SELECT heat_id, conn_id, frame_id, message_ordinal, row_ix, col_ix, value, variant,
+  CASE WHEN message_ordinal > 1 THEN 'r_c' WHEN frame_id % 5000 < 4 THEN 'r_i' WHEN frame_id % 700 BETWEEN 8 AND 11 THEN 'r_l' WHEN frame_id % 40 BETWEEN 20 AND 23 THEN 'r_d' ELSE 'r_c' END AS handle
+FROM (SELECT l_orderkey % 4 AS heat_id, CAST(floor(l_orderkey / 3000.0) AS BIGINT) AS conn_id, l_orderkey AS frame_id,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS message_ordinal,
+  l_suppkey % 40 AS row_ix, CAST(l_linenumber % 6 AS BIGINT) AS col_ix, CAST(l_quantity AS BIGINT) AS value, CAST(floor(l_orderkey / 100.0) AS BIGINT) % 5 AS variant FROM lineitem)""",
+    "fx_gridlayout": """SELECT 0 AS variant, '<"h": [<"n": "NR">, <"n": "POS">, <"n": "LAPS">, <"n": "LAST">, <"n": "futureMetric", "p": "7">, <"n": "GAP">]>' AS layout
+UNION ALL SELECT 1, '<"h": [<"n": "POS">, <"n": "NR">, <"n": "LAST">, <"n": "LAPS">, <"n": "futureMetric", "p": "7">]>'
+UNION ALL SELECT 2, '<"l": <"h": ["NR", "LAPS", <"n": "lastRoundTime", "c": "LAST">, <"n": "x1", "c": "Gap">, "POS", <"n": "SectorTimes", "p": "1">]>>'
+UNION ALL SELECT 3, '<"h": [<"n": "NR">, <"n": "startnumber">, <"n": "LAPS">]>'
+UNION ALL SELECT 4, '<"h": [<"n": "LAST">, <"n": "futureMetric", "p": "7">, <"n": "NR">, <"n": "POS">, <"n": "GAP">, <"n": "LAPS">]>'""",
+    "fx_gridmsg": """SELECT heat_id, conn_id, frame_id, message_ordinal, handle, translate(CASE handle WHEN 'r_l' THEN layout
+  WHEN 'r_d' THEN concat('[[', CAST(row_ix AS {str}), '], [-1], ["x"]]')
+  WHEN 'r_i' THEN concat('<', CASE WHEN frame_id % 3 = 0 THEN '' ELSE concat('"l": ', layout, ', ') END, '"r": [[', CAST(row_ix AS {str}), ', 0, "', CAST(value AS {str}), '"], [', CAST(row_ix + 1 AS {str}), ', 1, "', CAST(value + 1 AS {str}), '", "style"]]>')
+  ELSE concat('[[', CAST(row_ix AS {str}), ', ', CAST(col_ix AS {str}), ', "', CAST(value AS {str}), '"], [-1, 2, "meta"], [3, 1]]') END, '<>', concat(chr(123), chr(125))) AS payload
+FROM fx_gridpart p JOIN fx_gridlayout l ON l.variant = p.variant""",
     "fx_gaptext": """SELECT o_custkey % 20 AS heat_id, o_orderkey AS row_key,
   row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_totalprice DESC, o_orderkey) AS position,
   CASE WHEN o_orderkey % 9 = 0 OR row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_totalprice DESC, o_orderkey) = 1

@@ -29,27 +29,47 @@ FLAG_CODE_BY_LABEL = {
 }
 #: State literals.
 STATE_BY_LITERAL = {"inpit": "IN_PIT", "outlap": "OUT_LAP", "finshd": "FINISHED", "finished": "FINISHED"}
-#: Canonical columns of the result table and the header names that mean them.
+#: Header names of the result table and the columns that they mean.
 HEADER_ALIASES = {
-    "position_overall": ("position", "pos"),
-    "marker": ("marker",),
-    "start_number": ("startnumber", "startno", "nr", "number", "nbr"),
-    "state": ("state",),
-    "team_name": ("team", "teamname"),
-    "current_driver": ("driver", "currentdriver", "driverincar"),
-    "class_name": ("class", "cls"),
-    "position_class": ("positioninclass", "pic"),
-    "gap": ("hole", "gap"),
-    "diff": ("diff",),
-    "best_lap": ("fastestroundtime", "best"),
-    "last_lap": ("lastroundtime", "last"),
-    "laps": ("laps", "lap"),
-    "driver_stint": ("currentdriverstinttime", "stint"),
-    "pit_time": ("pittime", "lpit"),
-    "pit_stops": ("pitstops", "pit"),
-    "section_marker": ("sectionmarker", "section", "s"),
-    "car_name": ("car", "vehicle"),
-    "speed": ("speed",),
+    "position": "position_overall",
+    "pos": "position_overall",
+    "marker": "marker",
+    "startnumber": "start_number",
+    "startno": "start_number",
+    "nr": "start_number",
+    "number": "start_number",
+    "nbr": "start_number",
+    "state": "state",
+    "team": "team_name",
+    "teamname": "team_name",
+    "driver": "current_driver",
+    "currentdriver": "current_driver",
+    "driverincar": "current_driver",
+    "class": "class_name",
+    "cls": "class_name",
+    "positioninclass": "position_class",
+    "pic": "position_class",
+    "hole": "gap",
+    "gap": "gap",
+    "diff": "diff",
+    "fastestroundtime": "best_lap",
+    "best": "best_lap",
+    "lastroundtime": "last_lap",
+    "last": "last_lap",
+    "laps": "laps",
+    "lap": "laps",
+    "currentdriverstinttime": "driver_stint",
+    "stint": "driver_stint",
+    "pittime": "pit_time",
+    "lpit": "pit_time",
+    "pitstops": "pit_stops",
+    "pit": "pit_stops",
+    "sectionmarker": "section_marker",
+    "section": "section_marker",
+    "s": "section_marker",
+    "car": "car_name",
+    "vehicle": "car_name",
+    "speed": "speed",
 }
 #: Other spellings of track names.
 TRACK_NAMES = {
@@ -183,7 +203,8 @@ def canonical_header(name: Column, parameter: Column, caption: Column) -> Column
 
     def key(text: Column) -> Column:
         t = token(text)
-        known = lookup({alias: k for k, aliases in HEADER_ALIASES.items() for alias in aliases}, t)
+        known = lookup(HEADER_ALIASES, t)
+        # fixed values: the forms of a sector's header
         numbered = F.regexp_extract(t, r"^(?:sectortimes?|sector|sect)([1-9][0-9]*)$", 1)
         apart = F.when(t.isin("sectortime", "sectortimes", "sector", "sect") & F.trim(parameter).rlike("^[1-9][0-9]*$"), F.concat(F.lit("sector_"), F.trim(parameter)))
         return F.coalesce(known, F.when(numbered != "", F.concat(F.lit("sector_"), numbered)), apart)

@@ -201,16 +201,6 @@ def d20(fx):
     return p.groupBy("heat_id", "flag", "started_at_us").agg(F.min_by("h_us", F.struct(F.abs(c("h_us") - c("started_at_us")), "h_us")).alias("h_us"))
 
 
-@query(
-    "d21_schema_baseline",
-    "SELECT heat_id, frame_id, message_ordinal, change_ordinal, row_ix, b IS NOT NULL AND b < frame_id AS trusted FROM (SELECT *, max(CASE WHEN handle = 'r_i' THEN frame_id END) OVER (PARTITION BY heat_id ORDER BY frame_id RANGE UNBOUNDED PRECEDING) AS b FROM fx_cell) WHERE handle = 'r_c'",
-)
-def d21(fx):
-    w = Window.partitionBy("heat_id").orderBy("frame_id").rangeBetween(Window.unboundedPreceding, 0)
-    rows = fx.cell.withColumn("b", F.max(F.when(c("handle") == "r_i", c("frame_id"))).over(w)).where("handle = 'r_c'")
-    return rows.select("heat_id", "frame_id", "message_ordinal", "change_ordinal", "row_ix", (c("b").isNotNull() & (c("b") < c("frame_id"))).alias("trusted"))
-
-
 @query(
     "d22_sectors_of_last",
     """x AS (SELECT *, min(CASE WHEN col_ix = 4 THEN frame_id END) OVER (PARTITION BY heat_id, row_ix ORDER BY frame_id RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last_frame FROM fx_cell)

@@ -307,19 +307,6 @@ def h5(fx):
     return a.join(o, "participant_id", "full").select("participant_id", F.when(c("o").isNull(), "OPENED").when(c("a").isNull(), "RESOLVED").otherwise("KEPT").alias("transition"))
 
 
-@query(
-    "s1_grid_current",
-    "x AS (SELECT *, max(CASE WHEN handle = 'r_i' THEN frame_id END) OVER (PARTITION BY heat_id) AS f FROM fx_cell) SELECT heat_id, row_ix, col_ix, arg_max(value, {'f': frame_id, 'm': message_ordinal, 'c': change_ordinal, 'v': value}) AS value FROM x WHERE f IS NULL OR frame_id >= f GROUP BY 1, 2, 3",
-)
-def s1(fx):
-    return S.grid_current(fx.cell)
-
-
-@query("s2_layout_contract", "SELECT heat_id, frame_id, count(DISTINCT col_ix) AS present, CASE WHEN count(DISTINCT CASE WHEN col_ix <= 3 THEN col_ix END) = 3 THEN 'CURRENT' ELSE 'DEGRADED' END AS status FROM fx_cell WHERE handle = 'r_i' GROUP BY 1, 2")
-def s2(fx):
-    return fx.cell.where("handle = 'r_i'").groupBy("heat_id", "frame_id").agg(F.count_distinct("col_ix").alias("present"), F.when(F.count_distinct(F.when(c("col_ix") <= 3, c("col_ix"))) == 3, "CURRENT").otherwise("DEGRADED").alias("status"))
-
-
 @query("s3_heat_state", "SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN role END IGNORE NULLS) OVER w AS name, last_value(CASE WHEN turn % 4 = 1 THEN turn END IGNORE NULLS) OVER w AS started FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def s3(fx):
     rows = fx.conversations.select("conv_id", "turn", F.when(c("turn") % 3 == 0, c("role")).alias("name"), F.when(c("turn") % 4 == 1, c("turn")).alias("started"))
