@@ -28,6 +28,8 @@ FROM events""",
   CASE WHEN event_id % 20 = 0 OR event_id % 28 = 0 THEN NULL ELSE 20000 + (event_id % 1000) * 40 END AS pit_lane_ms,
   event_id % 20 <> 0 AS completed
 FROM fx_lap WHERE event_type = 'error' AND event_id % 4 = 0""",
+    "fx_pit_early": """SELECT heat_id, participant_id, entered_at_us, exited_at_us, completed FROM fx_pit WHERE stop_number % 2 = 1""",
+    "fx_pit_late": """SELECT heat_id, participant_id, entered_at_us - 36000000000 AS entered_at_us, exited_at_us - 36000000000 AS exited_at_us, completed FROM fx_pit WHERE stop_number % 2 = 0""",
     "fx_day": """SELECT DISTINCT CAST({us} - {us} % 86400000000 AS BIGINT) AS day_us, CAST(({us} - {us} % 86400000000) / 86400000000 AS BIGINT) AS d FROM events""",
     "fx_caution": """SELECT heat_id, CASE WHEN (d + heat_id) % 6 = 4 THEN 'FULL_COURSE_YELLOW' ELSE 'SAFETY_CAR' END AS flag,
   day_us + 72000000000 AS started_at_us, day_us + 75600000000 AS ended_at_us FROM fx_day CROSS JOIN fx_heat WHERE (d + heat_id) % 2 = 0""",
@@ -53,6 +55,12 @@ UNION ALL SELECT heat_id, 'GREEN', (SELECT min(day_us) FROM fx_day), min(started
     "fx_cell": """SELECT l_partkey % 4 AS heat_id, l_orderkey AS frame_id, l_linenumber AS message_ordinal, l_suppkey AS row_ix,
   l_linenumber AS col_ix, CAST(l_quantity AS BIGINT) AS value, CASE WHEN l_orderkey % 500 = 0 THEN 'r_i' ELSE 'r_c' END AS handle,
   l_partkey AS change_ordinal FROM lineitem""",
+    # the events on a clock that runs 3,600 times slower, for what counts in seconds
+    "fx_tick": """SELECT user_id % 3 AS heat_id, user_id AS participant_id, event_id, 1704067200000000 + CAST(({us} - 1704067200000000 - ({us} - 1704067200000000) % 3600) / 3600 AS BIGINT) AS at_us,
+  CAST(round(value * 100) AS BIGINT) * 10 AS ms, CAST(floor(value) AS BIGINT) % 3 AS value, event_type, CASE WHEN event_id > 5000 THEN 2 ELSE 1 END AS version FROM events""",
+    "fx_gap_tick": """SELECT participant_id AS focal_id, CASE WHEN participant_id % 2 = 0 THEN 'AHEAD' ELSE 'BEHIND' END AS relation,
+  participant_id + 1 + CAST(floor(row_number() OVER (PARTITION BY participant_id ORDER BY at_us, event_id) / 40.0) AS BIGINT) % 2 AS target_id, at_us AS observed_at_us, ms AS gap_ms,
+  1 AS our_lap, CASE WHEN event_id % 37 = 0 THEN 2 ELSE 1 END AS target_lap, CASE WHEN event_id % 41 = 0 THEN 'SAFETY_CAR' ELSE 'GREEN' END AS flag, event_id AS seq FROM fx_tick""",
     # a grid feed: braces stand as < and > until they are put in place, since both engines' texts are formatted
     "fx_gridpart": """SELECT heat_id, conn_id, frame_id, message_ordinal, row_ix, col_ix, value, variant,
   CASE WHEN message_ordinal > 1 THEN 'r_c' WHEN frame_id % 5000 < 4 THEN 'r_i' WHEN frame_id % 700 BETWEEN 8 AND 11 THEN 'r_l' WHEN frame_id % 40 BETWEEN 20 AND 23 THEN 'r_d' ELSE 'r_c' END AS handle
@@ -104,11 +112,13 @@ def needed(sql: str) -> list[str]:
 
 def with_views(sql: str) -> str:
     """A query for another engine: the views it needs as common table expressions before it."""
+    recursive = sql.strip().startswith("RECURSIVE ")
+    sql = sql.strip().removeprefix("RECURSIVE ")
     views = [f"{name} AS ({VIEWS[name].format(us='epoch_us(ts)', str='VARCHAR')})" for name in needed(sql)]
     body = sql.strip()
     if not views:
         return body if body.upper().startswith("SELECT") else f"WITH {body}"
-    return "WITH " + ",\n".join(views) + ("\n" if body.upper().startswith("SELECT") else ",\n") + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(views) + ("\n" if body.upper().startswith("SELECT") else ",\n") + body
 
 
 class Fixture:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stintline.operators.windows import islands
 
 RUN = ["focal_id", "relation"]
+#: The closure windows, the look-back of trends, and how long samples are retained for both.
+WINDOWS_S, AGO_S, TAIL_S = (30, 60, 180), 600, 1800
 
 
 def is_eligible(gap: DataFrame) -> Column:
@@ -59,6 +61,24 @@ def gap_trend(gap: DataFrame, window_s: int) -> DataFrame:
     )
 
 
+def sliding_closures(gap: DataFrame, seconds: tuple[int, ...] = WINDOWS_S, ago_s: int = AGO_S, tail_s: int = TAIL_S) -> DataFrame:
+    """T5: each eligible sample with its change and closure over every window, and the gap of its run `ago_s` before, all within the tail.
+
+    The first sample of a window is the last one of the run that is as old as the window or older, as in `gap_trend`.
+    """
+    order = Window.partitionBy(*RUN, "run").orderBy("observed_at_us")
+    rows = eligible_runs(gap)
+    first = F.struct("observed_at_us", "seq", "gap_ms")
+    rows = rows.select("*", *[F.max(first).over(order.rangeBetween(-tail_s * 1_000_000, -w * 1_000_000)).alias(f"w{w}") for w in dict.fromkeys((*seconds, ago_s))])
+    out = []
+    for w in seconds:
+        change = F.col("gap_ms") - F.col(f"w{w}.gap_ms")
+        closure = F.when(F.col("relation") == "AHEAD", -change).otherwise(change)
+        out += [change.alias(f"change_{w}_ms"), (closure * 60_000_000.0 / (F.col("observed_at_us") - F.col(f"w{w}.observed_at_us"))).alias(f"closure_{w}_ms_per_min")]
+    kept = ["is_new"] if "is_new" in gap.columns else []
+    return rows.select(*RUN, "target_id", "observed_at_us", "seq", "gap_ms", *out, F.col(f"w{ago_s}.gap_ms").alias("gap_ago_ms"), *kept)
+
+
 def gap_lap_trend(gap: DataFrame, laps: int) -> DataFrame:
     """per sample the change since the last sample of its run exactly `laps` laps before."""
     rows = eligible_runs(gap)

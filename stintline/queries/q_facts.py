@@ -141,14 +141,6 @@ def f13(fx):
     return S.event_downsample(fx.lap.withColumn("is_event", c("event_type") == "error"), ["participant_id"], "completed_at_us", "is_event", 30).select("participant_id", "lap_number")
 
 
-@query(
-    "f14_history_buckets",
-    "SELECT participant_id, completed_at_us // 86400000000 AS bucket, arg_max(duration_ms, completed_at_us) AS duration_ms, max(completed_at_us) AS at_us FROM fx_lap GROUP BY 1, 2",
-)
-def f14(fx):
-    return fx.lap.groupBy("participant_id", F.call_function("div", c("completed_at_us"), F.lit(86_400_000_000)).alias("bucket")).agg(F.max_by("duration_ms", "completed_at_us").alias("duration_ms"), F.max("completed_at_us").alias("at_us"))
-
-
 @query(
     "f15_change_detection",
     "SELECT participant_id, lap_number, state_kind, b AS before FROM (SELECT *, lag(state_kind) OVER (PARTITION BY participant_id ORDER BY lap_number) AS b FROM fx_state) WHERE b IS NOT NULL AND state_kind <> b",
@@ -171,12 +163,6 @@ def f17(fx):
     return rows.withColumn("b", F.lag("best").over(w)).where("b is not null and best <> b").select("participant_id", "lap_number", "best")
 
 
-@query("f18_value_ago", "SELECT participant_id, lap_number, (max({'t': completed_at_us, 'v': duration_ms}) OVER (PARTITION BY participant_id ORDER BY completed_at_us RANGE BETWEEN UNBOUNDED PRECEDING AND 86400000000 PRECEDING)).v AS before_ms FROM fx_lap")
-def f18(fx):
-    w = Window.partitionBy("participant_id").orderBy("completed_at_us").rangeBetween(Window.unboundedPreceding, -86_400_000_000)
-    return fx.lap.select("participant_id", "lap_number", F.max(F.struct("completed_at_us", "duration_ms")).over(w).duration_ms.alias("before_ms"))
-
-
 @query(
     "f20_line_breaks",
     CLEAN + " SELECT participant_id, lap_number, coalesce(lap_number - lag(lap_number) OVER w > 1, false) OR crosses_pit OR has_feed_gap AS is_break FROM clean WHERE duration_ms % 3 > 0 WINDOW w AS (PARTITION BY participant_id ORDER BY lap_number)",

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from stintline.operators.history import POINT, Kept
+
 #: Fixed value: how far provider instants may lie from receive times.
 WATERMARK = "26 hours"
 
@@ -46,47 +48,24 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str]) -> StreamingQuery:
-    """Each batch merged by key into a table of versions, newest source rank wins; a repeated batch changes nothing.
-
-    The table is written as a new version per batch and read by `read_upserted`; a batch that is run again
-    overwrites its own version.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("x")).select("x.*")
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_upserted(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
-    """The current row of each key over all batches."""
-    rows = spark.read.parquet(path)
-    columns = [c for c in rows.columns if c != "batch"]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("x")).select("x.*")
-
-
 class SparseHistory(StatefulProcessor):
-    """Keeps a point if its value changed and it lies in a new five-second bucket, or if it is an event."""
-
-    BUCKET_US = 5_000_000
+    """The points of a scope that history keeps, by the rule of `history.Kept`; a newer point of a second replaces the one told before."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "at_us long, value long")
+        point = "second long, at_us long, seq long, value long, version long"
+        self.last, self.prior = handle.getValueState("last", point), handle.getValueState("prior", point)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, value = self.kept.get() if self.kept.exists() else (None, None)
+        kept = Kept(*(tuple(x.get()) if x.exists() else None for x in (self.last, self.prior)))
         out = []
-        for row in pd.concat(list(rows)).sort_values(["at_us", "seq"]).itertuples():
-            if at is not None and row.at_us < at:
-                continue
-            if at is None or row.is_event or (row.value != value and row.at_us // self.BUCKET_US != at // self.BUCKET_US):
-                out.append((key[0], row.at_us, row.value))
-                at, value = row.at_us, row.value
-        if at is not None:
-            self.kept.update((int(at), int(value)))
-        yield pd.DataFrame(out, columns=["scope_key", "at_us", "value"])
+        for r in pd.concat(list(rows)).sort_values(["at_us", "seq"]).itertuples():
+            if kept.take(int(r.at_us), int(r.seq), int(r.value), int(r.version), bool(r.is_event)):
+                out.append((key[0], *kept.last))
+        if kept.last:
+            self.last.update(kept.last)
+        if kept.prior:
+            self.prior.update(kept.prior)
+        yield pd.DataFrame(out, columns=["scope_key", "second", "at_us", "seq", "value", "version"])
 
     def close(self) -> None:
         pass
@@ -124,8 +103,8 @@ class Grid(StatefulProcessor):
 
 
 def sparse_history(points: DataFrame) -> DataFrame:
-    """T4 over (scope_key, at_us, seq, value, is_event)."""
-    return points.groupBy("scope_key").transformWithStateInPandas(SparseHistory(), "scope_key long, at_us long, value long", "append", "none")
+    """T4 over (scope_key, at_us, seq, value, version, is_event); of each (scope_key, second) the newest point counts."""
+    return points.groupBy("scope_key").transformWithStateInPandas(SparseHistory(), POINT, "append", "none")
 
 
 def grid(cells: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from stintline.operators import facts
+from stintline.operators import facts, history
 from stintline.sources import feed
-from stintline.streaming import live
+from stintline.streaming import live, tables
 
 
 def test_capture_and_envelope(spark, tmp_path):
@@ -39,8 +39,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_ticks_and_upsert(spark, tmp_path):
     schema = frames(spark, str(tmp_path / "in"))
-    live.upsert(live.frames(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "up"), str(tmp_path / "ck"), ["conn_id"], ["frame_id"]).awaitTermination()
-    now = {r.conn_id: r.frame_id for r in live.read_upserted(spark, str(tmp_path / "up"), ["conn_id"], ["frame_id"]).collect()}
+    tables.each_batch(live.frames(spark, str(tmp_path / "in"), schema, 1), tables.upsert_step(str(tmp_path / "up"), ["conn_id"], ["frame_id"]), str(tmp_path / "ck")).awaitTermination()
+    now = {r.conn_id: r.frame_id for r in tables.read_current(spark, str(tmp_path / "up"), ["conn_id"], ["frame_id"]).collect()}
     assert now == {0: 57, 1: 58, 2: 59}
     q = live.ticks(live.frames(spark, str(tmp_path / "in"), schema)).writeStream.format("memory").queryName("ticks").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -79,8 +79,17 @@ def test_grid_stream_equals_batch_over_restarts(spark, tmp_path):
     assert {k: newest[k][3] for k in batch} == batch
 
 
+POINTS = "scope_key long, at_us long, seq long, value long, version long, is_event boolean"
+
+
 def test_sparse_history_keeps_changes_per_bucket(spark, tmp_path):
     s = 1_000_000
-    parts = [[(1, 0, 0, 5, False), (1, 1 * s, 1, 6, False), (1, 6 * s, 2, 5, False)], [(1, 7 * s, 3, 9, True), (1, 11 * s, 4, 9, False), (1, 12 * s, 5, 8, False)]]
-    out = run_stateful(spark, tmp_path, parts, "scope_key long, at_us long, seq long, value long, is_event boolean", live.sparse_history)
-    assert sorted((r.at_us, r.value) for r in out) == [(0, 5), (7 * s, 9), (12 * s, 8)]
+    parts = [[(1, 0, 0, 5, 1, False), (1, 1 * s, 1, 6, 1, False), (1, 6 * s, 2, 5, 1, False), (1, 6 * s + 5, 3, 7, 1, False)], [(1, 7 * s, 4, 9, 1, True), (1, 7 * s + 9, 5, 8, 1, False), (1, 8 * s, 6, 9, 1, True), (1, 11 * s, 7, 9, 1, False), (1, 12 * s, 8, 8, 1, False), (1, 13 * s, 9, 8, 2, False)]]
+    out = run_stateful(spark, tmp_path, parts, POINTS, live.sparse_history)
+    newest = {}
+    for r in sorted(out, key=lambda r: (r.at_us, r.seq)):
+        newest[r.scope_key, r.second] = tuple(r)
+    batch = history.sparse_history(spark.createDataFrame(sum(parts, []), POINTS).repartition(3))
+    assert sorted(map(tuple, batch.collect())) == sorted(newest.values())
+    # 6 s is periodic and its second's newer value replaces it; 8 s is an event without a change
+    assert [(r.at_us, r.value) for r in batch.orderBy("at_us").collect()] == [(0, 5), (6 * s + 5, 7), (7 * s, 9), (12 * s, 8), (13 * s, 8)]
