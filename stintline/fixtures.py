@@ -55,6 +55,21 @@ UNION ALL SELECT heat_id, 'GREEN', (SELECT min(day_us) FROM fx_day), min(started
     "fx_cell": """SELECT l_partkey % 4 AS heat_id, l_orderkey AS frame_id, l_linenumber AS message_ordinal, l_suppkey AS row_ix,
   l_linenumber AS col_ix, CAST(l_quantity AS BIGINT) AS value, CASE WHEN l_orderkey % 500 = 0 THEN 'r_i' ELSE 'r_c' END AS handle,
   l_partkey AS change_ordinal FROM lineitem""",
+    # statistics patches: braces stand as < and >, as in the grid feed
+    "fx_statpart": """SELECT user_id % 3 AS heat_id, event_id AS frame_id, event_id % 8 AS variant, user_id % 4 AS k, CAST(floor(value * 10) AS BIGINT) AS n,
+  CASE WHEN event_id % 400 = 0 THEN 'a_i' WHEN event_id % 701 = 0 THEN 'a_r' ELSE 'a_u' END AS handle FROM events""",
+    "fx_statmsg": """SELECT heat_id, frame_id, 0 AS message_ordinal, handle, translate(CASE
+  WHEN handle = 'a_r' THEN '<>'
+  WHEN variant = 0 THEN concat('<"p": ', CAST(n AS {str}), ', "o": ', CAST(n + 1 AS {str}), ', "h": "Race ', CAST(k AS {str}), '">')
+  WHEN variant = 1 THEN concat('<"b": <"', CAST(k AS {str}), '": <"r": ', CAST(n AS {str}), ', "i": ', CAST(n * 1000 AS {str}), ', "d": "driver ', CAST(k AS {str}), '">>, "q": <"', CAST(k AS {str}), '": <"m": "class ', CAST(k % 2 AS {str}), '", "i": ', CAST(n * 1000 AS {str}), ', "s": "', CAST(k AS {str}), '">>>')
+  WHEN variant = 2 THEN concat('<"b": <"', CAST(k AS {str}), '": <"i": ', CAST(n * 7 AS {str}), '>>, "bC": ', CAST(n AS {str}), '>')
+  WHEN variant = 3 THEN concat('<"l": <"', CAST(k AS {str}), '": <"f": ', CAST(n AS {str}), ', "l": ', CAST(n AS {str}), ', "n": "team ', CAST(k AS {str}), '">>, "lC": ', CAST(n AS {str}), '>')
+  WHEN variant = 4 AND n % 5 = 0 THEN concat('<"b": ', CAST(n AS {str}), '>')
+  WHEN variant = 4 THEN concat('<"b": <"', CAST(k AS {str}), '": <"t": ', CAST(n AS {str}), '>>>')
+  WHEN variant = 5 THEN concat('<"h": "Race ', CAST(n AS {str}), '", "x": "bad", "zz": 1>')
+  WHEN variant = 6 THEN concat('<"d": <"', CAST(k AS {str}), '": <"e": ', CAST(n AS {str}), ', "n": "team ', CAST(k AS {str}), '">>, "d2": <"w": <"deep": <"er": ', CAST(n AS {str}), '>>>>')
+  ELSE concat('<"c": ', CAST(n AS {str}), ', "fc": -1, "x": ', CAST(n AS {str}), ', "d": <"', CAST(k AS {str}), '": <"e": <"odd": ', CAST(n AS {str}), '>>>>') END, '<>', concat(chr(123), chr(125))) AS payload
+FROM fx_statpart""",
     # the events on a clock that runs 3,600 times slower, for what counts in seconds
     "fx_tick": """SELECT user_id % 3 AS heat_id, user_id AS participant_id, event_id, 1704067200000000 + CAST(({us} - 1704067200000000 - ({us} - 1704067200000000) % 3600) / 3600 AS BIGINT) AS at_us,
   CAST(round(value * 100) AS BIGINT) * 10 AS ms, CAST(floor(value) AS BIGINT) % 3 AS value, event_type, CASE WHEN event_id > 5000 THEN 2 ELSE 1 END AS version FROM events""",
@@ -62,11 +77,9 @@ UNION ALL SELECT heat_id, 'GREEN', (SELECT min(day_us) FROM fx_day), min(started
   participant_id + 1 + CAST(floor(row_number() OVER (PARTITION BY participant_id ORDER BY at_us, event_id) / 40.0) AS BIGINT) % 2 AS target_id, at_us AS observed_at_us, ms AS gap_ms,
   1 AS our_lap, CASE WHEN event_id % 37 = 0 THEN 2 ELSE 1 END AS target_lap, CASE WHEN event_id % 41 = 0 THEN 'SAFETY_CAR' ELSE 'GREEN' END AS flag, event_id AS seq FROM fx_tick""",
     # a grid feed: braces stand as < and > until they are put in place, since both engines' texts are formatted
-    "fx_gridpart": """SELECT heat_id, conn_id, frame_id, message_ordinal, row_ix, col_ix, value, variant,
-  CASE WHEN message_ordinal > 1 THEN 'r_c' WHEN frame_id % 5000 < 4 THEN 'r_i' WHEN frame_id % 700 BETWEEN 8 AND 11 THEN 'r_l' WHEN frame_id % 40 BETWEEN 20 AND 23 THEN 'r_d' ELSE 'r_c' END AS handle
-FROM (SELECT l_orderkey % 4 AS heat_id, CAST(floor(l_orderkey / 3000.0) AS BIGINT) AS conn_id, l_orderkey AS frame_id,
-  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS message_ordinal,
-  l_suppkey % 40 AS row_ix, CAST(l_linenumber % 6 AS BIGINT) AS col_ix, CAST(l_quantity AS BIGINT) AS value, CAST(floor(l_orderkey / 100.0) AS BIGINT) % 5 AS variant FROM lineitem)""",
+    "fx_gridpart": """SELECT l_orderkey % 4 AS heat_id, CAST(floor(l_orderkey / 3000.0) AS BIGINT) AS conn_id, l_orderkey AS frame_id, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS message_ordinal,
+  l_suppkey % 40 AS row_ix, CAST(l_linenumber % 6 AS BIGINT) AS col_ix, CAST(l_quantity AS BIGINT) AS value, CAST(floor(l_orderkey / 100.0) AS BIGINT) % 5 AS variant,
+  CASE WHEN l_linenumber > 1 THEN 'r_c' WHEN l_orderkey % 5000 < 4 THEN 'r_i' WHEN l_orderkey % 700 BETWEEN 8 AND 11 THEN 'r_l' WHEN l_orderkey % 40 BETWEEN 20 AND 23 THEN 'r_d' ELSE 'r_c' END AS handle FROM lineitem""",
     "fx_gridlayout": """SELECT 0 AS variant, '<"h": [<"n": "NR">, <"n": "POS">, <"n": "LAPS">, <"n": "LAST">, <"n": "futureMetric", "p": "7">, <"n": "GAP">]>' AS layout
 UNION ALL SELECT 1, '<"h": [<"n": "POS">, <"n": "NR">, <"n": "LAST">, <"n": "LAPS">, <"n": "futureMetric", "p": "7">]>'
 UNION ALL SELECT 2, '<"l": <"h": ["NR", "LAPS", <"n": "lastRoundTime", "c": "LAST">, <"n": "x1", "c": "Gap">, "POS", <"n": "SectorTimes", "p": "1">]>>'

@@ -203,7 +203,7 @@ def canonical_header(name: Column, parameter: Column, caption: Column) -> Column
 
     def key(text: Column) -> Column:
         t = token(text)
-        known = lookup(HEADER_ALIASES, t)
+        known = F.try_element_at(F.create_map(*[F.lit(x) for pair in HEADER_ALIASES.items() for x in pair]), t)
         # fixed values: the forms of a sector's header
         numbered = F.regexp_extract(t, r"^(?:sectortimes?|sector|sect)([1-9][0-9]*)$", 1)
         apart = F.when(t.isin("sectortime", "sectortimes", "sector", "sect") & F.trim(parameter).rlike("^[1-9][0-9]*$"), F.concat(F.lit("sector_"), F.trim(parameter)))

@@ -42,44 +42,76 @@ def headers(layout: Column) -> Column:
     """Columns of a layout as an array of (ix, name, parameter, key); key is NULL where the meaning is unknown."""
     listed = F.coalesce(F.get_json_object(layout, "$.h"), F.get_json_object(layout, "$.l.h"))
 
-    def column(x: Column, i: Column) -> Column:
+    def read(x: Column, i: Column) -> Column:
         rich = F.startswith(x, F.lit("{"))
+        field = lambda k: F.when(rich, F.get_json_object(x, f"$.{k}"))
         name = F.trim(F.coalesce(F.when(rich, F.get_json_object(x, "$.n")).otherwise(x), i.cast("string")))
-        parameter = F.when(rich, F.nullif(F.get_json_object(x, "$.p"), F.lit("")))
-        caption = F.when(rich, F.trim(F.get_json_object(x, "$.c")))
-        return F.struct(i.cast("long").alias("ix"), name.alias("name"), parameter.alias("parameter"), canonical_header(name, parameter, caption).alias("key"))
+        return F.struct(i.cast("long").alias("ix"), name.alias("name"), F.nullif(field("p"), F.lit("")).alias("parameter"), F.trim(field("c")).alias("caption"))
 
-    return F.coalesce(F.transform(F.from_json(listed, "array<string>"), column), F.array().cast(_COLUMNS))
+    def meant(x: Column) -> Column:
+        return F.struct(x["ix"].alias("ix"), x["name"].alias("name"), x["parameter"].alias("parameter"), canonical_header(x["name"], x["parameter"], x["caption"]).alias("key"))
+
+    # read first, then told the meaning: each text is parsed once
+    return F.coalesce(F.transform(F.transform(F.from_json(listed, "array<string>"), read), meant), F.array().cast(_COLUMNS))
+
+
+def _snapshot() -> Column:
+    return (F.col("handle") == "r_i") & F.startswith(F.trim("payload"), F.lit("{"))
+
+
+def _layout() -> Column:
+    """The layout that a message brings, as JSON."""
+    return F.when(F.col("handle") == "r_l", F.get_json_object("payload", "$")).when(_snapshot(), F.get_json_object("payload", "$.l"))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """`columns` and `ambiguous` of rows with `layout`."""
+
+    def judged(columns: Column) -> Column:
+        keys = F.filter(F.transform(columns, lambda x: x["key"]), lambda k: k.isNotNull())
+        return F.struct(columns.alias("columns"), (F.size(keys) > F.size(F.array_distinct(keys))).alias("ambiguous"))
+
+    found = F.when(F.col("layout").isNotNull(), F.get(F.transform(F.array(headers(F.col("layout"))), judged), F.lit(0)))
+    return rows.withColumn("__found", found).select("*", "__found.columns", "__found.ambiguous").drop("__found")
+
+
+def _place(x: Column, i: int) -> Column:
+    return F.when(F.get(x, F.lit(i)).rlike("^[0-9]+$"), F.get(x, F.lit(i)).try_cast("bigint"))
+
+
+def _with_cells(message: DataFrame) -> DataFrame:
+    """`cells`: the changes of three items or more whose row and column are whole and not negative, with their place in the message."""
+    changes = F.from_json(F.when(F.col("handle") == "r_c", F.col("payload")).when(_snapshot(), F.get_json_object("payload", "$.r")), "array<array<string>>")
+    cell = lambda x, i: F.struct(i.cast("long").alias("change_ordinal"), F.when(F.size(x) >= 3, _place(x, 0)).alias("row_ix"), _place(x, 1).alias("col_ix"), F.get(x, F.lit(2)).alias("value"), F.slice(x, 4, F.greatest(F.size(x) - 3, F.lit(0))).alias("presentation"))
+    return message.withColumn("cells", F.filter(F.transform(changes, cell), lambda x: x["row_ix"].isNotNull() & x["col_ix"].isNotNull()))
+
+
+def _with_dropped(message: DataFrame) -> DataFrame:
+    rows = F.from_json(F.when(F.col("handle") == "r_d", F.col("payload")), "array<array<string>>")
+    return message.withColumn("dropped", F.filter(F.transform(rows, lambda x: _place(x, 0)), lambda r: r.isNotNull()))
 
 
 def parsed(message: DataFrame) -> DataFrame:
-    """Messages with what they do to the grid: `layout` (its JSON) and `columns`, `ambiguous`, `cells`, `dropped`; no state, so streams use it too."""
-    h, p = F.col("handle"), F.col("payload")
-    snapshot = (h == "r_i") & F.startswith(F.trim(p), F.lit("{"))
-    rows = message.where((h.isin("r_c", "r_d", "r_l")) | snapshot)
-    rows = rows.withColumn("layout", F.when(h == "r_l", F.get_json_object(p, "$")).when(h == "r_i", F.get_json_object(p, "$.l")))
-    rows = rows.withColumn("columns", F.when(F.col("layout").isNotNull(), headers(F.col("layout"))))
-    keys = F.filter(F.transform("columns", lambda x: x["key"]), lambda k: k.isNotNull())
-    changes = F.from_json(F.when(h == "r_c", p).when(h == "r_i", F.get_json_object(p, "$.r")), "array<array<string>>")
-    place = lambda x, i: F.when(F.get(x, F.lit(i)).rlike("^[0-9]+$"), F.get(x, F.lit(i)).try_cast("bigint"))
-    cell = lambda x, i: F.struct(i.cast("long").alias("change_ordinal"), F.when(F.size(x) >= 3, place(x, 0)).alias("row_ix"), place(x, 1).alias("col_ix"), F.get(x, F.lit(2)).alias("value"), F.slice(x, 4, F.greatest(F.size(x) - 3, F.lit(0))).alias("presentation"))
-    cells = F.filter(F.transform(changes, cell), lambda x: x["row_ix"].isNotNull() & x["col_ix"].isNotNull())
-    gone = F.filter(F.transform(F.from_json(F.when(h == "r_d", p), "array<array<string>>"), lambda x: place(x, 0)), lambda r: r.isNotNull())
-    return rows.withColumns({"ambiguous": F.size(keys) > F.size(F.array_distinct(keys)), "cells": cells, "dropped": gone}).drop("payload")
-
-
-def _changes_of_schema(rows: DataFrame) -> DataFrame:
-    """Of parsed messages those that replace the grid or its layout, with the generation of the layout in force and whether cells may enter."""
+    """Messages with what they do to the grid: `layout`, `columns`, `ambiguous`, `cells`, `dropped`; no state, as streams need it."""
+    rows = message.where(F.col("handle").isin("r_c", "r_d", "r_l") | _snapshot()).withColumn("layout", _layout())
+    return _with_dropped(_with_cells(_judged(rows))).drop("payload")
+
+
+def _changes_of_schema(message: DataFrame) -> DataFrame:
+    """Messages that replace the grid or its layout, with the generation of the layout in force and whether cells may enter."""
     w = Window.partitionBy("heat_id").orderBy("frame_id", "message_ordinal").rowsBetween(Window.unboundedPreceding, 0)
     has = F.col("layout").isNotNull()
-    rows = rows.where(F.col("handle").isin("r_i", "r_l")).select("heat_id", "conn_id", "frame_id", "message_ordinal", "handle", "layout", "columns", "ambiguous")
+    # layouts come again and again: each text is read once
+    texts = message.where((F.col("handle") == "r_l") | _snapshot()).withColumn("layout", _layout())
+    known = _judged(texts.where("layout is not null").select("layout").distinct())
+    rows = texts.join(known, "layout", "left").select("heat_id", "conn_id", "frame_id", "message_ordinal", "handle", "layout", "columns", "ambiguous")
     rows = rows.withColumn("generation", F.sum(has.cast("int")).over(w).cast("long")).withColumn("ready", F.coalesce(F.last(F.when(has, ~F.col("ambiguous")), ignorenulls=True).over(w), F.lit(False)))
     return rows.withColumn("clears", ((F.col("handle") == "r_i") | F.coalesce("ambiguous", F.lit(False))).cast("int"))
 
 
-def _cells(rows: DataFrame) -> DataFrame:
+def _cells(message: DataFrame) -> DataFrame:
     keys = ["heat_id", "conn_id", "frame_id", "message_ordinal"]
-    return rows.where(F.size("cells") > 0).select(*keys, "handle", F.explode("cells").alias("x")).select(*keys, "handle", "x.*")
+    return _with_cells(message.where((F.col("handle") == "r_c") | _snapshot())).select(*keys, "handle", F.explode("cells").alias("x")).select(*keys, "handle", "x.*")
 
 
 def _in_time(cells: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
@@ -96,11 +128,11 @@ def grid_as_of(message: DataFrame, at_frame: int | None = None) -> DataFrame:
     holds its column exactly once, wherever. Columns of an unknown meaning go by name and parameter, cells beyond the
     layout by place, until the next one. The newest source rank wins.
     """
-    rows = parsed(message if at_frame is None else message.where(F.col("frame_id") <= at_frame))
+    rows = message if at_frame is None else message.where(F.col("frame_id") <= at_frame)
     schema = _changes_of_schema(rows)
     change = F.lit(-1).cast("long").alias("change_ordinal")
     events = schema.select("heat_id", "frame_id", "message_ordinal", change, "generation", "ready", "clears")
-    removed = rows.where(F.size("dropped") > 0).select("heat_id", "frame_id", "message_ordinal", change, F.explode("dropped").alias("row_ix"), F.lit(1).alias("clears")).distinct()
+    removed = _with_dropped(rows.where("handle = 'r_d'")).select("heat_id", "frame_id", "message_ordinal", change, F.explode("dropped").alias("row_ix"), F.lit(1).alias("clears")).distinct()
     cells = _cells(rows).drop("conn_id", "handle")
     both = _in_time(cells, events, ["row_ix"]).unionByName(removed.withColumn("is_cell", F.lit(False)), allowMissingColumns=True)
     w = Window.partitionBy("heat_id", "row_ix").orderBy(*RANK)
@@ -130,9 +162,8 @@ def _names(column: str) -> list[Column]:
 
 def trusted_changes(message: DataFrame) -> DataFrame:
     """Each `r_c` cell with `trusted`: did an `r_i` or `r_l` of the same connection, under the layout generation in force, come before it?"""
-    rows = parsed(message)
-    schema = _changes_of_schema(rows).select("heat_id", F.col("conn_id").alias("on"), "frame_id", "message_ordinal", F.lit(-1).cast("long").alias("change_ordinal"), "generation", "ready")
-    cells = _cells(rows.where("handle = 'r_c'")).drop("handle", "value", "presentation")
+    schema = _changes_of_schema(message).select("heat_id", F.col("conn_id").alias("on"), "frame_id", "message_ordinal", F.lit(-1).cast("long").alias("change_ordinal"), "generation", "ready")
+    cells = _cells(message.where("handle = 'r_c'")).drop("handle", "value", "presentation")
     both = _in_time(cells, schema, ["row_ix", "conn_id"])
     so_far = Window.partitionBy("heat_id", "row_ix", "conn_id").orderBy(*RANK).rowsBetween(Window.unboundedPreceding, 0)
     anchor = F.last(F.when(F.col("ready") & F.col("on").eqNullSafe(F.col("conn_id")), F.col("generation")), ignorenulls=True).over(so_far)
@@ -143,7 +174,7 @@ def trusted_changes(message: DataFrame) -> DataFrame:
 
 def layout_versions(message: DataFrame) -> DataFrame:
     """The different layouts of a heat, numbered from 0 as they first appear, with where they do and their columns."""
-    schema = _changes_of_schema(parsed(message)).where("layout is not null")
+    schema = _changes_of_schema(message).where("layout is not null")
     first = schema.groupBy("heat_id", F.sha2("layout", 256).alias("fingerprint")).agg(F.min_by(F.struct("frame_id", "message_ordinal", "generation", "ambiguous", "columns"), F.struct("frame_id", "message_ordinal")).alias("x"))
     number = F.row_number().over(Window.partitionBy("heat_id").orderBy("frame_id", "message_ordinal")) - 1
     return first.select("heat_id", "fingerprint", "x.*").withColumn("version", number.cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintline.operators.windows import array_mad, array_median, as_of, nearest_rank, overlap_sums
+from stintline.operators.windows import overlap_sums
 
 KEY = ["participant_id", "lap_number"]
 
@@ -21,9 +21,9 @@ def _of_each(lap: DataFrame, spans: DataFrame) -> DataFrame:
     return lap.select("heat_id", "participant_id").distinct().join(spans, "heat_id").select("heat_id", "participant_id", "kind", "r_start", "r_end")
 
 
-def _covered(lap: DataFrame, periods: DataFrame, kinds: list[str]) -> DataFrame:
+def _covered(lap: DataFrame, periods: DataFrame, kinds: list[str], seen: DataFrame | None = None) -> DataFrame:
     rows = lap.withColumn("l_start", F.col("started_at_us")).withColumn("l_end", F.col("completed_at_us"))
-    return overlap_sums(rows, periods, ["heat_id", "participant_id"], kinds).drop("l_start", "l_end")
+    return overlap_sums(rows, periods, ["heat_id", "participant_id"], kinds, seen).drop("l_start", "l_end")
 
 
 def _flags(flag: DataFrame) -> DataFrame:
@@ -47,11 +47,10 @@ def clean_laps(lap: DataFrame, flag: DataFrame, pit: DataFrame, gap: DataFrame,
     stops = pit.where("completed and exited_at_us is not null")
     stops = stops.select("heat_id", "participant_id", F.lit("pit").alias("kind"), F.col("entered_at_us").alias("r_start"), F.col("exited_at_us").alias("r_end"))
     periods = _of_each(lap, _flags(flag).unionByName(gaps)).unionByName(stops)
-    rows = _covered(lap, periods, ["green", "other", "pit", "gap"])
+    seen = lap.select("heat_id", "participant_id").distinct().join(state.select("participant_id", F.col("observed_at_us").alias("at"), "state_kind"), "participant_id")
+    rows = _covered(lap, periods, ["green", "other", "pit", "gap"], seen)
     rows = rows.withColumns({"non_green": F.col("other_n") > 0, "crosses_pit": F.col("pit_n") > 0, "has_feed_gap": F.col("gap_n") > 0})
     rows = rows.drop("green_n", "other_n", "other_us", "pit_n", "pit_us", "gap_n", "gap_us")
-    seen = state.select("participant_id", F.col("observed_at_us").alias("completed_at_us"), "state_kind")
-    rows = as_of(rows, seen, ["participant_id"], "completed_at_us", ["state_kind"])
     rows = rows.withColumn("is_in_lap", F.col("state_kind") == "IN_PIT").withColumn("is_out_lap", F.col("state_kind") == "OUT_LAP")
     whole = (F.col("green_us") == F.col("completed_at_us") - F.col("started_at_us")) & ~F.col("non_green")
     clean = (F.col("duration_ms") > 0) & whole & ~F.col("crosses_pit") & ~F.col("has_feed_gap") & ~F.col("is_in_lap") & ~F.col("is_out_lap")
@@ -61,18 +60,19 @@ def clean_laps(lap: DataFrame, flag: DataFrame, pit: DataFrame, gap: DataFrame,
 def rolling_pace(clean: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Pace3/5/10, consistency10 and P10-P90 over the last N clean laps; NULL before there are N."""
     w = Window.partitionBy(*(by or ["participant_id"])).orderBy("lap_number")
-
-    def pace(n: int) -> Column:
-        frame = w.rowsBetween(-(n - 1), 0)
-        return F.when(F.count("*").over(frame) == n, F.percentile("duration_ms", F.lit(0.5)).over(frame))
-
     last = F.collect_list("duration_ms").over(w.rowsBetween(-9, 0))
-    rows = clean.where("is_clean").select("*", last.alias("last10"), *[pace(n).alias(f"pace_{n}_ms") for n in (3, 5, 10)])
-    full = F.size("last10") == 10
+    rows = clean.where("is_clean").withColumn("last10", last)
+    # the last n in order, each sorted once
+    rows = rows.select("*", *[F.when(F.size("last10") >= n, F.sort_array(F.slice("last10", -n, n))).alias(f"s{n}") for n in (3, 5, 10)])
+    rows = rows.withColumn("m10", (F.get("s10", F.lit(4)) + F.get("s10", F.lit(5))) / 2)
+    rows = rows.withColumn("d10", F.sort_array(F.transform("s10", lambda x: F.abs(x - F.col("m10")))))
     return rows.select(
-        *[x for x in rows.columns if x != "last10"],
-        F.when(full, array_mad(F.col("last10")) * 1.4826).alias("consistency_10_ms"),
-        F.when(full, (nearest_rank(F.col("last10"), 0.9) - nearest_rank(F.col("last10"), 0.1)).cast("double")).alias("p10_p90_ms"),
+        *clean.columns,
+        F.get("s3", F.lit(1)).cast("double").alias("pace_3_ms"),
+        F.get("s5", F.lit(2)).cast("double").alias("pace_5_ms"),
+        F.col("m10").alias("pace_10_ms"),
+        ((F.get("d10", F.lit(4)) + F.get("d10", F.lit(5))) / 2 * 1.4826).alias("consistency_10_ms"),
+        (F.get("s10", F.lit(8)) - F.get("s10", F.lit(0))).cast("double").alias("p10_p90_ms"),
     )
 
 
@@ -87,8 +87,12 @@ def slow_laps(clean: DataFrame, latest: int | None = None, whole: bool = True, b
     rows = clean.where("is_clean").withColumn("prior", prior)
     if latest:
         rows = rows.withColumn("__back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("lap_number")))).where(F.col("__back") <= latest).drop("__back")
-    rows = rows.where(F.size("prior") == 10).withColumn("threshold_ms", array_median(F.col("prior")) + F.greatest(F.lit(2000.0), 3 * array_mad(F.col("prior"), whole)))
-    return rows.where("lap_number is not null and duration_ms > threshold_ms").drop("prior")
+    middle = lambda xs: (F.get(xs, F.lit(4)) + F.get(xs, F.lit(5))) / 2
+    far = lambda x: F.abs(x - F.col("__m"))
+    rows = rows.where(F.size("prior") == 10).withColumn("__s", F.sort_array("prior")).withColumn("__m", middle("__s"))
+    rows = rows.withColumn("__d", F.sort_array(F.transform("__s", lambda x: F.floor(far(x)).cast("double") if whole else far(x).cast("double"))))
+    rows = rows.withColumn("threshold_ms", F.col("__m") + F.greatest(F.lit(2000.0), 3 * middle("__d")))
+    return rows.where("lap_number is not null and duration_ms > threshold_ms").drop("prior", "__s", "__m", "__d")
 
 
 def abrupt_deterioration(slow: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -120,12 +124,9 @@ def theil_sen(points: DataFrame, by: list[str], x: str, y: str, latest: int = 60
     last = points.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= latest).select(*by, F.struct(F.col(x).alias("x"), F.col(y).cast("double").alias("y")).alias("p"))
     held = last.groupBy(*by).agg(F.collect_list("p").alias("ps"), F.count_distinct("p.x").alias("ages"), (F.max("p.x") - F.min("p.x")).alias("x_span"))  # `latest` points at most
 
-    def slopes(p: Column, i: Column) -> Column:
-        later = F.filter(F.slice("ps", i + 2, latest), lambda q: q.x != p.x)
-        return F.transform(later, lambda q: (q.y - p.y) / (q.x - p.x))
-
-    slope = array_median(F.flatten(F.transform("ps", slopes)))
-    return held.select(*by, F.when(F.col("ages") >= 6, slope).alias("slope"), "x_span")
+    pairs = held.where("ages >= 6").select(*by, F.posexplode("ps").alias("i", "p"), "ps").select(*by, "p", F.explode(F.slice("ps", F.col("i") + 2, latest)).alias("q")).where("q.x <> p.x")
+    slopes = pairs.groupBy(*by).agg(F.percentile((F.col("q.y") - F.col("p.y")) / (F.col("q.x") - F.col("p.x")), F.lit(0.5)).alias("slope"))
+    return held.select(*by, "x_span").join(slopes, by, "left").select(*by, "slope", "x_span")
 
 
 def sector_bests(lap: DataFrame, sectors: tuple[str, ...] = ("sector_1", "sector_2", "sector_3")) -> tuple[DataFrame, DataFrame]:

@@ -36,39 +36,42 @@ def with_overlap(left: DataFrame, right: DataFrame, key: list[str], name: str, b
     return left.join(hits.withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list[str]) -> DataFrame:
+def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list[str], seen: DataFrame | None = None) -> DataFrame:
     """`left` with, for each kind, {kind}_n (periods that overlap [l_start, l_end)) and {kind}_us (their time in it).
 
-    `periods` holds by, kind, r_start and r_end (null: open). Running sums over the few points where periods begin or
-    end are looked up at both ends of each interval: one sort, no pairs. Rows with a null or empty interval get 0.
+    `periods` holds by, kind, r_start and r_end (null: open). `seen` (by, `at` and further columns) adds the values of
+    its latest row at or before l_end. Ends of intervals, ends of periods and what was seen stand in one sorted window of
+    running sums: no pairs, and one shuffle. Rows with a null or empty interval get 0.
     """
     good = periods.where("r_start is not null and (r_end is null or r_end > r_start)")
-    ends = good.where("r_end is not null").select(*by, "kind", F.col("r_end").alias("__t"), F.lit(0).alias("b"), F.lit(1).alias("e"))
-    points = good.select(*by, "kind", F.col("r_start").alias("__t"), F.lit(1).alias("b"), F.lit(0).alias("e")).unionByName(ends)
-    points = points.groupBy(*by, "__t").agg(*[F.sum(F.when(F.col("kind") == k, F.col(x)).otherwise(0)).alias(f"{x}_{k}") for k in kinds for x in "be"])
-    order = Window.partitionBy(*by).orderBy("__t")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    points = points.select(*by, "__t", F.lag("__t").over(order).alias("__before"), *[F.sum(f"{x}_{k}").over(so_far).alias(f"{x}_{k}") for k in kinds for x in "be"])
-    points = points.select("*", *[F.lag(F.col(f"b_{k}") - F.col(f"e_{k}")).over(order).alias(f"o_{k}") for k in kinds])
-    points = points.select("*", *[F.sum(F.coalesce(F.col(f"o_{k}") * (F.col("__t") - F.col("__before")), F.lit(0))).over(so_far).alias(f"t_{k}") for k in kinds])
-    values = ["__point", *[f"{x}_{k}" for k in kinds for x in "bet"]]
-    points = points.withColumn("__point", F.col("__t"))
-    out = left
-    for side, at, inclusive in (("low", "l_start", True), ("high", "l_end", False)):
-        seen = points.select(*by, F.col("__t").alias(at), *[F.col(v).alias(f"__{side}_{v}") for v in values])
-        out = as_of(out, seen, by, at, [f"__{side}_{v}" for v in values], inclusive)
+    point = F.explode(F.array(F.struct(F.col("r_start").alias("at"), F.lit(1).alias("b"), F.lit(0).alias("e")), F.struct(F.col("r_end").alias("at"), F.lit(0).alias("b"), F.lit(1).alias("e"))))
+    points = good.select(*by, "kind", point.alias("p")).where("p.at is not null")
+    points = points.select(*by, F.col("p.at").alias("__at"), F.lit(2).alias("__turn"), *[F.when(F.col("kind") == k, F.col(f"p.{x}")).otherwise(0).cast("long").alias(f"__{x}_{k}") for k in kinds for x in "be"])
     real = F.col("l_start").isNotNull() & (F.col("l_end") > F.col("l_start"))
-
-    def at_end(side: str, k: str, at: str) -> Column:
-        held = F.col(f"__{side}_t_{k}") + (F.col(f"__{side}_b_{k}") - F.col(f"__{side}_e_{k}")) * (F.col(at) - F.col(f"__{side}___point"))
-        return F.coalesce(held, F.lit(0))
-
-    new = {}
+    # at one instant: what is seen, ends of intervals, ends of periods, starts of intervals
+    row = F.struct(*left.columns)
+    sides = F.array(F.struct(F.col("l_end").alias("at"), F.lit(1).alias("turn"), row.alias("row")), F.struct(F.when(real, F.col("l_start")).alias("at"), F.lit(3).alias("turn"), F.when(F.lit(False), row).alias("row")))
+    ends = left.withColumn("__id", F.monotonically_increasing_id()).select(*by, "__id", F.explode(sides).alias("x")).where("x.turn = 1 or x.at is not null")
+    ends = ends.select(*by, "__id", F.col("x.at").alias("__at"), F.col("x.turn").alias("__turn"), F.col("x.row").alias("__row"))
+    rows = ends.unionByName(points, allowMissingColumns=True)
+    values = [c for c in seen.columns if c not in (*by, "at")] if seen is not None else []
+    if seen is not None:
+        rows = rows.unionByName(seen.select(*by, F.col("at").alias("__at"), F.lit(0).alias("__turn"), F.struct(*values).alias("__seen")), allowMissingColumns=True)
+    so_far = Window.partitionBy(*by).orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    # time covered up to t: ends of the periods over, less starts of those begun, and t for each open one; from an origin, so that sums stay small
+    rows = rows.withColumn("__at", F.col("__at") - F.min("__at").over(Window.partitionBy(*by)))
+    rows = rows.select("*", *[(F.coalesce(f"__e_{k}", F.lit(0)) - F.coalesce(f"__b_{k}", F.lit(0))).alias(f"__d_{k}") for k in kinds])
+    sums = [F.coalesce(F.sum(x).over(so_far), F.lit(0)).alias(name) for k in kinds for x, name in ((F.col(f"__b_{k}"), f"b_{k}"), (F.col(f"__e_{k}"), f"e_{k}"), (F.col(f"__d_{k}") * F.col("__at"), f"v_{k}"))]
+    found = [F.last("__seen", ignorenulls=True).over(so_far).alias("__found")] if seen is not None else []
+    rows = rows.select(*by, "__id", "__at", "__turn", "__row", *sums, *found).where("__id is not null")
+    low, high = F.col("__turn") == 3, F.col("__turn") == 1
+    out = []
     for k in kinds:
-        n = F.coalesce(f"__high_b_{k}", F.lit(0)) - F.coalesce(f"__low_e_{k}", F.lit(0))
-        new[f"{k}_n"] = F.when(real, n).otherwise(0).cast("long")
-        new[f"{k}_us"] = F.when(real, at_end("high", k, "l_end") - at_end("low", k, "l_start")).otherwise(0).cast("long")
-    return out.select(*left.columns, *[x.alias(name) for name, x in new.items()])
+        covered = F.col(f"v_{k}") + (F.col(f"b_{k}") - F.col(f"e_{k}")) * F.col("__at")
+        out += [F.max(F.when(high, F.col(f"b_{k}"))).alias(f"bh_{k}"), F.max(F.when(low, F.col(f"e_{k}"))).alias(f"el_{k}"), F.max(F.when(high, covered)).alias(f"ch_{k}"), F.max(F.when(low, covered)).alias(f"cl_{k}")]
+    both = rows.groupBy(*by, "__id").agg(F.first("__row", ignorenulls=True).alias("__row"), *out, *[F.first(F.when(high, F.col("__found")), ignorenulls=True).alias("__found") for _ in found])
+    new = [x for k in kinds for x in (F.coalesce(F.col(f"bh_{k}") - F.col(f"el_{k}"), F.lit(0)).cast("long").alias(f"{k}_n"), F.coalesce(F.col(f"ch_{k}") - F.col(f"cl_{k}"), F.lit(0)).cast("long").alias(f"{k}_us"))]
+    return both.select(*[F.col(f"__row.{c}").alias(c) for c in left.columns], *new, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], inclusive: bool = True) -> DataFrame:

@@ -53,27 +53,6 @@ def a8(fx):
     return p.union(p).groupBy("fingerprint").agg(F.min("event_id").alias("event_id"))
 
 
-@query(
-    "a9_statistics",
-    "x AS (SELECT *, sum(CASE WHEN event_id % 200 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY participant_id ORDER BY lap_number) AS ep FROM fx_lap) SELECT participant_id, CAST(ep AS BIGINT) AS epoch, arg_max(CASE WHEN event_id % 3 = 0 THEN duration_ms END, lap_number) AS laps, arg_max(CASE WHEN event_id % 3 = 1 THEN sector_1_ms END, lap_number) AS cautions FROM x GROUP BY 1, 2",
-)
-def a9(fx):
-    n = c("event_id")
-    patch = fx.lap.select("participant_id", c("lap_number").alias("ordinal"), (n % 200 == 0).alias("is_reset"), F.create_map(F.when(n % 3 == 0, "laps").when(n % 3 == 1, "cautions").otherwise("other"), F.when(n % 3 == 0, c("duration_ms")).otherwise(c("sector_1_ms"))).alias("patch"))
-    return feed.statistics(patch, ["laps", "cautions"])
-
-
-@query("a10_best_lap_history", "SELECT class_key, arg_min(participant_id, {'d': duration_ms, 'p': participant_id}) AS participant_id, min(duration_ms) AS best_ms FROM fx_lap GROUP BY 1")
-def a10(fx):
-    rows = fx.lap.dropDuplicates(["participant_id", "lap_number"])
-    return rows.groupBy("class_key").agg(F.min_by("participant_id", F.struct("duration_ms", "participant_id")).alias("participant_id"), F.min("duration_ms").alias("best_ms"))
-
-
-@query("a11_leader_history", "SELECT lap_number, arg_min(participant_id, {'d': duration_ms, 'p': participant_id}) AS leader FROM fx_lap GROUP BY 1")
-def a11(fx):
-    return fx.lap.groupBy("lap_number").agg(F.min_by("participant_id", F.struct("duration_ms", "participant_id")).alias("leader"))
-
-
 @query("a12_list_objects", "SELECT object_key, CASE WHEN object_key LIKE 'thumbnails/%' THEN 'thumb' WHEN object_key LIKE 'telemetry/%' THEN 'telemetry' WHEN object_key LIKE '%.mp4' THEN 'video' ELSE 'other' END AS kind FROM fx_object")
 def a12(fx):
     return feed.classify_objects(fx.object).select("object_key", "kind")

@@ -11,7 +11,7 @@ _LAYOUT = """lay(variant, ix, name, parameter, k) AS (VALUES
   (3, 0, 'NR', NULL, 'start_number'), (3, 1, 'startnumber', NULL, 'start_number'), (3, 2, 'LAPS', NULL, 'laps'),
   (4, 0, 'LAST', NULL, 'last_lap'), (4, 1, 'futureMetric', '7', NULL), (4, 2, 'NR', NULL, 'start_number'), (4, 3, 'POS', NULL, 'position_overall'), (4, 4, 'GAP', NULL, 'gap'), (4, 5, 'LAPS', NULL, 'laps')),
 shown AS (SELECT *, coalesce(k, 'unknown:' || name || ':' || coalesce(parameter, '')) AS s FROM lay),
-part AS (SELECT *, frame_id * 100 + message_ordinal AS r FROM fx_gridpart),
+part AS (SELECT *, frame_id * 10000000000 + message_ordinal AS r FROM fx_gridpart),
 ev AS (
   SELECT heat_id, conn_id, frame_id, message_ordinal, r, handle, has, variant, sum(CAST(has AS INT)) OVER (PARTITION BY heat_id ORDER BY r) AS gen,
     last_value(CASE WHEN has THEN variant END IGNORE NULLS) OVER (PARTITION BY heat_id ORDER BY r) AS now
@@ -23,6 +23,11 @@ cells AS (
 placed AS (SELECT c.*, e.gen, e.now FROM cells c ASOF JOIN ev e ON c.heat_id = e.heat_id AND c.r >= e.r)"""
 
 
+def messages(fx):
+    """The fixture is one file, read by one task; messages are dealt out as those of a bronze folder are."""
+    return fx.gridmsg.repartition("heat_id", "frame_id")
+
+
 @query(
     "s1_grid_current",
     _LAYOUT + """
@@ -35,7 +40,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.heat_id = n.heat_id AND e.r > n.r A
 GROUP BY 1, 2, 3""",
 )
 def s1(fx):
-    return grid.grid_as_of(fx.gridmsg).select("heat_id", "row_ix", "key", "value", "frame_id", "message_ordinal")
+    return grid.grid_as_of(messages(fx)).select("heat_id", "row_ix", "key", "value", "frame_id", "message_ordinal")
 
 
 @query(
@@ -46,7 +51,7 @@ SELECT heat_id, conn_id, frame_id, message_ordinal, row_ix, col_ix, gen IS NOT N
 FROM (SELECT c.*, e.gen, e.now FROM cells c ASOF LEFT JOIN ev e ON c.heat_id = e.heat_id AND c.r >= e.r) c WHERE handle = 'r_c'""",
 )
 def d21(fx):
-    return grid.trusted_changes(fx.gridmsg).select("heat_id", "conn_id", "frame_id", "message_ordinal", "row_ix", "col_ix", "trusted")
+    return grid.trusted_changes(messages(fx)).select("heat_id", "conn_id", "frame_id", "message_ordinal", "row_ix", "col_ix", "trusted")
 
 
 @query(
@@ -68,4 +73,4 @@ SELECT heat_id, row_number() OVER (PARTITION BY heat_id ORDER BY r) - 1 AS versi
 FROM ver JOIN told USING (variant) JOIN own USING (variant)""",
 )
 def s2(fx):
-    return grid.schema_contract(grid.layout_versions(fx.gridmsg))
+    return grid.schema_contract(grid.layout_versions(messages(fx)))

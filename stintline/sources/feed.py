@@ -60,14 +60,6 @@ def passings(raw: DataFrame, fields: str = "fields") -> DataFrame:
     return raw.select(*[c for c in raw.columns if c != fields], *[whole(i).alias(n) for i, n in names.items() if n != "speed"], whole(5).alias("speed_mm_s"), (whole(5) * 0.0036).alias("speed_kph"), F.when(~short, get(6) == "true").alias("is_in_pit"), errors.alias("errors"))
 
 
-def statistics(patch: DataFrame, fields: list[str]) -> DataFrame:
-    """Per reset epoch the last value of each path of sparse patches."""
-    w = Window.partitionBy("participant_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    rows = patch.withColumn("epoch", F.sum(F.col("is_reset").cast("int")).over(w))
-    long = rows.select("participant_id", "epoch", "ordinal", F.explode("patch").alias("path", "value"))
-    return long.groupBy("participant_id", "epoch").agg(*[F.max_by("value", F.when((F.col("path") == f) & F.col("value").isNotNull(), F.col("ordinal"))).alias(f) for f in fields])
-
-
 def classify_objects(objects: DataFrame) -> DataFrame:
     """Kind of a listed object by its top folder and extension."""
     top, low = F.split("object_key", "/")[0], F.lower("object_key")
