@@ -60,6 +60,15 @@ def save(df: DataFrame, name: str, by: list[str] | None = None, group_bytes: int
     return out
 
 
+def apart(columns: list[str], known: tuple[str, ...]) -> dict[str, str]:
+    """Names under which an operator carries the columns of its input, so that none is one of its own: those it knows by name keep theirs."""
+    return {c: c if c in known else f"own_{i}" for i, c in enumerate(columns)}
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()])
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most `rows` rows for what is written inside; the session's setting comes back. Spark bounds a batch's bytes itself."""

@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm.common import PART_ROWS, lean
+from stintline.llm.common import PART_ROWS, apart, lean
 from stintline.llm.html_samples import SAMPLES
 
 #: Tags whose content is no text.
@@ -216,7 +216,8 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     spark = pages.sparkSession
     tree = fit(labelled(spark))
     rest = [c for c in pages.columns if c not in (html_col, text_col)]
-    plain = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(html_col).alias("__html"))
+    names = apart(rest, ())
+    plain = pages.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()], F.col(f"`{html_col}`").alias("__html"))
 
     def run(batches):
         fields = ("text", "words", "links", "outside", "inside", "header", "heading", "listed", "ends")
@@ -235,4 +236,5 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
         return as_condition(tree, _names(b, F.when(i > 0, F.get("__blocks", i - 1)).otherwise(nothing), F.get("__blocks", i + 1)))
 
     main = F.array_join(F.transform(F.filter("__blocks", stays), lambda b: b.text), " ")
-    return cut.select(*[F.col(f"`{c}`") for c in rest], main.alias(text_col))
+    found = cut.select(*names.values(), main.alias("__text"))
+    return found.select(*[F.col(new).alias(old) for old, new in names.items()], F.col("__text").alias(text_col))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import lean, parts
+from stintline.llm.common import apart, lean, parts, renamed
 
 #: Rows of each language that the training sample holds, about; whole texts of each.
 SAMPLE = 600
@@ -218,7 +218,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     text = [] if text_col in keep else [text_col]
-    plain = docs.select(*[F.col(f"`{c}`") for c in [*keep, *text]], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__some"))
+    names = apart([*keep, *text], (text_col,))
+    plain = renamed(docs, names).select("*", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__some"))
     place = plain.columns.index(text_col)
 
     def run(batches):
@@ -231,4 +232,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                 yield pa.record_batch([*own.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score * some, pa.float64())], names=[*own.schema.names[: len(keep)], "lang_pred", "score"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[: len(keep)])
-    return plain.mapInArrow(lean(run), f"{kinds}lang_pred string, score double")
+    found = plain.mapInArrow(lean(run), f"{kinds}lang_pred string, score double")
+    return found.select(*[F.col(f"`{names[c]}`").alias(c) for c in keep], "lang_pred", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import drop, key_filter, may_hold, save
+from stintline.llm.common import apart, drop, key_filter, may_hold, renamed, save
 
 #: A line ends a chunk if its rolling hash over this many lines, modulo this divisor, is 0.
 ROLL, DIVISOR = 2, 3
@@ -106,6 +106,8 @@ def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES, least_chars: in
     Rows equal in doc_id and text count as one document and all keep or lose the same chunks. Other columns pass
     through; input columns of the two new names are replaced. An empty table gives an empty one.
     """
+    names = apart([c for c in docs.columns if c not in ("n_lines", "n_removed")], ("doc_id", "text"))
+    docs = renamed(docs, names)
     gone = repeated_chunks(docs, least_lines, least_chars).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
     # only documents that may lose something are shuffled
     keyed = may_hold(docs.withColumn("__key", _key()), "__key", key_filter(gone, "__key"))
@@ -119,8 +121,9 @@ def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES, least_chars: in
 
     joined = joined.withColumn("__new", F.when(F.col("__gone").isNotNull(), let(cut(F.col("text")), rest)))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__new.text")).alias("text")
-    return joined.select(
-        *[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
+    done = joined.select(
+        *[text if new == "text" else F.col(new) for new in names.values()],
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
         F.coalesce("__new.n_removed", F.lit(0)).cast("long").alias("n_removed"),
     )
+    return renamed(done, {**{new: old for old, new in names.items()}, "n_lines": "n_lines", "n_removed": "n_removed"})

@@ -93,6 +93,10 @@ _BEGIN = re.compile("[0-9+(]")
 # --- keyed bijections ------------------------------------------------------
 
 
+#: Places of a value that are moved as one number.
+BLOCK = 256
+
+
 class Cipher:
     """Keyed bijections of 0..n-1, one for each label, that move every number (n > 1)."""
 
@@ -130,22 +134,32 @@ class Cipher:
         return self._mixed((self._mixed(x, n, label, False) + step) % n, n, label, True)
 
     def text(self, value: str, label: str, good: Callable[[str], bool] = lambda x: True) -> str:
-        """Another text of the same alphabets place by place, in lower case as `value`; on along the cycle until `good`."""
+        """Another text of the same alphabets place by place, in lower case as `value`; on along the cycle until `good`.
+
+        A long value is moved in blocks, each under a label that tells what stood before it, so that all of it is one
+        bijection and the time is in proportion to its length.
+        """
         places = [_ALPHABET.get(c) for c in value]
-        n = math.prod(len(ALPHABETS[p[0]]) for p in places if p)
-        x = 0
-        for p in places:
-            if p:
-                x = x * len(ALPHABETS[p[0]]) + p[1]
         shape = "".join(c if p is None else chr(0xE000 + p[0]) for c, p in zip(value, places, strict=True))
+        sizes, numbers = [len(ALPHABETS[p[0]]) for p in places if p], [p[1] for p in places if p]
+        if len(numbers) > BLOCK:
+            shape = hashlib.blake2b(shape.encode("utf-8", "surrogatepass")).hexdigest()
         while True:
-            x, rest, out = (y := self.move(x, n, f"{label} {shape}")), y, []
-            for c, p in zip(reversed(value), reversed(places), strict=True):
-                if p:
-                    rest, k = divmod(rest, len(ALPHABETS[p[0]]))
-                    c = ALPHABETS[p[0]][k]
-                out.append(c)
-            found = "".join(reversed(out))
+            moved, before = [], hashlib.blake2b()
+            for low in range(0, len(numbers), BLOCK):
+                own, size = numbers[low : low + BLOCK], sizes[low : low + BLOCK]
+                x = 0
+                for k, n in zip(own, size, strict=True):
+                    x = x * n + k
+                rest = self.move(x, math.prod(size), f"{label} {shape}" if len(numbers) <= BLOCK else f"{label} {shape} {low} {before.hexdigest()}")
+                before.update(bytes(k % 256 for k in own))
+                digits = []
+                for n in reversed(size):
+                    rest, k = divmod(rest, n)
+                    digits.append(k)
+                moved += reversed(digits)
+            numbers, it = moved, iter(moved)
+            found = "".join(c if p is None else ALPHABETS[p[0]][next(it)] for c, p in zip(value, places, strict=True))
             if good(found) or found == value:
                 return found
 

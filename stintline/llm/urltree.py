@@ -116,8 +116,11 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url", label: Column | N
     seen = plain.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     blocks = F.col("rule").isin([r for v, r in rules if v == "block"])
     known = blocks if label is None else label
-    seen = seen.withColumn("__template", template_of(F.col("path")))
-    leaves = seen.groupBy("host", F.col("__template").alias("template")).agg(F.count("*").alias("pages"), F.count(known).alias("labelled"), F.count_if(known).alias("blocked"))
-    tree = grow(save(leaves, "leaves")).withColumnRenamed("template", "__template")
-    out = seen.join(tree, ["host", "__template"], "left").drop("__template")
+    t = "__template"
+    while t in (c.lower() for c in seen.columns):
+        t += "_"
+    seen = seen.withColumn(t, template_of(F.col("path")))
+    leaves = seen.groupBy("host", F.col(t).alias("template")).agg(F.count("*").alias("pages"), F.count(known).alias("labelled"), F.count_if(known).alias("blocked"))
+    tree = grow(save(leaves, "leaves")).withColumnRenamed("template", t)
+    out = seen.join(tree, ["host", t], "left").drop(t)
     return out.withColumn("verdict", F.when(F.col("rule").isNotNull(), F.when(blocks, F.lit("block")).otherwise(F.lit("allow"))).when(F.col("rate") >= threshold, F.lit("block")).otherwise(F.lit("allow")))

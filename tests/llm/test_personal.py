@@ -62,3 +62,21 @@ def test_surrogates_are_distinct(spark):
     assert pairs.count() == 480 and pairs.select("kind", "surrogate").distinct().count() == 480 and personal.clashes(pairs).count() == 0
     bad = spark.createDataFrame([("name", "a", "x"), ("name", "b", "x"), ("name", "c", "c"), ("email", "d", "x")], "kind string, value string, surrogate string")
     assert sorted(r.value for r in personal.clashes(bad).collect()) == ["a", "b", "c"]
+
+
+def test_long_values_take_time_in_proportion(spark):
+    import time
+
+    c = personal.Cipher("k")
+    took = []
+    for n in (3_500, 200_000, 1_000_000):
+        start = time.perf_counter()
+        one, two = "q" * n, "q" * (n - 1) + "r"
+        a, b = c.text(one, "name"), c.text(two, "name")
+        took.append((time.perf_counter() - start) / n)
+        assert len(a) == len(b) == n and len({a, b, one, two}) == 4 and c.text(one, "name") == a
+    assert took[2] < 10 * took[1]
+    rows = [(1, "Mr. Q" + "abcdefg" * 500 + " came"), (2, "write to a@" + "b." * 600 + "com now"), (3, "Mr. Q" + "abcdefg" * 500)]
+    got = {r.doc_id: r.text for r in personal.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] != t and len(got[i]) == len(t) for i, t in rows)
+    assert got[1].removesuffix(" came") == got[3]
