@@ -55,6 +55,12 @@ UNION ALL SELECT heat_id, 'GREEN', (SELECT min(day_us) FROM fx_day), min(started
     "fx_cell": """SELECT l_partkey % 4 AS heat_id, l_orderkey AS frame_id, l_linenumber AS message_ordinal, l_suppkey AS row_ix,
   l_linenumber AS col_ix, CAST(l_quantity AS BIGINT) AS value, CASE WHEN l_orderkey % 500 = 0 THEN 'r_i' ELSE 'r_c' END AS handle,
   l_partkey AS change_ordinal FROM lineitem""",
+    # race control: braces stand as < and >, as in the grid feed
+    "fx_boardpart": """SELECT conv_id % 20 AS heat_id, conv_id * 1000 + turn AS frame_id, turn, turn % 5 AS id, turn % 3 AS id_a, turn % 4 AS id_b,
+  CASE WHEN (conv_id * 1000 + turn) % 29 = 28 THEN 'm_a' WHEN (conv_id + turn) % 7 = 6 THEN 'm_d' WHEN (conv_id + turn) % 5 = 4 THEN 'm_i' WHEN (conv_id + turn) % 31 = 30 THEN 'm_x' ELSE 'm_c' END AS handle FROM conversations""",
+    "fx_boardmsg": """SELECT heat_id, frame_id, 0 AS message_ordinal, handle, translate(CASE handle WHEN 'm_a' THEN 'null' WHEN 'm_d' THEN concat('"', CAST(id AS {str}), '"')
+  WHEN 'm_i' THEN concat('[<"Id": "', CAST(id_a AS {str}), '", "t": "a', CAST(frame_id AS {str}), '">, <"Id": "', CAST(id_b AS {str}), '", "t": "b", "m": ', CAST(turn AS {str}), '>', CASE WHEN frame_id % 3 = 0 THEN ', "x"]' ELSE ']' END)
+  ELSE concat('<"Id": "', CAST(id AS {str}), '"', CASE WHEN frame_id % 3 = 1 THEN '' ELSE concat(', "t": "c', CAST(frame_id AS {str}), '"') END, CASE WHEN turn % 2 = 0 THEN concat(', "m": ', CAST(turn AS {str})) ELSE '' END, ', "l": 1>') END, '<>', concat(chr(123), chr(125))) AS payload FROM fx_boardpart""",
     # statistics patches: braces stand as < and >, as in the grid feed
     "fx_statpart": """SELECT user_id % 3 AS heat_id, event_id AS frame_id, event_id % 8 AS variant, user_id % 4 AS k, CAST(floor(value * 10) AS BIGINT) AS n,
   CASE WHEN event_id % 400 = 0 THEN 'a_i' WHEN event_id % 701 = 0 THEN 'a_r' ELSE 'a_u' END AS handle FROM events""",
