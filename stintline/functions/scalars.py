@@ -324,15 +324,6 @@ def pace_delta(ours: Column, other: Column) -> Column:
     return F.when((ours > 0) & (other > 0), ours - other)
 
 
-def required_pace(rival_pace: Column, gap_ms: Column, laps: Column) -> Column:
-    """The pace that closes a gap over a number of laps."""
-    return F.when((rival_pace > 0) & (laps > 0) & (gap_ms >= 0), rival_pace - gap_ms / laps)
-
-
-def projected_gap(gap_ms: Column, closure_per_lap: Column, laps: int) -> Column:
-    return gap_ms - closure_per_lap * laps
-
-
 def expected_laps(remaining_s: Column, pace_ms: Column, spread_ms: Column) -> Column:
     """struct(low, high) of laps that still fit."""
     return F.struct(

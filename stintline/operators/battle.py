@@ -104,12 +104,13 @@ def catch_range(trends: list[DataFrame], pace: Column) -> DataFrame:
 
 
 def required_pace(relation: Column, ours: Column, target: Column, gap: Column, remaining_s: Column) -> Column:
-    """Pace to catch the car ahead, or that the car behind needs to catch us, by the end."""
+    """Pace to catch the car ahead, or that the car behind needs to catch us, by the end."""
     laps = remaining_s * 1000.0 / ours
-    return F.when(remaining_s > 0, F.when(relation == "AHEAD", target - gap / laps).otherwise(target + gap / laps))
+    return F.when((remaining_s > 0) & (ours > 0) & (target > 0) & (gap >= 0), F.when(relation == "AHEAD", target - gap / laps).otherwise(target + gap / laps))
 
 
 def projected_gap(relation: Column, gap: Column, closure_per_lap: Column, laps: int) -> Column:
+    """The gap after some laps; a closure shortens the gap to the car ahead and lengthens that to the car behind."""
     return gap + F.when(relation == "AHEAD", -1.0).otherwise(1.0) * closure_per_lap * laps
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stintline.functions import scalars as S
+from stintline.operators import battle as B
 from stintline.queries.registry import query
 
 c = F.col
@@ -266,14 +267,15 @@ def b23(fx):
 
 @query(
     "b24_closed_formulas",
-    """SELECT event_id, CASE WHEN d > 0 AND s > 0 THEN d - s END AS pace_delta, CASE WHEN d > 0 AND n > 0 THEN d - s / n END AS required, s - 12.5::DOUBLE * 5 AS projected,
+    """SELECT event_id, CASE WHEN d > 0 AND s > 0 THEN d - s END AS pace_delta, CASE WHEN d > 0 AND s >= 0 AND n > 0 THEN CASE WHEN event_id % 2 = 0 THEN s - d / (n * 1000.0::DOUBLE / d) ELSE s + d / (n * 1000.0::DOUBLE / d) END END AS required, CASE WHEN event_id % 2 = 0 THEN s - 12.5::DOUBLE * 5 ELSE s + 12.5::DOUBLE * 5 END AS projected,
   CAST(floor(3600.0::DOUBLE * 1000 / (d + 500.0::DOUBLE)) AS BIGINT) AS laps_low, CAST(ceil(3600.0::DOUBLE * 1000 / (d - 500.0::DOUBLE)) AS BIGINT) AS laps_high
 FROM (SELECT event_id, duration_ms AS d, sector_1_ms AS s, event_id % 4 AS n FROM fx_lap)""",
 )
 def b24(fx):
     d, s, n = c("duration_ms"), c("sector_1_ms"), c("event_id") % 4
     laps = S.expected_laps(F.lit(3600.0), d, F.lit(500.0))
-    return fx.lap.select("event_id", S.pace_delta(d, s).alias("pace_delta"), S.required_pace(d, s, n).alias("required"), S.projected_gap(s, F.lit(12.5), 5).alias("projected"), laps.low.cast("long").alias("laps_low"), laps.high.cast("long").alias("laps_high"))
+    side = F.when(c("event_id") % 2 == 0, "AHEAD").otherwise("BEHIND")
+    return fx.lap.select("event_id", S.pace_delta(d, s).alias("pace_delta"), B.required_pace(side, d, s, d, n).alias("required"), B.projected_gap(side, s, F.lit(12.5), 5).alias("projected"), laps.low.cast("long").alias("laps_low"), laps.high.cast("long").alias("laps_high"))
 
 
 @query(

@@ -19,8 +19,8 @@ def read_capture(spark: SparkSession, path: str) -> DataFrame:
 
 def capture_messages(capture: DataFrame) -> DataFrame:
     """A1: messages of decoded records, in order."""
-    rows = capture.where("messages is not null").select("frame_sequence", "received_at", F.posexplode("messages").alias("message_ordinal", "m"))
-    return rows.select("frame_sequence", "received_at", "message_ordinal", "m.handle", F.col("m.args").alias("payload"))
+    rows = capture.where("messages is not null").select("connection_id", "frame_sequence", "received_at", F.posexplode("messages").alias("message_ordinal", "m"))
+    return rows.select("connection_id", "frame_sequence", "received_at", "message_ordinal", "m.handle", F.col("m.args").alias("payload"))
 
 
 def decode_envelope(frame: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def quarantine(frame: DataFrame) -> DataFrame:
 
 
 def dedupe(rows: DataFrame, key: list[str]) -> DataFrame:
-    """A4: one row per natural key."""
-    return rows.dropDuplicates(key)
+    """A4: one row per natural key; where copies differ, the least by all their columns, so that the same rows give the same one."""
+    return rows.groupBy(*key).agg(F.min(F.struct(*rows.columns)).alias("x")).select("x.*")
 
 
 def explode_cells(message: DataFrame, payload: str = "payload") -> DataFrame:
