@@ -46,15 +46,17 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def save(df: DataFrame, name: str, by: list[str] | None = None, group_bytes: int = 64 << 20) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder, in subfolders of the columns `by`, and read it again. Its shuffle files go once it is written.
+#: For rows of megabytes: the writer looks at its pages after each row and ends a row group after a few. By default it
+#: looks after 100 rows, and packs pages of all of them through buffers outside the heap.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.row.count.limit": "8"}
 
-    A task that reads the table holds `group_bytes` of it at a time, before they are decoded.
-    """
+
+def save(df: DataFrame, name: str, by: list[str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder, in subfolders of the columns `by`, and read it again. Its shuffle files go once it is written."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.option("parquet.block.size", group_bytes).parquet(path, partitionBy=by)
+        df.write.options(**(options or {})).parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path  # type: ignore[attr-defined]
     return out

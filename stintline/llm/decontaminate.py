@@ -14,13 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import ALNUM, Words, lean, parts, save
+from stintline.llm.common import ALNUM, LARGE_ROWS, Words, lean, parts, save
 
 WINDOW = 10
 #: Phrases that one pass over the index carries; more take further passes.
 PASS_PHRASES = 200_000
-#: Bytes of a row group of the stored index.
-GROUP_BYTES = 8 << 20
 INDEX = "shard string, doc_ids array<long>, doc_starts array<long>, n_words array<long>, terms array<long>, term_starts array<long>, positions array<int>"
 
 
@@ -61,8 +59,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     names=["shard", "doc_ids", "doc_starts", "n_words", "terms", "term_starts", "positions"],
                 )
 
-    # rows are large: small row groups keep what a reader decodes at once to a few shards
-    return save(plain.mapInArrow(lean(run), INDEX), "index", group_bytes=GROUP_BYTES)
+    return save(plain.mapInArrow(lean(run), INDEX), "index", options=LARGE_ROWS)
 
 
 class Phrases:
