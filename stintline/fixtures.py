@@ -55,6 +55,9 @@ UNION ALL SELECT heat_id, 'GREEN', (SELECT min(day_us) FROM fx_day), min(started
     "fx_cell": """SELECT l_partkey % 4 AS heat_id, l_orderkey AS frame_id, l_linenumber AS message_ordinal, l_suppkey AS row_ix,
   l_linenumber AS col_ix, CAST(l_quantity AS BIGINT) AS value, CASE WHEN l_orderkey % 500 = 0 THEN 'r_i' ELSE 'r_c' END AS handle,
   l_partkey AS change_ordinal FROM lineitem""",
+    "fx_identrow": """SELECT user_id % 3 AS heat_id, event_id AS frame_id, user_id AS row_ix, CASE WHEN event_id % 4 = 1 THEN NULL WHEN event_id % 7 = 0 THEN ' 21' ELSE CAST(event_id % 7 AS {str}) END AS start_number,
+  CASE WHEN event_id % 11 = 5 THEN NULL WHEN event_id % 7 = 0 AND event_id > 100 AND event_id % 9 = 4 THEN 'Other' WHEN event_id % 7 = 0 THEN 'Our  Team' ELSE concat('Team ', CAST(event_id % 7 AS {str})) END AS team_name,
+  'GT' AS class_name FROM events""",
     # race control: braces stand as < and >, as in the grid feed
     "fx_boardpart": """SELECT conv_id % 20 AS heat_id, conv_id * 1000 + turn AS frame_id, turn, turn % 5 AS id, turn % 3 AS id_a, turn % 4 AS id_b,
   CASE WHEN (conv_id * 1000 + turn) % 29 = 28 THEN 'm_a' WHEN (conv_id + turn) % 7 = 6 THEN 'm_d' WHEN (conv_id + turn) % 5 = 4 THEN 'm_i' WHEN (conv_id + turn) % 31 = 30 THEN 'm_x' ELSE 'm_c' END AS handle FROM conversations""",

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stintline.operators import battle as B
+from stintline.operators import identity
 from stintline.operators import laps as L
 from stintline.operators import pits as P
 from stintline.operators import windows as W
@@ -114,13 +115,19 @@ def d10(fx):
 
 @query(
     "d11_identity",
-    "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN concat('nr:', conv_id % 10) END, CASE WHEN turn % 3 = 1 THEN concat('team:', role) END, concat('row:', turn)) AS external_key, last_value(CASE WHEN turn % 3 = 0 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS team FROM conversations",
+    """RECURSIVE x AS (
+  SELECT heat_id, frame_id, row_ix, trim(start_number) AS n, CASE team_name WHEN 'Our  Team' THEN 'our team' ELSE lower(team_name) END AS t, lower(class_name) AS k, row_number() OVER (PARTITION BY heat_id ORDER BY frame_id, row_ix) AS i FROM fx_identrow),
+s(heat_id, i, frame_id, row_ix, external_key, is_ours, known, ours) AS (
+  SELECT heat_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, false, MAP {'': ''}, false FROM (SELECT DISTINCT heat_id FROM x)
+  UNION ALL
+  SELECT heat_id, i, frame_id, row_ix, key, NOT clash AND (coalesce(t = 'our team', false) OR (t IS NULL AND coalesce(n = '21', false))), CASE WHEN t IS NULL THEN known ELSE map_concat(known, MAP {t: key}) END, ours OR (coalesce(n = '21', false) AND coalesce(t = 'our team', false))
+  FROM (
+    SELECT *, CASE WHEN clash THEN 'conflict:nr:' || n || ':team:' || t WHEN n IS NULL AND t IS NOT NULL AND known[t] IS NOT NULL THEN known[t] WHEN n IS NOT NULL THEN 'nr:' || n WHEN t IS NOT NULL THEN 'team:' || t || ':class:' || coalesce(k, '') ELSE 'row:' || row_ix END AS key
+    FROM (SELECT x.*, s.known, s.ours, coalesce(x.n = '21' AND x.t <> 'our team' AND s.ours, false) AS clash FROM s JOIN x ON x.heat_id = s.heat_id AND x.i = s.i + 1)))
+SELECT heat_id, frame_id, row_ix, external_key, is_ours FROM s WHERE i > 0""",
 )
 def d11(fx):
-    n = c("turn") % 3
-    key = F.coalesce(F.when(n == 0, F.concat(F.lit("nr:"), (c("conv_id") % 10).cast("string"))), F.when(n == 1, F.concat(F.lit("team:"), "role")), F.concat(F.lit("row:"), c("turn").cast("string")))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return fx.conversations.select("conv_id", "turn", key.alias("external_key"), F.last(F.when(n == 0, c("role")), ignorenulls=True).over(w).alias("team"))
+    return identity.resolve(fx.identrow, "21", "Our Team").select("heat_id", "frame_id", "row_ix", "external_key", "is_ours")
 
 
 @query(
