@@ -78,12 +78,17 @@ def compact(spark: SparkSession, path: str, key: list[str], order: list[str]) ->
 
 
 def numbered(events: DataFrame, order: list[str], base: int = 0, parts: int = 32) -> DataFrame:
-    """Events with `cursor`, base + 1 on without gaps in the given order: ranges are numbered apart and moved by the sizes of those before, so no task sees all."""
-    ranged = events.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    """Events with `cursor`, base + 1 on without gaps in the given order, which begins with a number.
+
+    Ranges of that number are numbered apart and moved by the sizes of those before, so no task sees all.
+    """
+    first = F.col(order[0])
+    cuts = events.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], F.lit(1000)).alias("__cuts"))  # one row
+    placed = events.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda x: x < first))).drop("__cuts")
     sizes = placed.groupBy("__part").agg(F.count("*").alias("n"))  # a row for each range
     starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
-    return placed.join(F.broadcast(starts), "__part").withColumn("cursor", F.col("__start") + F.col("__at") + 1 + base).drop("__part", "__at", "__start")
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return placed.withColumn("__at", at).join(F.broadcast(starts), "__part").withColumn("cursor", (F.col("__start") + F.col("__at") + base).cast("long")).drop("__part", "__at", "__start")
 
 
 def outbox_step(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
