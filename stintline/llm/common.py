@@ -126,20 +126,28 @@ def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SEND_BYTES else df
 
 
-#: Bits of a filter of keys: 8 MB in rows of 4 KB, whatever the number of keys. A fuller one lets more rows through, never fewer.
-FILTER_BITS, _ROW_BITS = 1 << 26, 1 << 15
+#: Least bits of a filter of keys (8 MB), bits for a key, and most bits (128 MB); rows of the filter are 4 KB.
+FILTER_BITS, BITS_FOR_KEY, MOST_FILTER_BITS, _ROW_BITS = 1 << 26, 16, 1 << 30, 1 << 15
+
+
+def filter_bits(keys: int) -> int:
+    """16 bits a key or more, a power of two: one in 16 other rows passes at most, up to 2^26 keys. Beyond, more pass, never fewer."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (max(1, BITS_FOR_KEY * keys) - 1).bit_length()))
 
 
 def key_filter(keys: DataFrame, key: str) -> DataFrame:
-    """Bitmaps of the hashes of `key`, a table of at most FILTER_BITS bits by slot, for `may_hold`."""
-    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    """Bitmaps of the hashes of `key`, by slot, for `may_hold`: as many bits as the counted rows of `keys`, a saved table, ask for."""
+    bits = filter_bits(keys.count())
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
     slots = keys.select((slot / _ROW_BITS).cast("int").alias("__slot"), (slot % _ROW_BITS).alias("bit"))
-    return save(slots.groupBy("__slot").agg(F.bitmap_construct_agg("bit").alias("__bits")), "filter")
+    out = save(slots.groupBy("__slot").agg(F.bitmap_construct_agg("bit").alias("__bits")), "filter")
+    out.filter_bits = bits  # type: ignore[attr-defined]
+    return out
 
 
 def may_hold(df: DataFrame, key: str, bitmaps: DataFrame) -> DataFrame:
     """`df` with the boolean __may: false only where the filter's keys surely don't hold the row's; no shuffle."""
-    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    slot = F.pmod(F.xxhash64(key), F.lit(bitmaps.filter_bits))
     named = df.withColumn("__slot", (slot / _ROW_BITS).cast("int")).withColumn("__bit", (slot % _ROW_BITS).cast("int"))
     byte = F.conv(F.hex(F.expr("substring(__bits, __bit div 8 + 1, 1)")), 16, 10).cast("int")
     hit = F.coalesce((byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)"))) != 0, F.lit(False))

@@ -56,6 +56,11 @@ def signatures(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch_of(minima: np.ndarray) -> np.ndarray:
+    """16 bits of each minimum, mixed, since the top bits of minima over many shingles are all zero."""
+    return (mix(minima) >> np.uint64(48)).astype(np.uint16)
+
+
 def _sign(batches):
     """(doc_id, digest of the set, its size, band keys, 16 bits of each minimum) of each document."""
     for batch in batches:
@@ -64,7 +69,7 @@ def _sign(batches):
             hashes, ptr = shingle_hashes(words, end - row)
             minima = signatures(hashes, ptr)
             keys = mix((minima.reshape(len(minima), BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64))
-            short = (minima >> np.uint64(48)).astype(np.uint16)
+            short = sketch_of(minima)
             digest, size, band, sketch, k = [], [], [], [], 0
             for r in range(end - row):
                 own = np.unique(hashes[ptr[r] : ptr[r + 1]])
@@ -111,13 +116,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = np.repeat(np.arange(n), [len(x) for x in sets])[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.int64)
     for low in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(column, [low, low + 4096])
         hit = np.zeros((n, 4096), np.float32)
         hit[owner[a:b], column[a:b] - low] = 1
-        out += hit @ hit.T
-    return out.astype(np.int64)
+        out += (hit @ hit.T).astype(np.int64)
+    return out
 
 
 def confirm(percent: int, least_agree: int):

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from stintline.llm import components, hyperplanes, minhash
+from stintline.llm import common, components, hyperplanes, minhash
 
 
 def closure(nodes, links):
@@ -116,3 +116,16 @@ def test_pipeline_stage_takes_near_copies_from_80_percent(spark):
     assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) and 100 * len(a & c) < 80 * len(a | c) and 100 * len(b & c) < 80 * len(b | c)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, df, "").collect()} == {1, 3}
+
+
+def test_sketch_tells_long_texts_apart():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 2**63, 800_000, dtype=np.uint64) * np.uint64(2)
+    first, second = minhash.signatures(hashes, np.array([0, 400_000, 800_000]))
+    a, b = (minhash.sketch_of(x) for x in (first, second))
+    assert (a == b).sum() <= 2 and (minhash.sketch_of(first) == a).all()
+
+
+def test_filter_follows_the_number_of_keys():
+    assert common.filter_bits(0) == common.filter_bits(1000) == common.FILTER_BITS
+    assert common.filter_bits(5_000_000) == 1 << 27 and common.filter_bits(10**10) == common.MOST_FILTER_BITS
