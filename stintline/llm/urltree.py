@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.common import save
+from stintline.llm.common import drop, save
 
 #: The rules of the production query, as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 #: A branch with more children than this, none of them with half of its pages, has one wildcard child.
 CHILDREN = 12
-#: Levels of the tree; deeper segments count as one.
-LEVELS = 8
 #: Pages that a parent's rate weighs in a child's smoothed rate.
 STRENGTH = 4.0
 #: A branch leaves the merged one if its rate differs from the parent's by so many standard deviations.
@@ -59,10 +57,13 @@ def template_of(path: Column) -> Column:
             .otherwise(s)
         )
 
-    parts = F.transform(F.split(path, "/"), kind)
-    head = F.slice(parts, 1, LEVELS)
-    rest = F.array_join(F.slice(parts, LEVELS + 1, F.size(parts)), "/")
-    return F.when(F.size(parts) > LEVELS, F.concat(F.slice(head, 1, LEVELS - 1), F.array(F.concat_ws("/", F.element_at(parts, LEVELS), rest)))).otherwise(head)
+    return F.transform(F.split(path, "/"), kind)
+
+
+def shared_start(low: Column, high: Column) -> Column:
+    """Segments that the smallest and the largest of some templates begin with, and so all of them."""
+    same = F.transform(low, lambda x, i: x.eqNullSafe(F.get(high, i)))
+    return F.when(F.array_position(same, F.lit(False)) > 0, F.array_position(same, F.lit(False)) - 1).otherwise(F.size(low)).cast("int")
 
 
 def grow(leaves: DataFrame, children: int = CHILDREN, strength: float = STRENGTH, sigma: float = SIGMA) -> DataFrame:
@@ -71,22 +72,33 @@ def grow(leaves: DataFrame, children: int = CHILDREN, strength: float = STRENGTH
     On each level of a host's branch: more than `children` children without a dominant one become one wildcard;
     children whose blocked share does not differ from the branch's (a z-test) are merged; a child's rate is
     (blocked + strength * branch rate) / (labelled + strength). The root's rate is that of all labelled pages,
-    half where there are none.
+    half where there are none. Templates may be of any length: the levels on which a branch has one child are taken in
+    one step, so that rounds follow the forks on a path, not its segments.
     """
-    top = leaves.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"), F.max(F.size("template")).alias("depth")).first()
-    depth = top.depth or 0
+    top = leaves.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).first()
     root = (top.b / top.n) if top.n else 0.5
     hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-    hosts = save(hosts.select("host", ((F.col("b") + strength * root) / (F.col("n") + strength)).alias("rate"), F.lit("").alias("branch")), "hosts")
+    hosts = hosts.select("host", ((F.col("b") + strength * root) / (F.col("n") + strength)).alias("rate"), F.lit("").alias("branch"), F.lit(0).alias("at"))
     now = save(leaves.join(hosts, "host"), "level")
-    for level in range(depth):
-        own = now.withColumn("seg", F.get("template", F.lit(level)))
-        going, done = own.where("seg is not null"), own.where("seg is null").drop("seg")
+    open_ = F.size("template") > F.col("at")
+    while not now.where(open_).isEmpty():
+        tail = F.slice("template", F.col("at") + 1, F.size("template"))
+        ends = now.where(open_).groupBy("host", "branch").agg(F.min(tail).alias("low"), F.max(tail).alias("high"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked")])
+        ends = save(ends.select("host", "branch", shared_start(F.col("low"), F.col("high")).alias("alone"), "all_labelled", "all_blocked"), "alone")
+        # a child that is alone has its branch's share: so many smoothings of one rate by one share
+        share = F.col("all_blocked") / F.when(F.col("all_labelled") > 0, F.col("all_labelled"))
+        left = F.pow(F.lit(float(strength)) / (F.col("all_labelled") + strength), F.col("alone"))
+        run = now.where(open_).join(ends, ["host", "branch"])
+        run = run.withColumn("rate", F.coalesce(share + (F.col("rate") - share) * left, "rate")).withColumn("at", F.col("at") + F.col("alone"))
+        run = save(run.withColumn("branch", F.concat("branch", F.repeat(F.lit("/~"), F.col("alone")))).select(*now.columns), "run")
+
+        going = run.where(open_).withColumn("seg", F.get("template", F.col("at")))
         kids = save(going.groupBy("host", "branch", "seg").agg(F.max("rate").alias("above"), *[F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")]), "kids")
         whole = kids.groupBy("host", "branch").agg(
             F.count("*").alias("n_kids"), F.max("pages").alias("most"), *[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "blocked")]
         )
-        judged = kids.join(save(whole, "whole"), ["host", "branch"])
+        whole = save(whole, "whole")
+        judged = kids.join(whole, ["host", "branch"])
         wild = (F.col("n_kids") > children) & (2 * F.col("most") < F.col("all_pages"))
         share = F.col("all_blocked") / F.col("all_labelled")
         spread = F.sqrt(share * (1 - share) / F.col("labelled"))
@@ -94,11 +106,14 @@ def grow(leaves: DataFrame, children: int = CHILDREN, strength: float = STRENGTH
         named = judged.withColumn("name", F.when(wild, F.lit("*")).when(F.coalesce(odd, F.lit(False)), F.col("seg")).otherwise(F.lit("~")))
         merged = named.groupBy("host", "branch", "name").agg(F.max("above").alias("above"), F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
         merged = save(merged.withColumn("rate", (F.col("b") + strength * F.col("above")) / (F.col("n") + strength)).select("host", "branch", "name", "rate"), "merged")
-        step = save(named.select("host", "branch", "seg", "name").join(merged, ["host", "branch", "name"]), "step")
-        step = step.select("host", "branch", "seg", F.col("rate").alias("new_rate"), F.concat_ws("/", "branch", "name").alias("new_branch"))
+        step = named.select("host", "branch", "seg", "name").join(merged, ["host", "branch", "name"])
+        step = save(step.select("host", "branch", "seg", F.col("rate").alias("new_rate"), F.concat_ws("/", "branch", "name").alias("new_branch")), "step")
         moved = going.join(step, ["host", "branch", "seg"])
-        moved = moved.select("host", "template", "pages", "labelled", "blocked", F.col("new_rate").alias("rate"), F.col("new_branch").alias("branch"))
-        now = save(moved.unionByName(done), "level")
+        moved = moved.select("host", "template", "pages", "labelled", "blocked", F.col("new_rate").alias("rate"), F.col("new_branch").alias("branch"), (F.col("at") + 1).alias("at"))
+        before = now
+        now = save(moved.unionByName(run.where(~open_)).unionByName(now.where(~open_)), "level")
+        for x in (before, ends, run, kids, whole, merged, step):
+            drop(x)
     return now.select("host", "template", "branch", "rate")
 
 

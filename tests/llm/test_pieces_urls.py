@@ -197,11 +197,27 @@ def test_url_tree_matches_recursion(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_url_tree_of_deep_paths_matches_recursion(spark):
+    leaves = {}
+    for i in range(120):
+        stem = tuple(f"d{j}" for j in range(3 + 20 * (i % 3)))
+        key = ("h", (*stem, f"k{i % 5}", *(["x"] * (i % 4)), f"z{i % 2}"))
+        leaves[key] = (1 + i % 5, i % 3, i % 3 if i % 5 == 0 else 0)
+    leaves[("h", ("d0", "d1"))] = (3, 2, 2)
+    leaves[("one", tuple("abcdefghij"))] = (4, 3, 3)
+    leaves[("none", ())] = (1, 0, 0)
+    df = spark.createDataFrame([(h, list(s), *v) for (h, s), v in leaves.items()], "host string, template array<string>, pages long, labelled long, blocked long")
+    rows = urltree.grow(df).collect()
+    got, want = {(r.host, tuple(r.template)): r.rate for r in rows}, grow(leaves)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {r.branch for r in rows if r.host == "one"} == {"/~" * 10}
+
+
 def test_templates(spark):
     paths = ["/a/12/2024-05-06/x9", "/a/b.html/77.html", "/deadbeef01/p-12345-q", "", "/1/2/3/4/5/6/7/8/9/10"]
     got = [list(r.t) for r in spark.createDataFrame(list(enumerate(paths)), "i int, p string").select("i", urltree.template_of(F.col("p")).alias("t")).orderBy("i").collect()]
     assert got[0] == ["", "a", "{n}", "{date}", "x9"] and got[1] == ["", "a", "b.html", "{n}.html"]
-    assert got[2] == ["", "{hex}", "p-{n}-q"] and got[3] == [""] and len(got[4]) == urltree.LEVELS and got[4][-1].count("/") == 3
+    assert got[2] == ["", "{hex}", "p-{n}-q"] and got[3] == [""] and len(got[4]) == paths[4].count("/") + 1
 
 
 @needs_model
