@@ -335,16 +335,37 @@ def s16(fx):
     return S.change_segments(fx.frame, ["conn_id"], ["received_at_us", "frame_id"], c("handle"), "received_at_us")
 
 
-@query(
-    "s17_reconcile_flags",
-    "h AS (SELECT heat_id, flag, started_at_us + 30000000 AS at_us FROM fx_flag WHERE started_at_us % 7 <> 0), r AS (SELECT f.heat_id, f.flag, coalesce(min(h.at_us), f.started_at_us) AS at_us, min(h.at_us) IS NOT NULL AS calibrated FROM fx_flag f LEFT JOIN h ON h.heat_id = f.heat_id AND h.flag = f.flag AND abs(h.at_us - f.started_at_us) <= 120000000 GROUP BY f.heat_id, f.flag, f.started_at_us) SELECT heat_id, flag, at_us AS started_at_us, lead(at_us) OVER (PARTITION BY heat_id ORDER BY at_us) AS ended_at_us, calibrated FROM r",
-)
+_FLAGS = """p AS (SELECT heat_id, flag, started_at_us AS at_us, started_at_us // 86400000000 AS d FROM fx_flag WHERE started_at_us IS NOT NULL),
+l AS (SELECT DISTINCT heat_id, flag, at_us + 25000000 AS at_us FROM p WHERE NOT (flag = 'GREEN' AND d % 5 = 1) AND NOT (flag <> 'GREEN' AND d % 7 = 3)),
+b AS (SELECT heat_id, min(at_us) - 60000000 AS green_at, max(at_us) + 3600000000 AS finish_at FROM p GROUP BY heat_id),
+h AS (SELECT heat_id, flag, started_at_us AS s, CASE WHEN (started_at_us // 86400000000) % 13 <> 0 THEN ended_at_us END AS e FROM fx_caution WHERE (started_at_us // 86400000000) % 11 <> 0),
+x AS (SELECT * FROM h UNION ALL SELECT heat_id, 'FINISH', finish_at, NULL FROM b),
+claimed AS (SELECT heat_id, flag, at_us FROM (SELECT l.*, row_number() OVER (PARTITION BY x.heat_id, x.flag, x.s ORDER BY abs(l.at_us - x.s), l.at_us) AS r FROM x JOIN l ON l.heat_id = x.heat_id AND l.flag = x.flag AND abs(l.at_us - x.s) <= 120000000) WHERE r = 1),
+f AS (SELECT heat_id, flag, at_us FROM l EXCEPT SELECT * FROM claimed),
+e AS (SELECT h.heat_id, h.flag, h.e AS at_us FROM h JOIN b ON b.heat_id = h.heat_id AND h.e < b.finish_at WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.heat_id = h.heat_id AND (x.s = h.e OR (x.s <= h.e AND x.e > h.e)))),
+n AS (SELECT * FROM (SELECT e.*, f.flag AS next_flag, f.at_us AS next_at, row_number() OVER (PARTITION BY e.heat_id, e.flag, e.at_us ORDER BY f.at_us) AS r FROM e JOIN f ON f.heat_id = e.heat_id AND f.flag <> e.flag AND f.at_us BETWEEN e.at_us AND e.at_us + 120000000) WHERE r = 1),
+g AS (SELECT * FROM (SELECT e.*, l.flag AS last_flag, row_number() OVER (PARTITION BY e.heat_id, e.flag, e.at_us ORDER BY l.at_us DESC, l.flag DESC) AS r FROM e JOIN l ON l.heat_id = e.heat_id AND l.at_us <= e.at_us) WHERE r = 1),
+pts AS (SELECT heat_id, flag, s AS at_us, 0 AS k FROM x
+  UNION ALL SELECT e.heat_id, coalesce(n.next_flag, CASE WHEN g.last_flag <> e.flag THEN g.last_flag END), e.at_us, 1 FROM e LEFT JOIN n ON n.heat_id = e.heat_id AND n.flag = e.flag AND n.at_us = e.at_us LEFT JOIN g ON g.heat_id = e.heat_id AND g.flag = e.flag AND g.at_us = e.at_us
+  UNION ALL SELECT heat_id, flag, at_us, 2 FROM f WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.heat_id = f.heat_id AND n.next_flag = f.flag AND n.next_at = f.at_us) AND NOT EXISTS (SELECT 1 FROM x WHERE x.heat_id = f.heat_id AND x.s <= f.at_us AND x.e > f.at_us)),
+one AS (SELECT *, row_number() OVER (PARTITION BY heat_id ORDER BY at_us) AS nr FROM (SELECT *, row_number() OVER (PARTITION BY heat_id, at_us ORDER BY k, flag NULLS LAST) AS r FROM pts) WHERE r = 1),
+moved AS (SELECT one.heat_id, one.flag, CASE WHEN nr = 1 AND one.flag = 'GREEN' AND k = 2 AND at_us > green_at THEN green_at ELSE at_us END AS at_us, k <> 2 OR (nr = 1 AND one.flag = 'GREEN' AND at_us > green_at) AS calibrated FROM one JOIN b USING (heat_id)),
+told AS (SELECT *, lag(flag) OVER (PARTITION BY heat_id ORDER BY at_us) AS bf, row_number() OVER (PARTITION BY heat_id ORDER BY at_us) AS nr FROM moved),
+periods AS (SELECT heat_id, flag, at_us AS started_at_us, lead(at_us) OVER (PARTITION BY heat_id ORDER BY at_us) AS ended_at_us, calibrated, lead(calibrated) OVER (PARTITION BY heat_id ORDER BY at_us) AS end_calibrated FROM told WHERE nr = 1 OR bf IS DISTINCT FROM flag)
+SELECT * FROM periods WHERE flag IS NOT NULL"""
+
+
+@query("s17_reconcile_flags", _FLAGS)
 def s17(fx):
     from stintline.operators.flags import reconcile_flags
 
-    live = fx.flag.select("heat_id", "flag", "started_at_us")
-    history = fx.flag.where("started_at_us % 7 <> 0").select("heat_id", "flag", (c("started_at_us") + 30_000_000).alias("started_at_us"))
-    return reconcile_flags(live, history).select("heat_id", "flag", "started_at_us", "ended_at_us", "calibrated")
+    day = F.expr("started_at_us div 86400000000")
+    shown = fx.flag.where("started_at_us is not null")
+    late = (c("started_at_us") + 25_000_000).alias("started_at_us")
+    live = shown.where(~((c("flag") == "GREEN") & (day % 5 == 1)) & ~((c("flag") != "GREEN") & (day % 7 == 3))).select("heat_id", "flag", late)
+    history = fx.caution.where(day % 11 != 0).select("heat_id", "flag", "started_at_us", F.when(day % 13 != 0, c("ended_at_us")).alias("ended_at_us"))
+    bounds = shown.groupBy("heat_id").agg((F.min("started_at_us") - 60_000_000).alias("green_at_us"), (F.max("started_at_us") + 3_600_000_000).alias("finish_at_us"))
+    return reconcile_flags(live, history, bounds=bounds)
 
 
 @query("s18_interval_facts", "SELECT heat_id, row_key, position, CASE WHEN row_key % 500 = 0 THEN 'SNAPSHOT_BASELINE' ELSE 'DELTA' END AS observation_kind, lag(row_key) OVER (PARTITION BY heat_id ORDER BY position) AS target_id FROM fx_gaptext")
