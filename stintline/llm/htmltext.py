@@ -41,7 +41,7 @@ _TOKEN = re.compile(_COMMENT + "|" + _NAME + r"""((?:[^>"']++|"[^"]*"|'[^']*')*+
 _LOOSE = re.compile(_COMMENT + "|" + _NAME + r"([^>]*)>|[^<]+|<", re.S)
 _BEGINS = re.compile(r"</?[A-Za-z]")
 _CLOSES = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIPPED}
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|data-main)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACES = re.compile(r"\s+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "outside", "inside", "header", "heading", "listed", "ends")
@@ -149,7 +149,7 @@ def blocks(page: str | None) -> list[dict]:
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].tag == tag:
             stack.pop()
         top = stack[-1]
-        named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
+        named = {k.lower(): v.strip("\"'") for k, v in reversed(_ATTRIBUTE.findall(m.group(3)))} if m.group(3) else {}
         hint = "" if tag in ("html", "body") else " ".join(named.get(k, "") for k in ("class", "id", "role"))
         hidden = "hidden" in named or named.get("aria-hidden", "") == "true" or "display:none" in named.get("style", "").replace(" ", "")
         main = tag in ("article", "main") and not (hint and _AROUND.search(hint))

@@ -184,6 +184,17 @@ def test_hostile_pages_take_linear_time_and_lose_nothing(spark):
     assert htmltext.blocks('<p>one <b class="open>two</b> three</p>')[0]["text"].startswith("one")
 
 
+def test_attributes_are_read_by_their_whole_names(spark):
+    pages = [
+        '<div id="content" width="80"><h1>Title</h1><p>short text.',
+        '<article><div data-hidden="false"><p>one two three four.</div></article>',
+        '<article><div data-class="ad" class="lead" class="sidebar"><p>five six seven.</div></article>',
+    ]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert got == {0: "Title short text.", 1: "one two three four.", 2: "five six seven."}
+
+
 def test_main_text_of_given_pages(spark):
     import html
 
