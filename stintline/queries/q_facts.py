@@ -186,9 +186,10 @@ WINDOW w AS (PARTITION BY conn_id ORDER BY received_at_us, frame_id ROWS UNBOUND
 SELECT conn_id, frame_id, CASE WHEN hi - lo BETWEEN 1 AND 3600000000 THEN (received_at_us - lo) / (hi - lo) WHEN hi = lo THEN 0.0::DOUBLE END AS share FROM y""",
 )
 def f24(fx):
-    w = Window.partitionBy("conn_id").orderBy("received_at_us", "frame_id")
+    # the first that follows is the last one in the order turned round: frames without an end are read anew for each row
+    until = lambda *order: Window.partitionBy("conn_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     a = F.when(c("frame_id") % 10 == 0, c("received_at_us"))
-    rows = fx.clock.withColumn("a", a).withColumn("lo", F.last("a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("a", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = fx.clock.withColumn("a", a).withColumn("lo", F.last("a", ignorenulls=True).over(until("received_at_us", "frame_id"))).withColumn("hi", F.last("a", ignorenulls=True).over(until(F.desc("received_at_us"), F.desc("frame_id"))))
     span = c("hi") - c("lo")
     return rows.select("conn_id", "frame_id", F.when(span.between(1, 3_600_000_000), (c("received_at_us") - c("lo")) / span).when(span == 0, 0.0).alias("share"))
 

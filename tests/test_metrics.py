@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stintline.functions import scalars as S
 from stintline.operators import battle, facts, flags, laps, pits, windows
+from stintline.queries import QUERIES
 
 DURATIONS = [100_000 + 1000 * i for i in range(10)] + [120_000]
 
@@ -148,3 +149,8 @@ def test_overlap_sums_match_pairs(spark):
             cut = [min(e if e is not None else 10**9, r.l_end) - max(s, r.l_start) for k, x, s, e in periods if r.l_start is not None and (k, x) == (r.k, kind) and (e is None or e > s)]
             cut = [c for c in cut if c > 0]
             assert (r[f"{kind}_n"], r[f"{kind}_us"]) == (len(cut), sum(cut)), r
+
+
+def test_clock_interpolation_reads_no_frame_to_the_end(spark):
+    plan = QUERIES["f24_clock_interpolation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan
