@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintline.functions.scalars import canonical_header, token
+from stintline.operators.windows import PARTS, running
 
 RANK = ["frame_id", "message_ordinal", "change_ordinal"]
 
@@ -99,14 +100,13 @@ def parsed(message: DataFrame) -> DataFrame:
 
 def _changes_of_schema(message: DataFrame) -> DataFrame:
     """Messages that replace the grid or its layout, with the generation of the layout in force and whether cells may enter."""
-    w = Window.partitionBy("heat_id").orderBy("frame_id", "message_ordinal").rowsBetween(Window.unboundedPreceding, 0)
     has = F.col("layout").isNotNull()
     # layouts come again and again: each text is read once
     texts = message.where((F.col("handle") == "r_l") | _snapshot()).withColumn("layout", _layout())
     known = _judged(texts.where("layout is not null").select("layout").distinct())
     rows = texts.join(known, "layout", "left").select("heat_id", "conn_id", "frame_id", "message_ordinal", "handle", "layout", "columns", "ambiguous")
-    rows = rows.withColumn("generation", F.sum(has.cast("int")).over(w).cast("long")).withColumn("ready", F.coalesce(F.last(F.when(has, ~F.col("ambiguous")), ignorenulls=True).over(w), F.lit(False)))
-    return rows.withColumn("clears", ((F.col("handle") == "r_i") | F.coalesce("ambiguous", F.lit(False))).cast("int"))
+    rows = running(rows, ["heat_id"], ["frame_id", "message_ordinal"], {"generation": has.cast("int")}, {"ready": F.when(has, ~F.col("ambiguous"))})
+    return rows.withColumn("ready", F.coalesce("ready", F.lit(False))).withColumn("clears", ((F.col("handle") == "r_i") | F.coalesce("ambiguous", F.lit(False))).cast("int"))
 
 
 def _cells(message: DataFrame) -> DataFrame:
@@ -114,10 +114,9 @@ def _cells(message: DataFrame) -> DataFrame:
     return _with_cells(message.where((F.col("handle") == "r_c") | _snapshot())).select(*keys, "handle", F.explode("cells").alias("x")).select(*keys, "handle", "x.*")
 
 
-def _in_time(cells: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
-    """Cells and the few events of their heat in one sorted window per row of the grid, so that no heat is one task."""
-    spots = cells.select("heat_id", *by).distinct()
-    told = events.join(spots, [c for c in events.columns if c in ("heat_id", *by) and c != "conn_id"])
+def _in_time(cells: DataFrame, events: DataFrame) -> DataFrame:
+    """Cells and the events of their heat in one sorted window per row of the grid, so that no heat is one task."""
+    told = events.join(cells.select("heat_id", "row_ix").distinct(), "heat_id")
     return cells.withColumn("is_cell", F.lit(True)).unionByName(told.withColumn("is_cell", F.lit(False)), allowMissingColumns=True)
 
 
@@ -130,23 +129,29 @@ def grid_as_of(message: DataFrame, at_frame: int | None = None) -> DataFrame:
     """
     rows = message if at_frame is None else message.where(F.col("frame_id") <= at_frame)
     schema = _changes_of_schema(rows)
+    # nothing from before the last message that empties a heat's grid is left: one row a heat
+    place = F.struct("frame_id", "message_ordinal")
+    emptied = schema.where("clears = 1").groupBy("heat_id").agg(F.max(F.struct(place.alias("place"), "generation")).alias("x")).select("heat_id", F.col("x.place").alias("__from"), F.col("x.generation").alias("__oldest"))
+    rows = rows.join(F.broadcast(emptied), "heat_id", "left").where(F.col("__from").isNull() | (place >= F.col("__from"))).drop("__from", "__oldest")
+    schema = schema.join(F.broadcast(emptied), "heat_id", "left")
+    column = schema.where("layout is not null and (__oldest is null or generation >= __oldest)").select("heat_id", "generation", F.explode("columns").alias("c")).select("heat_id", "generation", F.col("c.ix").alias("col_ix"), *_names("c"))
+    last = schema.groupBy("heat_id").agg(F.max("generation").alias("newest"))
+    schema = schema.where(F.col("__from").isNull() | (place >= F.col("__from")))
     change = F.lit(-1).cast("long").alias("change_ordinal")
     events = schema.select("heat_id", "frame_id", "message_ordinal", change, "generation", "ready", "clears")
     removed = _with_dropped(rows.where("handle = 'r_d'")).select("heat_id", "frame_id", "message_ordinal", change, F.explode("dropped").alias("row_ix"), F.lit(1).alias("clears")).distinct()
     cells = _cells(rows).drop("conn_id", "handle")
-    both = _in_time(cells, events, ["row_ix"]).unionByName(removed.withColumn("is_cell", F.lit(False)), allowMissingColumns=True)
+    both = _in_time(cells, events).unionByName(removed.withColumn("is_cell", F.lit(False)), allowMissingColumns=True)
     w = Window.partitionBy("heat_id", "row_ix").orderBy(*RANK)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in ("generation", "ready")}).withColumn("epoch", F.sum(F.coalesce("clears", F.lit(0))).over(so_far))
     alive = both.withColumn("now", F.max("epoch").over(Window.partitionBy("heat_id", "row_ix"))).where("is_cell and ready and epoch = now").drop("is_cell", "clears", "ready", "epoch", "now")
 
-    column = schema.where("layout is not null").select("heat_id", "generation", F.explode("columns").alias("c")).select("heat_id", "generation", F.col("c.ix").alias("col_ix"), *_names("c"))
     unique = column.groupBy("heat_id", "identity", "generation").agg(F.count("*").alias("n")).where("n = 1")
     step = Window.partitionBy("heat_id", "identity")
     runs = unique.withColumn("run", F.col("generation") - F.row_number().over(step.orderBy("generation")))
     runs = runs.select("heat_id", "identity", (F.col("generation") - 1).alias("generation"), F.max("generation").over(Window.partitionBy("heat_id", "identity", "run")).alias("until"))
     known = column.join(runs, ["heat_id", "identity", "generation"], "left").select("heat_id", "generation", "col_ix", "shown", F.coalesce("until", "generation").alias("until"))
-    last = schema.groupBy("heat_id").agg(F.max("generation").alias("newest"))
     named = alive.join(known, ["heat_id", "generation", "col_ix"], "left").join(last, "heat_id").where(F.coalesce("until", "generation") >= F.col("newest"))
     key = F.coalesce("shown", F.concat(F.lit("column_"), F.col("col_ix").cast("string"))).alias("key")
     best = named.groupBy("heat_id", "row_ix", key).agg(F.max_by(F.struct("value", "presentation", *RANK), F.struct(*RANK)).alias("x"))
@@ -162,14 +167,16 @@ def _names(column: str) -> list[Column]:
 
 def trusted_changes(message: DataFrame) -> DataFrame:
     """Each `r_c` cell with `trusted`: did an `r_i` or `r_l` of the same connection, under the layout generation in force, come before it?"""
-    schema = _changes_of_schema(message).select("heat_id", F.col("conn_id").alias("on"), "frame_id", "message_ordinal", F.lit(-1).cast("long").alias("change_ordinal"), "generation", "ready")
-    cells = _cells(message.where("handle = 'r_c'")).drop("handle", "value", "presentation")
-    both = _in_time(cells, schema, ["row_ix", "conn_id"])
-    so_far = Window.partitionBy("heat_id", "row_ix", "conn_id").orderBy(*RANK).rowsBetween(Window.unboundedPreceding, 0)
-    anchor = F.last(F.when(F.col("ready") & F.col("on").eqNullSafe(F.col("conn_id")), F.col("generation")), ignorenulls=True).over(so_far)
-    both = both.select("*", anchor.alias("anchor"), F.last("generation", ignorenulls=True).over(so_far).alias("current"), F.last("ready", ignorenulls=True).over(so_far).alias("may"))
-    good = F.coalesce(F.col("may") & (F.col("anchor") == F.col("current")), F.lit(False))
-    return both.where("is_cell").select("heat_id", "conn_id", *RANK, "row_ix", "col_ix", good.alias("trusted"))
+    order = ["frame_id", "message_ordinal"]
+    schema = _changes_of_schema(message).select("heat_id", "conn_id", *order, "generation", "ready")
+    # the layout in force is told message by message; where a connection first meets it, by an equal join
+    first = schema.where("ready").groupBy("heat_id", "conn_id", "generation").agg(F.min(F.struct(*order)).alias("anchor")).select(F.col("heat_id").alias("__heat"), F.col("conn_id").alias("__conn"), F.col("generation").alias("__generation"), "anchor")
+    told = message.where("handle = 'r_c'").withColumn("turn", F.lit(1)).unionByName(schema.drop("conn_id").withColumn("turn", F.lit(0)), allowMissingColumns=True)
+    now = running(told, ["heat_id"], [*order, "turn"], {}, {"current": F.col("generation"), "may": F.col("ready")}, parts=PARTS).where("turn = 1")
+    same = F.col("heat_id").eqNullSafe(F.col("__heat")) & F.col("conn_id").eqNullSafe(F.col("__conn")) & (F.col("current") == F.col("__generation"))
+    rows = now.join(first, same, "left").withColumn("good", F.col("may") & (F.col("anchor") <= F.struct(*order)))
+    cells = _with_cells(rows).select("heat_id", "conn_id", *order, "good", F.explode("cells").alias("x"))
+    return cells.select("heat_id", "conn_id", *order, "x.change_ordinal", "x.row_ix", "x.col_ix", F.coalesce("good", F.lit(False)).alias("trusted"))
 
 
 def layout_versions(message: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Width of the time bins of interval joins; both sides are cut at its multiples.
 BIN_US = 3_600_000_000
+#: Frames of a block of running values; frames are counted one by one.
+BLOCK = 16_384
+#: Tasks among which the keys of the wide sorted windows are dealt, so that a task's sort stays small.
+PARTS = 96
 
 
 def _bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
@@ -86,6 +90,37 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: lis
     return out.select(*left.columns, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
+def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], lasts: dict[str, Column], width: int = BLOCK, parts: int | None = None) -> DataFrame:
+    """`df` with running sums and last known values of a key in `order`, each row included.
+
+    A key is cut at multiples of `width` of the first order column (whole numbers). Blocks are summed up by themselves
+    and meet only the totals of those before them, so that a long key is not one task. `parts` deals them among so
+    many tasks.
+    """
+    block = F.col(order[0]) - F.pmod(F.col(order[0]), F.lit(width))
+    rows = df.withColumn("__block", F.coalesce(block, F.lit(-(1 << 62))))  # without a place: first, as in the order
+    key = [*by, "__block"]
+    told = F.lit(False)
+    for x in (*sums.values(), *lasts.values()):
+        told = told | x.isNotNull()
+    last = [F.max(F.when(x.isNotNull(), F.struct(*order, x.alias("__x"))))["__x"].alias(f"__t_{name}") for name, x in lasts.items()]
+    total = rows.where(told).groupBy(*key).agg(*[F.sum(x).alias(f"__t_{name}") for name, x in sums.items()], *last)
+    # one row a block and one of its totals, if it has any
+    both = rows.select(*key).distinct().withColumn("__is", F.lit(True)).unionByName(total, allowMissingColumns=True)
+    before = Window.partitionBy(*by).orderBy("__block").rangeBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(f"__t_{name}").over(before).alias(f"__c_{name}") for name in sums] + [F.last(f"__t_{name}", ignorenulls=True).over(before).alias(f"__c_{name}") for name in lasts]
+    carry = both.select(*[F.col(k).alias(f"__k_{k}") for k in key], "__is", *carried).where("__is").drop("__is")
+    so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = rows.repartition(parts, *key) if parts else rows
+    within = dealt.select("*", *[F.sum(x).over(so_far).alias(f"__w_{name}") for name, x in sums.items()], *[F.last(x, ignorenulls=True).over(so_far).alias(f"__w_{name}") for name, x in lasts.items()])
+    same = None
+    for k in key:
+        one = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        same = one if same is None else same & one
+    added = [(F.coalesce(f"__c_{name}", F.lit(0)) + F.coalesce(f"__w_{name}", F.lit(0))).cast("long").alias(name) for name in sums]
+    return within.join(carry, same, "left").select(*df.columns, *added, *[F.coalesce(f"__w_{name}", f"__c_{name}").alias(name) for name in lasts])
+
+
 def islands(df: DataFrame, by: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:
     """Adds the number of the run that a row belongs to; a new run begins where `breaks` is true."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -134,3 +134,12 @@ def test_contract(spark):
     got = {r.version: r for r in grid.schema_contract(grid.layout_versions(messages(spark, *told))).collect()}
     assert got[0].status == "CURRENT" and got[0].missing == got[0].mismatched == got[0].unknown == "" and got[0].columns == 16
     assert (got[1].status, got[1].missing, got[1].mismatched, got[1].unknown) == ("DEGRADED", "position_overall", "position_overall", "extra") and set(got) == {0, 1}
+
+
+def test_trusted_changes_pair_no_connection_with_all_layouts(spark):
+    told = [(1, i // 4, i, 0, "r_l" if i % 4 == 0 else "r_c", json.dumps(layout("NR") if i % 4 == 0 else [[i % 3, 0, "1"]])) for i in range(40_000, 40_040)]
+    cells = grid.trusted_changes(spark.createDataFrame(told, MESSAGE)).orderBy("frame_id").collect()
+    assert len(cells) == 30 and all(r.trusted for r in cells)
+    plan = grid.trusted_changes(spark.createDataFrame(told, MESSAGE))._jdf.queryExecution().optimizedPlan().toString().lower()
+    joins = [line for line in plan.splitlines() if "join " in line]
+    assert joins and not any(line.count("heat_id") and "conn" not in line and "__block" not in line for line in joins)
