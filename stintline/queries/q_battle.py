@@ -60,7 +60,7 @@ SELECT focal_id, relation, observed_at_us, seq, gap_ms / max(rate) AS min_laps,
 FROM v GROUP BY focal_id, relation, observed_at_us, seq, gap_ms HAVING count(rate) >= 2""",
 )
 def f8(fx):
-    return B.catch_range([B.gap_trend(fx.gap_sample, d * DAY) for d in (1, 2, 7)], F.lit(100_000.0))
+    return B.catch_windows(fx.gap_sample, (DAY, 2 * DAY, 7 * DAY), F.lit(100_000.0))
 
 
 @query(

@@ -322,7 +322,7 @@ def al_race_alerts(fx):
     middle = fx.pit.where("completed and pit_lane_ms is not null").groupBy("class_key").agg(F.percentile("pit_lane_ms", F.lit(0.5)).alias("m"))
     needed_s = c("remaining_pits") * c("m") / 1000.0
     off = c("stint_schedule_deviation_s")
-    catch = B.catch_range([B.gap_trend(fx.gap_sample, n * DAY) for n in (1, 2, 7)], F.lit(100_000.0))
+    catch = B.catch_windows(fx.gap_sample, (DAY, 2 * DAY, 7 * DAY), F.lit(100_000.0))
     parts = [
         A.alert(catch, "catch_or_threat_crossing", "action", c("min_laps") <= 5, "observed_at_us", c("min_laps"), "focal_id"),
         A.alert(plan, "even_schedule_deviation", "action", F.abs(off) >= 900, "at_us", off),
