@@ -61,6 +61,7 @@ def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list
     values = [c for c in seen.columns if c not in (*by, "at")] if seen is not None else []
     if seen is not None:
         rows = rows.unionByName(seen.select(*by, F.col("at").alias("__at"), F.lit(0).alias("__turn"), F.struct(*values).alias("__seen")), allowMissingColumns=True)
+    rows = rows.repartition(PARTS, *by)
     so_far = Window.partitionBy(*by).orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, 0)
     # time covered up to t: ends of the periods over, less starts of those begun, and t for each open one; from an origin, so that sums stay small
     rows = rows.withColumn("__at", F.col("__at") - F.min("__at").over(Window.partitionBy(*by)))
