@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintline.functions.scalars import lookup, parse_ts_time
+from stintline.operators.windows import PARTS, running
 
 #: Counters of the summary by wire key.
 COUNTERS = {
@@ -44,18 +45,22 @@ BY = ["heat_id", "epoch"]
 
 def _written(message: DataFrame) -> DataFrame:
     """(heat_id, epoch, rank, path, value, is_object): what each patch writes. `a_i` and `a_r` begin an epoch. A string that reads as an object counts as one."""
-    w = Window.partitionBy("heat_id").orderBy("frame_id", "message_ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    rows = message.withColumn("epoch", F.sum(F.col("handle").isin("a_i", "a_r").cast("int")).over(w).cast("long")).where("handle <> 'a_r'")
-    entries = lambda text: F.explode(F.from_json(text, "map<string,string>"))
-    level = rows.select(*BY, F.struct("frame_id", "message_ordinal").alias("rank"), entries(F.col("payload")).alias("path", "value"))
-    out = None
-    for n in range(1, LEVELS + 1):
-        is_object = F.coalesce(F.startswith(F.trim("value"), F.lit("{")) & F.from_json("value", "map<string,string>").isNotNull(), F.lit(False)) if n < LEVELS else F.lit(False)
-        level = level.withColumn("is_object", is_object)
-        out = level if out is None else out.unionByName(level)
-        if n < LEVELS:
-            level = level.where("is_object").select(*BY, "rank", "path", entries(F.col("value")).alias("key", "value")).select(*BY, "rank", F.concat_ws(SEP, "path", "key").alias("path"), "value")
-    return out
+    begins = F.when(F.col("handle").isin("a_i", "a_r"), F.lit(1))
+    rows = running(message.select("heat_id", "frame_id", "message_ordinal", "handle", "payload"), ["heat_id"], ["frame_id", "message_ordinal"], {"epoch": begins}, {}, parts=PARTS).where("handle <> 'a_r'")
+    entries = lambda text: F.map_entries(F.from_json(text, "map<string,string>"))
+
+    def entry(path: Column, value: Column, n: int) -> Column:
+        is_object = F.coalesce(F.startswith(F.trim(value), F.lit("{")) & F.from_json(value, "map<string,string>").isNotNull(), F.lit(False)) if n < LEVELS else F.lit(False)
+        return F.struct(path.alias("path"), value.alias("value"), is_object.alias("is_object"))
+
+    def inside(n: int):
+        return lambda x: F.transform(entries(x["value"]), lambda e: entry(F.concat_ws(SEP, x["path"], e["key"]), e["value"], n))
+
+    rows = rows.withColumn("__1", F.transform(entries(F.col("payload")), lambda e: entry(e["key"], e["value"], 1)))
+    for n in range(2, LEVELS + 1):
+        rows = rows.withColumn(f"__{n}", F.flatten(F.transform(F.filter(f"__{n - 1}", lambda x: x["is_object"]), inside(n))))
+    all_levels = F.concat(*[F.col(f"__{n}") for n in range(1, LEVELS + 1)])
+    return rows.select(*BY, F.struct("frame_id", "message_ordinal").alias("rank"), F.explode(all_levels).alias("x")).select(*BY, "rank", "x.*")
 
 
 def merged(message: DataFrame) -> DataFrame:
@@ -64,14 +69,13 @@ def merged(message: DataFrame) -> DataFrame:
     A path holds its last value, unless a later patch made an object of it, or put a plain value in place of an object
     above it.
     """
-    written = _written(message)
-    leaf = written.where("not is_object").groupBy(*BY, "path").agg(F.max("rank").alias("rank"), F.max_by("value", "rank").alias("value"))
-    made = written.where("is_object").groupBy(*BY, "path").agg(F.max("rank").alias("made"))
-    leaf = leaf.join(made, [*BY, "path"], "left").where("made is null or made < rank").drop("made")
+    put, made = F.when(~F.col("is_object"), F.col("rank")), F.when(F.col("is_object"), F.col("rank"))
+    told = _written(message).groupBy(*BY, "path").agg(F.max(put).alias("rank"), F.max_by("value", put).alias("value"), F.max(made).alias("made")).where("rank is not null")
+    leaf = told.where("made is null or made < rank").drop("made")
     parts = F.split("path", SEP)
-    above = leaf.select(*BY, "path", "rank", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), SEP))).alias("top")) if LEVELS > 1 else None
-    plain = written.where("not is_object").groupBy(*BY, F.col("path").alias("top")).agg(F.max("rank").alias("put"))
-    gone = above.where(F.instr("path", SEP) > 0).join(plain, [*BY, "top"]).where("put > rank").select(*BY, "path").distinct()
+    above = leaf.where(F.instr("path", SEP) > 0).select(*BY, "path", "rank", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), SEP))).alias("top"))
+    plain = told.select(*BY, F.col("path").alias("top"), F.col("rank").alias("put"))
+    gone = above.join(plain, [*BY, "top"]).where("put > rank").select(*BY, "path").distinct()
     return leaf.join(gone, [*BY, "path"], "left_anti").select(*BY, "path", "value")
 
 
