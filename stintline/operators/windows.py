@@ -109,17 +109,15 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
     # one row a block and one of its totals, if it has any
     both = rows.select(*key).distinct().withColumn("__is", F.lit(True)).unionByName(total, allowMissingColumns=True)
     before = Window.partitionBy(*by).orderBy("__block").rangeBetween(Window.unboundedPreceding, -1)
-    carried = [F.sum(f"__t_{name}").over(before).alias(f"__c_{name}") for name in sums] + [F.last(f"__t_{name}", ignorenulls=True).over(before).alias(f"__c_{name}") for name in lasts]
-    carry = both.select(*[F.col(k).alias(f"__k_{k}") for k in key], "__is", *carried).where("__is").drop("__is")
-    so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    dealt = rows.repartition(parts, *key) if parts else rows
-    within = dealt.select("*", *[F.sum(x).over(so_far).alias(f"__w_{name}") for name, x in sums.items()], *[F.last(x, ignorenulls=True).over(so_far).alias(f"__w_{name}") for name, x in lasts.items()])
-    same = None
-    for k in key:
-        one = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        same = one if same is None else same & one
-    added = [(F.coalesce(f"__c_{name}", F.lit(0)) + F.coalesce(f"__w_{name}", F.lit(0))).cast("long").alias(name) for name in sums]
-    return within.join(carry, same, "left").select(*df.columns, *added, *[F.coalesce(f"__w_{name}", f"__c_{name}").alias(name) for name in lasts])
+    carried = [F.sum(f"__t_{name}").over(before).alias(f"__v_{name}") for name in sums] + [F.last(f"__t_{name}", ignorenulls=True).over(before).alias(f"__v_{name}") for name in lasts]
+    carry = both.select(*key, "__is", *carried).where("__is").drop("__is").withColumn("__own", F.lit(False))
+    # what is carried stands before the rows of its block, so that they need not be joined and dealt again
+    own = rows.select("*", *[x.cast("long").alias(f"__v_{name}") for name, x in sums.items()], *[x.alias(f"__v_{name}") for name, x in lasts.items()], F.lit(True).alias("__own"))
+    all_rows = own.unionByName(carry, allowMissingColumns=True)
+    dealt = all_rows.repartition(parts, *key) if parts else all_rows
+    so_far = Window.partitionBy(*key).orderBy("__own", *order).rowsBetween(Window.unboundedPreceding, 0)
+    told_so_far = [F.coalesce(F.sum(f"__v_{name}").over(so_far), F.lit(0)).cast("long").alias(name) for name in sums] + [F.last(f"__v_{name}", ignorenulls=True).over(so_far).alias(name) for name in lasts]
+    return dealt.select(*df.columns, "__own", *told_so_far).where("__own").drop("__own")
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:
