@@ -71,12 +71,17 @@ def merged(message: DataFrame) -> DataFrame:
     """
     put, made = F.when(~F.col("is_object"), F.col("rank")), F.when(F.col("is_object"), F.col("rank"))
     told = _written(message).groupBy(*BY, "path").agg(F.max(put).alias("rank"), F.max_by("value", put).alias("value"), F.max(made).alias("made")).where("rank is not null")
-    leaf = told.where("made is null or made < rank").drop("made")
     parts = F.split("path", SEP)
-    above = leaf.where(F.instr("path", SEP) > 0).select(*BY, "path", "rank", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), SEP))).alias("top"))
-    plain = told.select(*BY, F.col("path").alias("top"), F.col("rank").alias("put"))
-    gone = above.join(plain, [*BY, "top"]).where("put > rank").select(*BY, "path").distinct()
-    return leaf.join(gone, [*BY, "path"], "left_anti").select(*BY, "path", "value")
+    above = [f"__k{n}" for n in range(1, LEVELS)]
+    # dealt by the first key, sorted once by the deepest ones: the windows of all levels follow that order
+    rows = told.withColumns({"__depth": F.size(parts), **{k: F.get(parts, F.lit(n)) for n, k in enumerate(above)}}).repartition(PARTS, *BY, above[0])
+    for n in range(LEVELS - 1, 0, -1):
+        own = F.max(F.when(F.col("__depth") == n, F.col("rank"))).over(Window.partitionBy(*BY, *above[:n]))
+        rows = rows.withColumn(f"__p{n}", F.when(F.col("__depth") > n, own))
+    gone = F.lit(False)
+    for n in range(1, LEVELS):
+        gone = gone | F.coalesce(F.col(f"__p{n}") > F.col("rank"), F.lit(False))
+    return rows.where(~gone & (F.col("made").isNull() | (F.col("made") < F.col("rank")))).select(*BY, "path", "value")
 
 
 def _whole(value: Column) -> Column:

@@ -52,3 +52,8 @@ def test_summary_tells_what_is_wrong(spark):
     assert (r.heat_name, r.participants_started, r.total_laps, r.total_pitstops, r.green_flag_ts_time, r.finish_flag_ts_time, r.safety_car_total_time_raw) == ("R1", 30, 12, 7, 5, None, "1:02")
     assert (r.truncations, r.unknown_keys, r.errors) == ("b=3", "new", "invalid_finish_flag_ts_time,invalid_qC")
     assert [(x.provider_key, x.lap_number) for x in statistics.records(state, "b").orderBy("place").collect()] == [("2", 1), ("10", 3), ("z", 9)]
+
+
+def test_patches_are_read_once_and_paths_not_joined(spark):
+    plan = statistics.merged(spark.createDataFrame([(1, 0, 0, "a_u", '{"a": 1}')], MESSAGE))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Join" not in plan
