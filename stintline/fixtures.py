@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stintline.operators.windows import PARTS
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents")
 
 #: {us} is the instant of `ts` in microseconds, {str} the string type.
@@ -146,8 +148,12 @@ def with_views(sql: str) -> str:
 class Fixture:
     """The canonical tables of one data folder: `fx.lap`, `fx.pit`, ... and the driver's own tables by name."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.schemas = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, by_user: bool = False):
+        self.spark, self.sf_dir, self.by_user, self.schemas = spark, sf_dir, by_user, {}
+
+    def dealt(self) -> Fixture:
+        """The same tables, for long work on laps: events are dealt by user among many tasks, which all windows over a user's laps keep."""
+        return Fixture(self.spark, self.sf_dir, True)
 
     def table(self, name: str) -> DataFrame:
         """A table of the folder; its schema is looked up once, while each use is a relation of its own."""
@@ -167,4 +173,5 @@ class Fixture:
         used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", text)]
         for t in used:
             text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
-        return self.spark.sql(text, **{t: self.table(t) for t in used})
+        dealt = lambda t: self.table(t).repartition(PARTS, "user_id") if self.by_user and t == "events" else self.table(t)
+        return self.spark.sql(text, **{t: dealt(t) for t in used})

@@ -23,7 +23,7 @@ def _of_each(lap: DataFrame, spans: DataFrame) -> DataFrame:
 
 def _covered(lap: DataFrame, periods: DataFrame, kinds: list[str], seen: DataFrame | None = None) -> DataFrame:
     rows = lap.withColumn("l_start", F.col("started_at_us")).withColumn("l_end", F.col("completed_at_us"))
-    return overlap_sums(rows, periods, ["heat_id", "participant_id"], kinds, seen).drop("l_start", "l_end")
+    return overlap_sums(rows, periods, ["heat_id", "participant_id"], kinds, seen, ["participant_id"]).drop("l_start", "l_end")
 
 
 def _flags(flag: DataFrame) -> DataFrame:

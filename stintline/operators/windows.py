@@ -40,12 +40,13 @@ def with_overlap(left: DataFrame, right: DataFrame, key: list[str], name: str, b
     return left.join(hits.withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list[str], seen: DataFrame | None = None) -> DataFrame:
+def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list[str], seen: DataFrame | None = None, deal: list[str] | None = None) -> DataFrame:
     """`left` with, for each kind, {kind}_n (periods that overlap [l_start, l_end)) and {kind}_us (their time in it).
 
     `periods` holds by, kind, r_start and r_end (null: open). `seen` (by, `at` and further columns) adds the values of
     its latest row at or before l_end. Ends of intervals, ends of periods and what was seen stand in one sorted window of
-    running sums: no pairs, and one shuffle. Rows with a null or empty interval get 0.
+    running sums: no pairs, and one shuffle, by `deal` (columns of by; else all), which the result keeps. Rows with a
+    null or empty interval get 0.
     """
     good = periods.where("r_start is not null and (r_end is null or r_end > r_start)")
     point = F.explode(F.array(F.struct(F.col("r_start").alias("at"), F.lit(1).alias("b"), F.lit(0).alias("e")), F.struct(F.col("r_end").alias("at"), F.lit(0).alias("b"), F.lit(1).alias("e"))))
@@ -61,10 +62,11 @@ def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list
     values = [c for c in seen.columns if c not in (*by, "at")] if seen is not None else []
     if seen is not None:
         rows = rows.unionByName(seen.select(*by, F.col("at").alias("__at"), F.lit(0).alias("__turn"), F.struct(*values).alias("__seen")), allowMissingColumns=True)
-    rows = rows.repartition(PARTS, *by)
-    so_far = Window.partitionBy(*by).orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.repartition(PARTS, *(deal or by))
+    so_far = Window.partitionBy(*by).orderBy("__place", "__turn").rowsBetween(Window.unboundedPreceding, 0)
     # time covered up to t: ends of the periods over, less starts of those begun, and t for each open one; from an origin, so that sums stay small
-    rows = rows.withColumn("__at", F.col("__at") - F.min("__at").over(Window.partitionBy(*by)))
+    rows = rows.withColumnRenamed("__at", "__place")  # kept as it is: both windows follow one sort
+    rows = rows.withColumn("__at", F.col("__place") - F.first("__place", ignorenulls=True).over(so_far))
     rows = rows.select("*", *[(F.coalesce(f"__e_{k}", F.lit(0)) - F.coalesce(f"__b_{k}", F.lit(0))).alias(f"__d_{k}") for k in kinds])
     sums = [F.coalesce(F.sum(x).over(so_far), F.lit(0)).alias(name) for k in kinds for x, name in ((F.col(f"__b_{k}"), f"b_{k}"), (F.col(f"__e_{k}"), f"e_{k}"), (F.col(f"__d_{k}") * F.col("__at"), f"v_{k}"))]
     found = [F.last("__seen", ignorenulls=True).over(so_far).alias("__found")] if seen is not None else []
@@ -76,17 +78,18 @@ def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list
         out += [F.max(F.when(high, F.col(f"b_{k}"))).alias(f"bh_{k}"), F.max(F.when(low, F.col(f"e_{k}"))).alias(f"el_{k}"), F.max(F.when(high, covered)).alias(f"ch_{k}"), F.max(F.when(low, covered)).alias(f"cl_{k}")]
     both = rows.groupBy(*by, "__id").agg(F.first("__row", ignorenulls=True).alias("__row"), *out, *[F.first(F.when(high, F.col("__found")), ignorenulls=True).alias("__found") for _ in found])
     new = [x for k in kinds for x in (F.coalesce(F.col(f"bh_{k}") - F.col(f"el_{k}"), F.lit(0)).cast("long").alias(f"{k}_n"), F.coalesce(F.col(f"ch_{k}") - F.col(f"cl_{k}"), F.lit(0)).cast("long").alias(f"{k}_us"))]
-    return both.select(*[F.col(f"__row.{c}").alias(c) for c in left.columns], *new, *[F.col(f"__found.{v}").alias(v) for v in values])
+    return both.select(*[F.col(c) if c in by else F.col(f"__row.{c}").alias(c) for c in left.columns], *new, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], inclusive: bool = True) -> DataFrame:
-    """`left` with the `values` of the latest right row at or before `at`: a union and one sorted window, no range join."""
+def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], inclusive: bool = True, parts: int | None = None) -> DataFrame:
+    """`left` with the `values` of the latest right row at or before `at`: a union and one sorted window, no range join. `parts` deals the keys among so many tasks."""
     bundle = F.struct(*values)
     kind = right.select(bundle.alias("x")).schema["x"].dataType
     rows = left.withColumns({"__side": F.lit(1 if inclusive else 0), "__found": F.lit(None).cast(kind), "__right": F.lit(False)})
     other = right.select(*by, at, F.lit(0 if inclusive else 1).alias("__side"), bundle.alias("__found"), F.lit(True).alias("__right"))
     order = Window.partitionBy(*by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(other, allowMissingColumns=True)
+    both = both.repartition(parts, *by) if parts else both
     out = both.withColumn("__found", F.last("__found", ignorenulls=True).over(order)).where("not __right")
     return out.select(*left.columns, *[F.col(f"__found.{v}").alias(v) for v in values])
 

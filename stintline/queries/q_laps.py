@@ -52,7 +52,8 @@ slow AS (SELECT participant_id, class_key, lap_number, duration_ms, threshold_ms
 
 
 def clean_laps(fx):
-    return L.clean_laps(fx.lap, fx.flag, fx.pit, fx.feedgap, fx.state)
+    own = fx.dealt()
+    return L.clean_laps(own.lap, fx.flag, own.pit, fx.feedgap, own.state)
 
 
 def pace(fx):

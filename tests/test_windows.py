@@ -2,11 +2,18 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stintline.fixtures import Fixture
+from stintline.operators import laps as L
 from stintline.operators import windows as W
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_values_equal_plain_ones_and_rows_are_not_joined(spark):
     rng = random.Random(1)
     rows = [(rng.choice([1, 2, None]), i, rng.choice([None, 1, 2]), rng.choice([None, "x", "y"])) for i in rng.sample(range(-40, 60), 80)]
@@ -19,3 +26,28 @@ def test_running_values_equal_plain_ones_and_rows_are_not_joined(spark):
     out = W.running(df, ["h"], ["i"], {"total": F.col("n")}, {"last": F.col("x")}, width=8, parts=3)
     assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == want
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_covered_laps_are_sorted_once_and_stay_dealt_by_participant(spark):
+    lap = spark.createDataFrame([(1, 7, 1, 0, 10)], "heat_id long, participant_id long, lap_number long, started_at_us long, completed_at_us long")
+    flag = spark.createDataFrame([(1, "GREEN", 0, None)], "heat_id long, flag string, started_at_us long, ended_at_us long")
+    out = L.flag_cover(lap, flag)
+    ranked = out.withColumn("n", F.row_number().over(Window.partitionBy("participant_id").orderBy("lap_number")))
+    assert plan(ranked).count("Exchange") == plan(out).count("Exchange")
+    assert sum("Sort [" in line and "__turn" in line for line in plan(out).splitlines()) == 1
+    assert [(r.non_green, r.green_us) for r in out.collect()] == [(False, 10)]
+
+
+def test_windows_of_dealt_laps_share_one_exchange(spark):
+    fx = Fixture(spark, "/root/testdata/sf0.001")
+    for name in ("lap", "pit", "state"):
+        text = plan(getattr(fx.dealt(), name))
+        assert text.count("Exchange") == 1 and f"{W.PARTS}), REPARTITION_BY_NUM" in text
+    assert fx.dealt().state.count() == fx.state.count()
+
+
+def test_as_of_may_be_dealt_among_parts(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 3, "b"), (2, 4, "c")], "k long, at long, x string")
+    found = W.as_of(rows.select("k", "at"), rows, ["k"], "at", ["x"], inclusive=False, parts=5)
+    assert sorted(map(tuple, found.collect())) == [(1, 3, None), (1, 5, "b"), (2, 4, None)]
+    assert "5), REPARTITION_BY_NUM" in plan(found)
