@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintline.operators.windows import PARTS
+from stintline.operators.windows import parts_of
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents")
 
@@ -153,7 +154,14 @@ class Fixture:
 
     def dealt(self) -> Fixture:
         """The same tables, for long work on laps: events are dealt by user among many tasks, which all windows over a user's laps keep."""
-        return Fixture(self.spark, self.sf_dir, True)
+        out = Fixture(self.spark, self.sf_dir, True)
+        out.parts = self.parts
+        return out
+
+    @cached_property
+    def parts(self) -> int:
+        """Tasks for long work on laps; they follow the rows of events, whose count stands in the file's footers."""
+        return parts_of(self.events.count())
 
     def table(self, name: str) -> DataFrame:
         """A table of the folder; its schema is looked up once, while each use is a relation of its own."""
@@ -173,5 +181,5 @@ class Fixture:
         used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", text)]
         for t in used:
             text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
-        dealt = lambda t: self.table(t).repartition(PARTS, "user_id") if self.by_user and t == "events" else self.table(t)
+        dealt = lambda t: self.table(t).repartition(self.parts, "user_id") if self.by_user and t == "events" else self.table(t)
         return self.spark.sql(text, **{t: dealt(t) for t in used})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintline.operators.windows import overlap_sums
+from stintline.operators.windows import PARTS, overlap_sums
 
 KEY = ["participant_id", "lap_number"]
 
@@ -16,14 +16,20 @@ def is_clean_lap(duration: Column, flags: Column, in_lap: Column, out_lap: Colum
     return F.coalesce((duration > 0) & (F.size(flags) > 0) & F.forall(flags, lambda f: f.eqNullSafe(F.lit("GREEN"))), F.lit(False)) & known[0] & known[1] & known[2] & known[3]
 
 
-def _of_each(lap: DataFrame, spans: DataFrame) -> DataFrame:
-    """Periods (heat_id, kind, r_start, r_end) of a heat as those of each of its participants, so that no heat is one task."""
-    return lap.select("heat_id", "participant_id").distinct().join(spans, "heat_id").select("heat_id", "participant_id", "kind", "r_start", "r_end")
+def _of_each(lap: DataFrame, spans: DataFrame, parts: int) -> DataFrame:
+    """Periods (heat_id, kind, r_start, r_end) of a heat as those of each of its participants.
+
+    Both meet by heat and slot of its participants, dealt among `parts` tasks: a heat is not one task here either.
+    """
+    slots = 4 * parts
+    own = lap.select("heat_id", "participant_id").distinct().withColumn("__slot", F.pmod(F.xxhash64("participant_id"), F.lit(slots)).cast("int"))
+    each = spans.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    return own.repartition(parts, "heat_id", "__slot").join(each, ["heat_id", "__slot"]).select("heat_id", "participant_id", "kind", "r_start", "r_end")
 
 
-def _covered(lap: DataFrame, periods: DataFrame, kinds: list[str], seen: DataFrame | None = None) -> DataFrame:
+def _covered(lap: DataFrame, periods: DataFrame, kinds: list[str], seen: DataFrame | None, parts: int) -> DataFrame:
     rows = lap.withColumn("l_start", F.col("started_at_us")).withColumn("l_end", F.col("completed_at_us"))
-    return overlap_sums(rows, periods, ["heat_id", "participant_id"], kinds, seen, ["participant_id"]).drop("l_start", "l_end")
+    return overlap_sums(rows, periods, ["heat_id", "participant_id"], kinds, seen, ["participant_id"], parts).drop("l_start", "l_end")
 
 
 def _flags(flag: DataFrame) -> DataFrame:
@@ -31,24 +37,24 @@ def _flags(flag: DataFrame) -> DataFrame:
     return flag.select("heat_id", kind.alias("kind"), F.col("started_at_us").alias("r_start"), F.col("ended_at_us").alias("r_end"))
 
 
-def flag_cover(lap: DataFrame, flag: DataFrame) -> DataFrame:
+def flag_cover(lap: DataFrame, flag: DataFrame, parts: int = PARTS) -> DataFrame:
     """Adds non_green (a flag of the heat other than GREEN overlaps the lap) and green_us (how much of it GREEN covers)."""
-    rows = _covered(lap, _of_each(lap, _flags(flag)), ["green", "other"])
+    rows = _covered(lap, _of_each(lap, _flags(flag), parts), ["green", "other"], None, parts)
     return rows.withColumn("non_green", F.col("other_n") > 0).drop("green_n", "other_n", "other_us")
 
 
-def clean_laps(lap: DataFrame, flag: DataFrame, pit: DataFrame, gap: DataFrame, state: DataFrame) -> DataFrame:
+def clean_laps(lap: DataFrame, flag: DataFrame, pit: DataFrame, gap: DataFrame, state: DataFrame, parts: int = PARTS) -> DataFrame:
     """Laps with crosses_pit, has_feed_gap, is_in_lap, is_out_lap, non_green, green_us and is_clean.
 
     Flags and feed gaps are those of the lap's own heat, stops those of its heat and participant. A lap without a start
-    (the first of a capture) is never clean; GREEN has to cover all of it.
+    (the first of a capture) is never clean; GREEN has to cover all of it. Participants are dealt among `parts` tasks.
     """
     gaps = gap.select("heat_id", F.lit("gap").alias("kind"), F.col("started_at_us").alias("r_start"), F.col("ended_at_us").alias("r_end"))
     stops = pit.where("completed and exited_at_us is not null")
     stops = stops.select("heat_id", "participant_id", F.lit("pit").alias("kind"), F.col("entered_at_us").alias("r_start"), F.col("exited_at_us").alias("r_end"))
-    periods = _of_each(lap, _flags(flag).unionByName(gaps)).unionByName(stops)
+    periods = _of_each(lap, _flags(flag).unionByName(gaps), parts).unionByName(stops)
     seen = lap.select("heat_id", "participant_id").distinct().join(state.select("participant_id", F.col("observed_at_us").alias("at"), "state_kind"), "participant_id")
-    rows = _covered(lap, periods, ["green", "other", "pit", "gap"], seen)
+    rows = _covered(lap, periods, ["green", "other", "pit", "gap"], seen, parts)
     rows = rows.withColumns({"non_green": F.col("other_n") > 0, "crosses_pit": F.col("pit_n") > 0, "has_feed_gap": F.col("gap_n") > 0})
     rows = rows.drop("green_n", "other_n", "other_us", "pit_n", "pit_us", "gap_n", "gap_us")
     rows = rows.withColumn("is_in_lap", F.col("state_kind") == "IN_PIT").withColumn("is_out_lap", F.col("state_kind") == "OUT_LAP")

@@ -11,6 +11,15 @@ BIN_US = 3_600_000_000
 BLOCK = 16_384
 #: Tasks among which the keys of the wide sorted windows are dealt, so that a task's sort stays small.
 PARTS = 96
+#: Rows of a table for each of its tasks; beyond PARTS times as many there are more tasks.
+ROWS = 65_536
+#: So many tasks at most: Spark writes a shuffle to up to 200 without sorting it in memory, as its default has it.
+MOST = 200
+
+
+def parts_of(rows: int) -> int:
+    """Tasks for a table of so many rows: PARTS, and on a larger one as many as keep a task's share at ROWS, up to MOST."""
+    return min(MOST, max(PARTS, -(-rows // ROWS)))
 
 
 def _bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
@@ -40,13 +49,13 @@ def with_overlap(left: DataFrame, right: DataFrame, key: list[str], name: str, b
     return left.join(hits.withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list[str], seen: DataFrame | None = None, deal: list[str] | None = None) -> DataFrame:
+def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list[str], seen: DataFrame | None = None, deal: list[str] | None = None, parts: int = PARTS) -> DataFrame:
     """`left` with, for each kind, {kind}_n (periods that overlap [l_start, l_end)) and {kind}_us (their time in it).
 
     `periods` holds by, kind, r_start and r_end (null: open). `seen` (by, `at` and further columns) adds the values of
     its latest row at or before l_end. Ends of intervals, ends of periods and what was seen stand in one sorted window of
-    running sums: no pairs, and one shuffle, by `deal` (columns of by; else all), which the result keeps. Rows with a
-    null or empty interval get 0.
+    running sums: no pairs, and one shuffle among `parts` tasks, by `deal` (columns of by; else all), which the result
+    keeps. Rows with a null or empty interval get 0.
     """
     good = periods.where("r_start is not null and (r_end is null or r_end > r_start)")
     point = F.explode(F.array(F.struct(F.col("r_start").alias("at"), F.lit(1).alias("b"), F.lit(0).alias("e")), F.struct(F.col("r_end").alias("at"), F.lit(0).alias("b"), F.lit(1).alias("e"))))
@@ -62,7 +71,7 @@ def overlap_sums(left: DataFrame, periods: DataFrame, by: list[str], kinds: list
     values = [c for c in seen.columns if c not in (*by, "at")] if seen is not None else []
     if seen is not None:
         rows = rows.unionByName(seen.select(*by, F.col("at").alias("__at"), F.lit(0).alias("__turn"), F.struct(*values).alias("__seen")), allowMissingColumns=True)
-    rows = rows.repartition(PARTS, *(deal or by))
+    rows = rows.repartition(parts, *(deal or by))
     so_far = Window.partitionBy(*by).orderBy("__place", "__turn").rowsBetween(Window.unboundedPreceding, 0)
     # time covered up to t: ends of the periods over, less starts of those begun, and t for each open one; from an origin, so that sums stay small
     rows = rows.withColumnRenamed("__at", "__place")  # kept as it is: both windows follow one sort

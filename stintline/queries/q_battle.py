@@ -300,7 +300,7 @@ STINT_LAPS = STINTS + ",\n" + CLEAN + """, sl AS (SELECT c.*, s.stint_number, c.
 def stint_laps(fx):
     laps = clean_laps(fx).select("participant_id", "class_key", "lap_number", "duration_ms", "is_clean", "completed_at_us")
     starts = P.tyre_stints(fx.lap, fx.pit).select("participant_id", F.coalesce("started_at_us", F.lit(-1)).alias("completed_at_us"), "stint_number", F.coalesce("started_lap", F.lit(0)).alias("started_lap"), F.coalesce("ended_at_us", F.lit(1 << 62)).alias("ended"))
-    found = W.as_of(laps, starts, ["participant_id"], "completed_at_us", ["stint_number", "started_lap", "ended"], inclusive=False, parts=W.PARTS)
+    found = W.as_of(laps, starts, ["participant_id"], "completed_at_us", ["stint_number", "started_lap", "ended"], inclusive=False, parts=fx.parts)
     return found.where("completed_at_us <= ended").withColumn("tyre_age", c("lap_number") - c("started_lap")).drop("ended", "started_lap")
 
 

@@ -53,7 +53,7 @@ slow AS (SELECT participant_id, class_key, lap_number, duration_ms, threshold_ms
 
 def clean_laps(fx):
     own = fx.dealt()
-    return L.clean_laps(own.lap, fx.flag, own.pit, fx.feedgap, own.state)
+    return L.clean_laps(own.lap, fx.flag, own.pit, fx.feedgap, own.state, own.parts)
 
 
 def pace(fx):
@@ -167,7 +167,8 @@ def c10(fx):
 
 @query("d1_green_cover", COVER + " SELECT l.participant_id, l.lap_number, coalesce(non_green, false) AS non_green, coalesce(green_us, 0) AS green_us FROM fx_lap l LEFT JOIN cover USING (participant_id, lap_number)")
 def d1(fx):
-    return L.flag_cover(fx.lap, fx.flag).select("participant_id", "lap_number", "non_green", "green_us")
+    own = fx.dealt()
+    return L.flag_cover(own.lap, fx.flag, own.parts).select("participant_id", "lap_number", "non_green", "green_us")
 
 
 @query("d2_crosses_pit", CLEAN + " SELECT participant_id, lap_number FROM lapx WHERE crosses_pit")

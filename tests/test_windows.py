@@ -1,6 +1,7 @@
 """Running values in blocks against plain ones."""
 
 import random
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from stintline.fixtures import Fixture
 from stintline.operators import laps as L
 from stintline.operators import windows as W
+from stintline.queries import q_battle, q_laps
 
 
 def plan(df):
@@ -51,3 +53,23 @@ def test_as_of_may_be_dealt_among_parts(spark):
     found = W.as_of(rows.select("k", "at"), rows, ["k"], "at", ["x"], inclusive=False, parts=5)
     assert sorted(map(tuple, found.collect())) == [(1, 3, None), (1, 5, "b"), (2, 4, None)]
     assert "5), REPARTITION_BY_NUM" in plan(found)
+
+
+def test_tasks_of_clean_laps_follow_the_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    few = sorted(map(tuple, q_laps.e8(Fixture(spark, sf)).collect()))
+    monkeypatch.setattr(W, "ROWS", 8)
+    parts = W.parts_of(spark.read.parquet(f"{sf}/events.parquet").count())
+    assert W.MOST == W.parts_of(10**9) > parts > W.PARTS == W.parts_of(1)
+    for query in (q_laps.s12, q_laps.d1, q_laps.f4, q_laps.e7, q_laps.e8, q_battle.d15, q_battle.e11):
+        text = plan(query(Fixture(spark, sf)))
+        assert f"{parts}), REPARTITION_BY_NUM" in text and f"{W.PARTS}), REPARTITION_BY_NUM" not in text
+    assert sorted(map(tuple, q_laps.e8(Fixture(spark, sf)).collect())) == few
+
+
+def test_no_heat_is_one_task_where_its_periods_meet_participants(spark):
+    lap = spark.createDataFrame([(h, p, 1, 0, 10) for h, p in ((1, 7), (1, 8), (None, 9), (2, 10))], "heat_id long, participant_id long, lap_number long, started_at_us long, completed_at_us long")
+    flag = spark.createDataFrame([(1, "GREEN", 0, None), (1, "RED", 4, 6), (2, "GREEN", 3, 5), (None, "RED", 0, 9)], "heat_id long, flag string, started_at_us long, ended_at_us long")
+    out = L.flag_cover(lap, flag, 3)
+    assert sorted((r.participant_id, r.non_green, r.green_us) for r in out.collect()) == [(7, True, 10), (8, True, 10), (9, False, 0), (10, False, 2)]
+    assert not re.search(r"hashpartitioning\(heat_id#\d+L?, \d+\)", plan(out)) and not re.search(r"Join \[heat_id#\d+L?\]", plan(out))
