@@ -175,7 +175,7 @@ def d15(fx):
     latest = L.latest_pace(pace(fx))
     focal = fx.lap.agg(F.min("participant_id").alias("participant_id"))
     ours = latest.join(F.broadcast(focal), "participant_id").select("class_key", c("participant_id").alias("focal_id"), c("pace_5_ms").alias("p"))  # one row
-    return ours.join(latest, "class_key").where("focal_id <> participant_id").select("focal_id", c("participant_id").alias("other_id"), (c("p") - c("pace_5_ms")).alias("delta_ms"))
+    return latest.join(F.broadcast(ours), "class_key").where("focal_id <> participant_id").select("focal_id", c("participant_id").alias("other_id"), (c("p") - c("pace_5_ms")).alias("delta_ms"))
 
 
 @query(

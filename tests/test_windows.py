@@ -73,3 +73,8 @@ def test_no_heat_is_one_task_where_its_periods_meet_participants(spark):
     out = L.flag_cover(lap, flag, 3)
     assert sorted((r.participant_id, r.non_green, r.green_us) for r in out.collect()) == [(7, True, 10), (8, True, 10), (9, False, 0), (10, False, 2)]
     assert not re.search(r"hashpartitioning\(heat_id#\d+L?, \d+\)", plan(out)) and not re.search(r"Join \[heat_id#\d+L?\]", plan(out))
+
+
+def test_a_class_is_not_one_task_beside_the_focal_car(spark):
+    text = plan(q_battle.d15(Fixture(spark, "/root/testdata/sf0.001")))
+    assert not re.search(r"SortMergeJoin \[class_key#\d+L?\]", text) and not re.search(r"hashpartitioning\(class_key#\d+L?, \d+\)", text)
