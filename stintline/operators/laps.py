@@ -19,12 +19,15 @@ def is_clean_lap(duration: Column, flags: Column, in_lap: Column, out_lap: Colum
 def _of_each(lap: DataFrame, spans: DataFrame, parts: int) -> DataFrame:
     """Periods (heat_id, kind, r_start, r_end) of a heat as those of each of its participants.
 
-    Both meet by heat and slot of its participants, dealt among `parts` tasks: a heat is not one task here either.
+    Both meet by heat and slot of its participants, dealt among `parts` tasks: a heat is not one task here either. A
+    participant gets those that overlap the time from its first lap's start to its last lap's end; no other can overlap a lap.
     """
     slots = 4 * parts
-    own = lap.select("heat_id", "participant_id").distinct().withColumn("__slot", F.pmod(F.xxhash64("participant_id"), F.lit(slots)).cast("int"))
+    own = lap.groupBy("heat_id", "participant_id").agg(F.min("started_at_us").alias("__from"), F.max("completed_at_us").alias("__to"))
+    own = own.withColumn("__slot", F.pmod(F.xxhash64("participant_id"), F.lit(slots)).cast("int"))
     each = spans.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return own.repartition(parts, "heat_id", "__slot").join(each, ["heat_id", "__slot"]).select("heat_id", "participant_id", "kind", "r_start", "r_end")
+    both = own.repartition(parts, "heat_id", "__slot").join(each, ["heat_id", "__slot"]).where("r_start < __to and (r_end is null or r_end > __from)")
+    return both.select("heat_id", "participant_id", "kind", "r_start", "r_end")
 
 
 def _covered(lap: DataFrame, periods: DataFrame, kinds: list[str], seen: DataFrame | None, parts: int) -> DataFrame:

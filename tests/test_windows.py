@@ -78,3 +78,12 @@ def test_no_heat_is_one_task_where_its_periods_meet_participants(spark):
 def test_a_class_is_not_one_task_beside_the_focal_car(spark):
     text = plan(q_battle.d15(Fixture(spark, "/root/testdata/sf0.001")))
     assert not re.search(r"SortMergeJoin \[class_key#\d+L?\]", text) and not re.search(r"hashpartitioning\(class_key#\d+L?, \d+\)", text)
+
+
+def test_a_participant_gets_only_the_periods_of_its_time(spark):
+    lap = spark.createDataFrame([(1, 7, 1, None, 10), (1, 7, 2, 10, 20), (1, 8, 1, 90, 100), (1, 9, 1, None, 50)], "heat_id long, participant_id long, lap_number long, started_at_us long, completed_at_us long")
+    flag = spark.createDataFrame([(1, "GREEN", 0, 10), (1, "GREEN", 10, 15), (1, "RED", 19, 90), (1, "RED", 20, 91), (1, "GREEN", 95, None), (1, "RED", 100, None)], "heat_id long, flag string, started_at_us long, ended_at_us long")
+    given = L._of_each(lap, L._flags(flag), 3)
+    assert sorted((r.participant_id, r.r_start) for r in given.collect()) == [(7, 10), (7, 19), (8, 20), (8, 95)]
+    out = L.flag_cover(lap, flag, 3)
+    assert sorted((r.participant_id, r.lap_number, r.non_green, r.green_us) for r in out.collect()) == [(7, 1, False, 0), (7, 2, True, 5), (8, 1, True, 5), (9, 1, False, 0)]
