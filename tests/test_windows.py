@@ -87,3 +87,14 @@ def test_a_participant_gets_only_the_periods_of_its_time(spark):
     assert sorted((r.participant_id, r.r_start) for r in given.collect()) == [(7, 10), (7, 19), (8, 20), (8, 95)]
     out = L.flag_cover(lap, flag, 3)
     assert sorted((r.participant_id, r.lap_number, r.non_green, r.green_us) for r in out.collect()) == [(7, 1, False, 0), (7, 2, True, 5), (8, 1, True, 5), (9, 1, False, 0)]
+
+
+def test_tasks_of_participants_do_not_follow_the_session(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    try:
+        texts = [plan(query(Fixture(spark, "/root/testdata/sf0.001"))) for query in (q_laps.f4, q_laps.e8)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for text in texts:
+        assert ", 7), ENSURE" in text and not re.search(r"hashpartitioning\((user|participant)_id#\d+L?, 7\)", text)
